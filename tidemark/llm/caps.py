@@ -30,7 +30,7 @@ class Caps:
 
     def __init__(self, dim: int, codes: int = 16, codewords: int = 48, height: float = 2.95, seed: int = 6):
         rng = np.random.default_rng(seed)
-        self.half, self.words, self.height = max(1, dim // 2), codewords, height / np.sqrt(dim) * np.sqrt(2)
+        self.half, self.words, self.height = max(1, dim // 2), codewords, min(height / np.sqrt(dim), 0.5) * np.sqrt(2)
         unit = lambda n: (x := rng.standard_normal((codewords, max(n, 1)))) / np.linalg.norm(x, axis=1, keepdims=True)
         self.codes = [(np.linalg.qr(rng.standard_normal((dim, dim)))[0], unit(self.half), unit(dim - self.half)) for _ in range(codes)]
 

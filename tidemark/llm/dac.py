@@ -125,8 +125,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard
     ordered.mapInPandas(run, "part long, shard long, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids binary) of files of write_ids: start counts the ids of all documents before."""
+def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids binary]) of files of write_ids: start counts the ids of all documents
+    before, the checksum is of the ids as read."""
     shards = spark.read.parquet(path)
     before = F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = shards.select("part", "shard", "n_ids").select("part", "shard", F.coalesce(before, F.lit(0)).alias("before"))
@@ -138,17 +139,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 s = Shard(raw)
                 for at in range(0, s.n_docs, 1000):
                     k = range(at, min(at + 1000, s.n_docs))
-                    yield pd.DataFrame({"doc_id": pd.array([int(s.doc_ids[i]) if s.has_id[i] else None for i in k], "Int64"), "start": [int(before + s.starts[i]) for i in k], "ids": [s.document(i).tobytes() for i in k]})
+                    own = [s.document(i).tobytes() for i in k]
+                    out = pd.DataFrame({"doc_id": pd.array([int(s.doc_ids[i]) if s.has_id[i] else None for i in k], "Int64"), "start": [int(before + s.starts[i]) for i in k], "n_tokens": [len(x) // 4 for x in own], "ids_crc32": [zlib.crc32(x) for x in own]})
+                    yield out.assign(ids=own) if ids else out
 
-    return placed.mapInPandas(run, "doc_id long, start long, ids binary")
+    return placed.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else ""))
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from files written by write_ids and read by read_ids."""
     path = f"{scratch(docs.sparkSession)}/ids"
     write_ids(docs, path, tokenizer, end_id)
-    return read_ids(docs.sparkSession, path).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return read_ids(docs.sparkSession, path, ids=False)

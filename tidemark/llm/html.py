@@ -185,7 +185,8 @@ def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
                 if len(done) > 20_000:
                     yield pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values()))})
                     done = {}
-        yield pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values()))})
+        if done:
+            yield pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values()))})
 
     def joined(pdf: pd.DataFrame) -> Wrapper:
         out: Wrapper | None = None
@@ -194,10 +195,10 @@ def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
         return out or []
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(joined(pdf))]})
+        return pd.DataFrame({"host": [str(pdf["host"].iloc[0])], "wrapper": [json.dumps(joined(pdf))]})
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "paths": [sorted(main_paths(joined(pdf)))]})
+        return pd.DataFrame({"host": [str(pdf["host"].iloc[0])], "paths": [sorted(main_paths(joined(pdf)))]})
 
     first = pages.mapInPandas(local, "host string, salt int, wrapper string")
     salted = first.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")

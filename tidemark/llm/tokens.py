@@ -39,7 +39,7 @@ _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 class Encoder:
     """encode(texts) equals Tokenizer.encode(text, add_special_tokens=False).ids; ``words`` bounds what is remembered."""
 
-    def __init__(self, path: str, words: int = 1_200_000):
+    def __init__(self, path: str, words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,23 +47,40 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Ids of the space-led pieces in new: by their runs where these make up the whole piece, else as one text."""
+        """Ids of the space-led pieces in new: a word and its marks apart, other shapes by their runs or as one text."""
+        runs, later, marks = self.runs, self.later, self.marks
+        words, odd = [], []
+        for piece in new:
+            body = piece.rstrip(_MARKS)
+            if body in runs or body.isalpha():
+                words.append((piece, body))
+            else:
+                odd.append(piece)
+        missing = list({body for _, body in words}.difference(runs))
+        runs.update(zip(missing, self._encode([" " + body for body in missing])))
+        for piece, body in words:
+            if len(body) == len(piece):
+                later[piece] = runs[body]
+            else:
+                tail = piece[len(body) :]
+                if tail not in marks:
+                    marks[tail] = self._encode([tail])[0]
+                later[piece] = runs[body] + marks[tail]
         cut = {}
-        for word in new:
-            body = word.rstrip(_MARKS)
-            if body.isalpha():
-                cut[word] = (" " + body, word[len(body) :]) if len(body) < len(word) else (" " + body,)
-                continue
-            runs = _RUNS.findall(word)
-            whole = sum(map(len, runs)) != len(word) or "<" in word and any(t in word for t in self.special)
-            cut[word] = (" " + word,) if whole else (" " + runs[0], *runs[1:])
-        missing = list({r for runs in cut.values() for r in runs if r not in self.runs})
-        for run, x in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.runs[run] = array("I", x.ids).tobytes()
-        for word, runs in cut.items():
-            self.later[word] = b"".join([self.runs[r] for r in runs]) if len(runs) > 1 else self.runs[runs[0]]
+        for piece in odd:
+            found = _RUNS.findall(piece)
+            whole = sum(map(len, found)) != len(piece) or "<" in piece and any(t in piece for t in self.special)
+            cut[piece] = (" " + piece,) if whole else (" " + found[0], *found[1:])
+        missing = list({run for x in cut.values() for run in x})
+        known = dict(zip(missing, self._encode(missing)))
+        for piece, x in cut.items():
+            later[piece] = b"".join([known[run] for run in x])
 
     def encode(self, texts: Iterable[str], group: int = 4_000_000) -> Iterator[np.ndarray]:
         """Ids of each text; new words are learnt together for texts of about ``group`` characters."""
@@ -89,10 +106,11 @@ class Encoder:
             seen.update(x[1:])
         if len(self.later) + len(self.runs) > self.words:  # what comes up again is kept
             self.later = {w: self.later[w] for w in seen if w in self.later}
-            self.runs = {r: self.runs[r] for r in (" " + w for w in seen) if r in self.runs}
+            self.runs = {w: self.runs[w] for w in seen if w in self.runs}
+            self.marks = {}
         self._learn(seen.difference(self.later))
-        heads = self.tokenizer.encode_batch([x[0] for x in held], add_special_tokens=False)
-        return [np.frombuffer(b"".join([array("I", h.ids).tobytes(), *map(self.later.__getitem__, x[1:])]), "<u4") for x, h in zip(held, heads)]
+        heads = self._encode([x[0] for x in held])
+        return [np.frombuffer(b"".join([h, *map(self.later.__getitem__, x[1:])]), "<u4") for x, h in zip(held, heads)]
 
 
 _encoders: dict[str, Encoder] = {}
