@@ -258,7 +258,7 @@ def test_nnpu_risk_is_not_negative_fitted():
     rng = np.random.default_rng(0)
     pos = [np.unique(np.append(rng.integers(0, 500, 20), 900 + rng.integers(0, 3))) for _ in range(200)]
     neg = [np.unique(rng.integers(0, 500, 20)) for _ in range(800)]
-    m = toxicity.fit(pos, neg + pos[:80], 0.1)
+    m = toxicity.fit(pos, neg + pos[:80], 0.1, np.array([*range(0, 500, 50), 900, 901, 902]))
     assert (m.weights[np.isin(m.names, [900, 901, 902])] > 1).all()
 
 

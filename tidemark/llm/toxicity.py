@@ -60,27 +60,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(total.values()), -40, 40))))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 4000, epochs: int = 150, rate: float = 0.05, decay: float = 1e-6, seed: int = 5) -> Model:
+def choose(rows: DataFrame, n_p: int, n_u: int, most_features: int) -> np.ndarray:
+    """Features of rows(tag, f array<long>) surely over-represented among the positives (tag 1) against the rest.
+
+    Counted over all sampled rows: the log ratio of shares must be log 4 at least and 4 standard errors above zero.
+    """
+    one = rows.select("tag", F.explode("f").alias("f")).groupBy("f").agg(F.sum("tag").alias("p"), F.sum(1 - F.col("tag")).alias("u")).where("p >= 4")
+    ratio = F.log((F.col("p") + 0.05) / (n_p + 0.1) / ((F.col("u") + 0.5) / (n_u + 1)))
+    sure = ratio / F.sqrt(1 / (F.col("p") + 0.05) + 1 / (F.col("u") + 0.5))
+    best = one.select("f", ratio.alias("ratio"), sure.alias("sure")).where((F.col("ratio") >= float(np.log(4))) & (F.col("sure") >= 4))
+    return np.sort(np.array([r["f"] for r in best.orderBy(F.desc("sure"), "f").limit(most_features).collect()], np.int64))
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray, epochs: int = 150, rate: float = 0.05, decay: float = 1e-6, seed: int = 5) -> Model:
     """Minimise the non-negative risk prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]) with logistic loss l.
 
-    Features are those surely over-represented among the positives against the unlabelled (log ratio over its standard
-    error); as each is evidence of toxicity, weights stay at zero or more, so that long texts do not add up noise. Where
-    the corrected negative risk of a batch falls below zero, the step climbs it instead, as the method's authors do.
+    Documents are given by their features; ``chosen`` are those used, sorted. As each is evidence of toxicity, weights
+    stay at zero or more, so that long texts do not add up noise. Where the corrected negative risk of a batch falls below
+    zero, the step climbs it instead, as the method's authors do.
     """
     rng = np.random.default_rng(seed)
-    count = lambda docs: np.unique(np.concatenate(docs), return_counts=True) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    (pn, pc_), (un, uc) = count(positive), count(unlabelled)
-    in_u = np.zeros(len(pn))
-    at = np.searchsorted(un, pn)
-    ok = at < len(un)
-    ok[ok] = un[at[ok]] == pn[ok]
-    in_u[ok] = uc[at[ok]]
-    p, u = (pc_ + 0.05) / (len(positive) + 0.1), (in_u + 0.5) / (len(unlabelled) + 1)
-    log_ratio = np.log(p / u)
-    sure = log_ratio / np.sqrt(1 / (pc_ + 0.05) + 1 / (in_u + 0.5))
-    sure[(log_ratio < np.log(4)) | (pc_ < 4) | (sure < 4)] = 0
-    best = np.argsort(-sure, kind="stable")[:most_features]
-    chosen = np.sort(pn[best[sure[best] > 0]])
     if not len(chosen):
         return Model(chosen, np.zeros(0), -4.0)
 
@@ -134,7 +133,6 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     The samples are the first by a hash of doc_id, so the same at any partitioning. The class prior is the share of toxic
     ones among all labelled rows outside the fold. Without toxic or without any texts the model scores all below 0.5.
     """
-    spark = docs.sparkSession
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
     n, ones = usable.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     first = lambda df, k, tag: df.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(k).withColumn("_tag", F.lit(tag))
@@ -145,14 +143,21 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[int]] = {}
         for pdf in batches:
-            yield pd.DataFrame({"tag": pdf["_tag"], "doc_id": pdf["doc_id"], "f": [np.sort(np.fromiter(features(t, known), "<u4")).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"tag": pdf["_tag"], "doc_id": pdf["doc_id"], "f": [sorted(features(t, known)) for t in pdf["text"]]})
 
-    rows = texts.select("_tag", "doc_id", "text").mapInPandas(run, "tag int, doc_id long, f binary").toPandas().sort_values(["tag", "doc_id", "f"])
-    docs_of = lambda tag: [np.frombuffer(f, "<u4").astype(np.int64) for f in rows["f"][rows["tag"] == tag]]
-    del spark
-    if not ones or not (rows["tag"] == 1).any() or not (rows["tag"] == 0).any():
+    rows = save(texts.select("_tag", "doc_id", "text").mapInPandas(run, "tag int, doc_id long, f array<long>"), "features")
+    sizes = {r["tag"]: r["count"] for r in rows.groupBy("tag").count().collect()}
+    if not sizes.get(1) or not sizes.get(0):
         return Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
-    return fit(docs_of(1), docs_of(0), min(max(ones / n, 0.001), 0.9), most_features)
+    chosen = choose(rows, sizes[1], sizes[0], most_features)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"tag": pdf["tag"], "doc_id": pdf["doc_id"], "f": [np.intersect1d(f, chosen).astype("<u4").tobytes() for f in pdf["f"]]})
+
+    used = rows.mapInPandas(keep, "tag int, doc_id long, f binary").toPandas().sort_values(["tag", "doc_id", "f"])
+    docs_of = lambda tag: [np.frombuffer(f, "<u4").astype(np.int64) for f in used["f"][used["tag"] == tag]]
+    return fit(docs_of(1), docs_of(0), min(max(ones / n, 0.001), 0.9), chosen)
 
 
 def _scorer(docs: DataFrame, model: Model):
