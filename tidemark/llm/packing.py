@@ -90,7 +90,7 @@ def pack_shard(docs: list[np.ndarray], window: int, terms: int) -> Iterator[tupl
         seq += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_ids: int = 4_000_000, terms: int = 12, order: list[str] | None = None, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_ids: int = 2_000_000, terms: int = 12, order: list[str] | None = None, ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents, each id in one piece.
 
     docs(doc_id, text, ...): null text counts as empty, so its document is the end id alone. Documents are dealt into

@@ -39,7 +39,7 @@ _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 class Encoder:
     """encode(texts) equals Tokenizer.encode(text, add_special_tokens=False).ids; ``words`` bounds what is remembered."""
 
-    def __init__(self, path: str, words: int = 1_000_000):
+    def __init__(self, path: str, words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -82,7 +82,7 @@ class Encoder:
         for piece, x in cut.items():
             later[piece] = b"".join([known[run] for run in x])
 
-    def encode(self, texts: Iterable[str], group: int = 4_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str], group: int = 2_000_000) -> Iterator[np.ndarray]:
         """Ids of each text; new words are learnt together for texts of about ``group`` characters."""
         held, chars = [], 0
         for text in texts:

@@ -52,7 +52,7 @@ class Model:
         for w in set(_WORD.findall(text.lower())):
             hit = self.words.get(w)
             if hit is None:
-                if len(self.words) > 1_000_000:
+                if len(self.words) > 300_000:
                     self.words.clear()
                 hit = self.words[w] = tuple((h, self.table[h]) for h in map(xxh32_intdigest, _parts(w)) if h in self.table)
             if hit:
