@@ -361,16 +361,18 @@ def test_caps(spark):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
-def test_caps_recall():
+@pytest.mark.parametrize("dim", [2, 3, 4, 8, 16, 32, 64, 256])
+def test_caps_recall(dim):
     rng = np.random.default_rng(11)
-    x = rng.standard_normal((3000, 64))
+    x = rng.standard_normal((3000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.standard_normal((3000, 64))
+    y = rng.standard_normal((3000, dim))
     y -= (y * x).sum(axis=1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    c = caps.Caps(64)
+    c = caps.Caps(dim)
     met = sum(bool(np.intersect1d(a, b).size) for a, b in zip(c.decode(x), c.decode(y)))
     assert met >= 0.99 * len(x), met
+    assert np.mean([len(f) for f in c.decode(x)]) < 120
 
 
 def test_nearest(spark):

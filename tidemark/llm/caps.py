@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,16 @@ class Caps:
     random codewords for the two halves.
 
     A vector belongs to the filters whose direction it exceeds by ``height`` standard deviations. Two vectors of cosine
-    0.9 share one with a probability of over 0.999, nearer ones still more often.
+    0.9 share one with a probability of over 0.999, nearer ones still more often. Below some 35 dimensions, where a cosine
+    of 0.5 is the most that is asked for, a filter takes in a larger share of all vectors; there are fewer
+    codewords then, so that a vector exceeds about as many filters in any dimension.
     """
 
     def __init__(self, dim: int, codes: int = 16, codewords: int = 48, height: float = 2.95, seed: int = 6):
         rng = np.random.default_rng(seed)
-        self.half, self.words, self.height = max(1, dim // 2), codewords, min(height / np.sqrt(dim), 0.5) * np.sqrt(2)
+        cosine = min(height / math.sqrt(dim), 0.5)
+        codewords = max(2, round(codewords * math.sqrt(math.erfc(height / math.sqrt(2)) / math.erfc(cosine * math.sqrt(dim / 2)))))
+        self.half, self.words, self.height = max(1, dim // 2), codewords, cosine * np.sqrt(2)
         unit = lambda n: (x := rng.standard_normal((codewords, max(n, 1)))) / np.linalg.norm(x, axis=1, keepdims=True)
         self.codes = [(np.linalg.qr(rng.standard_normal((dim, dim)))[0], unit(self.half), unit(dim - self.half)) for _ in range(codes)]
 
@@ -53,7 +58,7 @@ class Caps:
         return np.split(filter_[order].astype("<u4"), np.searchsorted(row[order], np.arange(1, len(unit_vectors)))) if len(unit_vectors) else []
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codewords: int = 48, height: float = 2.95, block: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codewords: int = 48, height: float = 2.95, block: int = 512, rows: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, ...).
 
     Pairs whose cosine in double precision is ``cosine`` or more link. Vectors that are null, empty or zero or hold null
@@ -62,7 +67,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
     not link with themselves. An empty table gives an empty result; other columns are ignored.
 
     Each vector carries the list of its filters, so a pair counts only in the first filter it shares: groups emit a row
-    per vector with its number of new links and a root to hang on, never the pairs.
+    per vector with its number of new links and a root to hang on, never the pairs. Python hands on ``rows`` rows at a time.
     """
     good = save(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
 
@@ -76,12 +81,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 caps.setdefault(dim, Caps(dim, codes, codewords, height))
                 lists = caps[dim].decode(x)
-                n = np.array([len(f) for f in lists])
-                rep = np.repeat(np.arange(len(part)), n)
+                rep = np.repeat(np.arange(len(part)), [len(f) for f in lists])
                 if not len(rep):
                     continue
-                raw, own = [r.tobytes() for r in x], [f.tobytes() for f in lists]
-                yield pd.DataFrame({"cap": np.concatenate(lists).astype(np.int64) + (int(dim) << 32), "vec_id": part["vec_id"].to_numpy()[rep], "unit": [raw[r] for r in rep], "own": [own[r] for r in rep]})
+                raw, own, ids = [r.tobytes() for r in x], [f.tobytes() for f in lists], part["vec_id"].to_numpy()
+                every = np.concatenate(lists).astype(np.int64) + (int(dim) << 32)
+                for at in range(0, len(rep), rows):
+                    r = rep[at : at + rows]
+                    yield pd.DataFrame({"cap": every[at : at + rows], "vec_id": ids[r], "unit": [raw[k] for k in r], "own": [own[k] for k in r]})
 
     dealt = bucket_blocks(good.mapInPandas(deal, "cap long, vec_id long, unit binary, own binary"), "cap", F.xxhash64("vec_id"), block)
 
