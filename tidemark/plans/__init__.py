@@ -1 +1,3 @@
-"""Registered queries and their SQL."""
+"""Registered queries: importing the package fills catalog.QUERIES and catalog.SQL."""
+
+from . import catalog, signals  # noqa: F401

@@ -146,8 +146,6 @@ def _sma_cross(s: SparkSession, d: str) -> DataFrame:
 SQL_CROSS = f"{SQL_BARS}, s AS (SELECT symbol, t, c, round({_if(5, 'avg(c) ' + W_.format(4))}, 6) AS f, round({_if(20, 'avg(c) ' + W_.format(19))}, 6) AS g FROM bars), z AS (SELECT *, CASE WHEN f > g THEN 1 WHEN f < g THEN -1 END AS zone FROM s), p AS (SELECT *, last_value(zone IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM z), sig AS (SELECT symbol, t, c, CASE WHEN zone <> b AND zone > 0 THEN 'BUY' WHEN zone <> b AND zone < 0 THEN 'SELL' ELSE 'FLAT' END AS action FROM p)"
 add("g1_sma_cross", f"WITH {SQL_CROSS} SELECT * FROM sig")(_sma_cross)
 add("g13_zscore_reversion", f"WITH {SQL_BARS}, x AS (SELECT *, avg(c) {W_.format(19)} AS m, stddev_pop(c) {W_.format(19)} AS s, count(*) {W_.format(19)} AS n FROM bars), y AS (SELECT symbol, t, round(CASE WHEN n >= 20 AND s > 0 THEN (c - m) / s END, 6) AS z FROM x) SELECT symbol, t, CASE WHEN z > 1.5 THEN 'SELL' WHEN z < -1.5 THEN 'BUY' ELSE 'FLAT' END AS action FROM y")(lambda s, d: hour_bars(s, d).withColumn("z", F.round(W.zscore(F.col("c"), 20), 6)).select("symbol", "t", F.when(F.col("z") > 1.5, "SELL").when(F.col("z") < -1.5, "BUY").otherwise("FLAT").alias("action")))
-add("h7_trades")(lambda s, d: rounded(T.trades_from_signals(_sma_cross(s, d), 1000.0), "pnl"))
-add("e12_trade_stats")(lambda s, d: rounded(T.trade_stats(T.trades_from_signals(_sma_cross(s, d), 1000.0)), "win_rate", "pnl_total", "avg_hold", "max_dd"))
 SQL_USER = f"ub AS (SELECT 'U' || user_id AS symbol, epoch_us(ts) // {DAY * 10**6} * {DAY} AS t, last(value ORDER BY ts, event_id) AS c FROM events GROUP BY 1, 2)"
 add("d2_pair_stats", f"WITH {SQL_USER} SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(corr(a.c, b.c), 6) AS rho, round(regr_slope(b.c, a.c), 6) AS beta FROM ub a JOIN ub b ON a.t = b.t AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: rounded(T.pair_stats(B.tick_bars(user_ticks(s, d), DAY), 10), "rho", "beta"))
 
@@ -178,5 +176,4 @@ add("f26_cohort_z", f"WITH {SQL_RESULTS}, c AS (SELECT *, count(pnl_total) OVER
 add("e14_histogram_quantile", "WITH h AS (SELECT event_type, le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([5.0::DOUBLE, 10.0, 20.0, 50.0, 100.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, 2), x AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, coalesce(lag(le) OVER w, 0) AS le0, 0.95 * max(n) OVER (PARTITION BY event_type) AS rk FROM h WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(CASE WHEN isinf(le) THEN le0 ELSE le0 + (le - le0) * (rk - n0) / (n - n0) END, 6) AS quantile FROM x WHERE n >= rk AND n0 < rk")(lambda s, d: rounded(T.histogram_quantile(T.to_histogram(_read(s, d, "events"), ["event_type"], "value", [5, 10, 20, 50, 100]), ["event_type"], 0.95), "quantile"))
 add("e15_counter_rate", f"WITH {SQL_TICKS} SELECT symbol, us // 300000000 * 300 AS b, round(greatest(0, last(ltp ORDER BY us // 1000000, id) - first(ltp ORDER BY us // 1000000, id)) / 300, 6) AS rate FROM ticks GROUP BY 1, 2")(lambda s, d: rounded(T.counter_rate(ticks(s, d).select("symbol", F.unix_seconds("ts").alias("t"), "id", F.col("ltp").alias("value")), 300, ["symbol"]), "rate"))
 add("e10_eod", f"WITH {SQL_FILLS} SELECT t // {DAY} AS day, count(*) AS n_fills, count(DISTINCT symbol) AS symbols, CAST(sum(qty) AS BIGINT) AS qty FROM fills GROUP BY 1")(lambda s, d: fills(s, d).groupBy(F.floor(F.col("t") / DAY).alias("day")).agg(F.count("*").alias("n_fills"), F.count_distinct("symbol").alias("symbols"), F.sum("qty").alias("qty")))
-for _name, _f in {"f5_ema": lambda b: W.ema(b, 12), "f6_macd": W.macd, "f3_rsi_wilder": W.rsi_wilder, "f11_heikin_ashi": W.heikin_ashi, "f10_supertrend": W.supertrend}.items():
-    add(_name)(lambda s, d, f=_f: f(hour_bars(s, d)))
+add("f10_supertrend")(lambda s, d: W.supertrend(hour_bars(s, d)))
