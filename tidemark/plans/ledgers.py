@@ -88,10 +88,10 @@ add("b14_pair_signal_rows", f"WITH {SQL_TICKS} SELECT id, upper(symbol) AS symbo
 )
 add("c10_latency", f"WITH {SQL_TICKS} SELECT id, greatest(0, (us // {HOUR * 10**6} + 1) * {HOUR} - us // 1000000) AS to_close FROM ticks")(lambda s, d: ticks(s, d).withColumn("t", F.unix_seconds("ts")).select("id", F.greatest(F.lit(0).cast("long"), B.bucket(C("t"), HOUR) + HOUR - C("t")).alias("to_close")))
 SQL_WAC = f"o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {KEY}) AS n FROM fills), k AS (SELECT symbol, n, list(struct_pack(q := CASE WHEN side = 'BUY' THEN qty ELSE -qty END::DOUBLE, a := price, r := 0.0::DOUBLE)) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING) AS v FROM o), w AS (SELECT symbol, n, list_reduce(list_prepend(struct_pack(q := 0.0::DOUBLE, a := 0.0::DOUBLE, r := 0.0::DOUBLE), v), lambda s, x: CASE WHEN x.q > 0 THEN struct_pack(q := s.q + x.q, a := (s.q * s.a + x.q * x.a) / (s.q + x.q), r := s.r) ELSE struct_pack(q := s.q - least(s.q, -x.q), a := CASE WHEN s.q + x.q > 0 THEN s.a ELSE 0.0 END, r := s.r + least(s.q, -x.q) * (x.a - s.a)) END) AS z FROM k)"
-add("i1_wac_positions", f"WITH {SQL_FILLS}, {SQL_WAC} SELECT symbol, n, CAST(z.q AS BIGINT) AS qty, round(z.a, 4) AS avg_price, round(z.r, 4) AS realized FROM w")(lambda s, d: L.wac_positions(fills(s, d), ORDER).select("symbol", "n", "qty", F.round("avg_price", 4).alias("avg_price"), F.round("realized", 4).alias("realized")))
+add("i1_wac_positions", f"WITH {SQL_FILLS}, {SQL_WAC} SELECT symbol, n, CAST(z.q AS BIGINT) AS qty, floor(z.a * 10000 + 0.5) / 10000 AS avg_price, floor(z.r * 10000 + 0.5) / 10000 AS realized FROM w")(lambda s, d: L.wac_positions(fills(s, d), ORDER).select("symbol", "n", "qty", *[(F.floor(C(c) * 10000 + 0.5) / 10000).alias(c) for c in ("avg_price", "realized")]))
 add("i2_cash_ledger", f"WITH {SQL_FILLS} SELECT symbol, order_id, l_linenumber, l_partkey, t, round(CASE WHEN side = 'BUY' THEN -qty * price - fees ELSE qty * price - fees END, 4) AS delta, side || '_FILL' AS reason FROM fills")(lambda s, d: T.cash_ledger(fills(s, d)).select("symbol", "order_id", "l_linenumber", "l_partkey", "t", F.round("delta", 4).alias("delta"), F.concat("side", F.lit("_FILL")).alias("reason")))
-add("i7_size_position", f"WITH {SQL_FILLS} SELECT symbol, order_id, l_linenumber, l_partkey, t, CAST(floor(least(floor(100000 / price), CASE WHEN l_linenumber % 4 = 0 THEN floor(100000 / price) ELSE floor(1000 / abs(price - round(price * 0.98, 2))) END) / (l_linenumber * 5)) * (l_linenumber * 5) AS BIGINT) AS units FROM fills")(
-    lambda s, d: fills(s, d).withColumn("stop", F.when(C("l_linenumber") % 4 != 0, F.round(C("price") * 0.98, 2))).select("symbol", "order_id", "l_linenumber", "l_partkey", "t", L.size_position(C("price"), C("stop"), 1000.0, 100000.0, C("l_linenumber") * 5).alias("units"))
+add("i7_size_position", f"WITH {SQL_FILLS} SELECT symbol, order_id, l_linenumber, l_partkey, t, CAST(floor(least(floor(100000 / price), CASE WHEN l_linenumber % 4 = 0 THEN floor(100000 / price) ELSE floor(1000 / abs(price - floor(price * 98 + 0.5) / 100)) END) / (l_linenumber * 5)) * (l_linenumber * 5) AS BIGINT) AS units FROM fills")(
+    lambda s, d: fills(s, d).withColumn("stop", F.when(C("l_linenumber") % 4 != 0, F.floor(C("price") * 98 + 0.5) / 100)).select("symbol", "order_id", "l_linenumber", "l_partkey", "t", L.size_position(C("price"), C("stop"), 1000.0, 100000.0, C("l_linenumber") * 5).alias("units"))
 )
 add("i9_admit_orders")(lambda s, d: L.admit_orders(orders(s, d).select("bucket", F.floor(C("t") / (30 * DAY)).alias("day"), C("order_id").alias("id"), "notional", "t"), {str(k): (400_000.0 * k, 300_000.0) for k in range(1, 6)}, ["t", "id"]))
 add("i14_unrealized", f"WITH {SQL_FILLS}, {PNL}, u AS (SELECT symbol::VARCHAR AS symbol, unrealized FROM pn UNION ALL SELECT 'TOTAL', unrealized FROM pn) SELECT symbol, round(sum(unrealized), 2) AS unrealized FROM u GROUP BY 1")(
