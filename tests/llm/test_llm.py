@@ -172,6 +172,17 @@ def test_html_on_pages(spark):
         assert got[r["page_id"]] == " ".join(unescape(re.sub(r"</?(?:p|br|h1)>", " ", re.sub(r"</?b>", "", body))).split())
 
 
+def test_html_drops_texts_that_pages_share(spark):
+    page = '<html><body><article><div class="css-1ab2c"><p>Buy our shoes</p></div><p>Story {0} is about {0} things, and they are told at length here.</p><p>It ends.</p>{1}</article></body></html>'
+    rows = [(i, f"http://t.example/{i}", page.format(i, "<p>Read more of this</p>" if i % 2 else ""), "t", "h") for i in range(12)]
+    rows += [(20 + i, f"http://copy.example/{i}", page.format(7, ""), "t", "h") for i in range(12)]  # copies are no evidence
+    rows += [(40 + i, f"http://few.example/{i}", page.format(i, ""), "t", "h") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(12)] == [f"Story {i} is about {i} things, and they are told at length here." for i in range(12)]
+    assert all(got[20 + i] == "Buy our shoes Story 7 is about 7 things, and they are told at length here. It ends." for i in range(12))
+    assert all(got[40 + i] == f"Buy our shoes Story {i} is about {i} things, and they are told at length here. It ends." for i in range(4))
+
+
 def test_wrapper_merge():
     a = html.wrapper_of([(("x",), "1"), (("p",), "2"), (("p",), "3"), (("y",), "4")])
     b = html.wrapper_of([(("x",), "1"), (("p",), "2"), (("z",), "9"), (("y",), "4")])

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ _MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Different pages of a host that must carry a text before it can count as template.
+LEAST_PAGES = 5
 _BREAKS_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -141,14 +144,24 @@ def merge(a: Wrapper, b: Wrapper) -> Wrapper:
     return out
 
 
+def inside(path: str) -> tuple[bool, bool]:
+    """Whether a path lies in the main part, and whether in clutter; clutter around the main part does not count."""
+    names = path.split("/")
+    star = next((i for i, n in enumerate(names) if n.endswith("*")), None)
+    return star is not None, any("!" in n for n in names[(star or 0) if star is not None else 0 :])
+
+
+def key_of(path: str, text: str) -> int:
+    """A hash (signed long) of a text in its slot."""
+    from xxhash import xxh64_intdigest
+
+    n = xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
+
+
 def main_paths(wrapper: Wrapper) -> set[str]:
     """Paths of the slots that hold main text: inside article or main where the host has such, else inside the container
     with most of the unmarked text; never inside clutter, but clutter around the main part does not count."""
-    def inside(path: str) -> tuple[bool, bool]:
-        names = path.split("/")
-        star = next((i for i, n in enumerate(names) if n.endswith("*")), None)
-        return star is not None, any("!" in n for n in names[(star or 0) if star is not None else 0 :])
-
     kinds = {x[0]: inside(x[0]) for x in wrapper}
     good = {p for p, (m, bad) in kinds.items() if m and not bad}
     if good:
@@ -168,8 +181,23 @@ def main_paths(wrapper: Wrapper) -> set[str]:
     return {x[0] for x in plain if x[0] == best or x[0].startswith(best + "/")} if best else {x[0] for x in plain}
 
 
+def fixed_texts(pages: DataFrame) -> DataFrame:
+    """(host, fixed): keys of the texts that a host's pages agree on, from rows (host, page, slots, texts) of its pages.
+
+    ``page`` is a hash of the page's unmarked texts, so copies of a page count once. A string that differs from page to
+    page is a text slot; one that at least LEAST_PAGES pages and half of the pages with its path carry is template. Paths
+    of optional groups count only the pages that have them. All counts are aggregated before they are dealt by host.
+    """
+    once = pages.groupBy("host", "page").agg(F.first("slots").alias("slots"), F.first("texts").alias("texts"))
+    both = once.select("host", F.explode(F.arrays_zip("slots", "texts")).alias("x")).select("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("text"))
+    same = both.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    every = once.select(F.col("host").alias("_host"), F.explode(F.array_distinct("slots")).alias("_slot")).groupBy("_host", "_slot").agg(F.count("*").alias("pages"))
+    agreed = same.join(every, (F.col("host") == F.col("_host")) & (F.col("slot") == F.col("_slot"))).where(2 * F.col("n") >= F.col("pages"))
+    return agreed.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("fixed"))
+
+
 def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, paths): a wrapper's main slots for each host, from all its pages.
+    """(host, paths, fixed): a wrapper's main slots and its fixed texts for each host, from all its pages.
 
     Tasks first merge the pages they hold into a wrapper a host, so a hot host is never gathered; these are merged in two
     rounds, by (host, salt) and by host.
@@ -178,15 +206,36 @@ def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
         from pyspark import TaskContext
 
         done: dict[str, Wrapper] = {}
+        clutter: dict[str, bool] = {}
+
+        def wrappers() -> pd.DataFrame:
+            return pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values())), "page": pd.array([None] * len(done), "Int64"), "slots": None, "texts": None})
+
         for pdf in batches:
+            seen = []
             for host, page in zip(pdf["host"], pdf["html"]):
-                w = wrapper_of(list(blocks(page)))
+                found = list(blocks(page))
+                w = wrapper_of(found)
                 done[host] = merge(done[host], w) if host in done else w
+                texts: dict[int, int] = {}
+                for names, text in found:
+                    path = "/".join(names)
+                    if path not in clutter:
+                        if len(clutter) > 100_000:
+                            clutter.clear()
+                        clutter[path] = inside(path)[1]
+                    if not clutter[path]:
+                        texts[key_of(path, text)] = key_of(path, "")
+                if texts:
+                    every = np.fromiter(texts, np.int64, len(texts))
+                    seen.append((host, 0, None, key_of("", str(every.tobytes())), np.fromiter(texts.values(), np.int64, len(texts)), every))
                 if len(done) > 20_000:
-                    yield pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values()))})
+                    yield wrappers()
                     done = {}
+            if seen:
+                yield pd.DataFrame(seen, columns=["host", "salt", "wrapper", "page", "slots", "texts"])
         if done:
-            yield pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values()))})
+            yield wrappers()
 
     def joined(pdf: pd.DataFrame) -> Wrapper:
         out: Wrapper | None = None
@@ -200,9 +249,11 @@ def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [str(pdf["host"].iloc[0])], "paths": [sorted(main_paths(joined(pdf)))]})
 
-    first = pages.mapInPandas(local, "host string, salt int, wrapper string")
-    salted = first.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
-    return salted.groupBy("host").applyInPandas(last, "host string, paths array<string>")
+    first = save(pages.mapInPandas(local, "host string, salt int, wrapper string, page long, slots array<long>, texts array<long>"), "streams")
+    salted = first.where("wrapper is not null").select("host", "salt", "wrapper").groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
+    paths = salted.groupBy("host").applyInPandas(last, "host string, paths array<string>")
+    fixed = fixed_texts(first.where("page is not null")).withColumnRenamed("host", "_fixed_host")
+    return paths.join(fixed, F.col("host") == F.col("_fixed_host"), "left").select("host", "paths", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
 
 
 def extract(pages: DataFrame, most_broadcast: int = 16_000_000) -> DataFrame:
@@ -210,30 +261,36 @@ def extract(pages: DataFrame, most_broadcast: int = 16_000_000) -> DataFrame:
 
     The text joins the blocks of the host's main slots in page order by one space; references are decoded, white space
     within a block is one space. A page whose own stream holds none of the host's main slots, or lacks the article the
-    host's wrapper has, is read by a wrapper of its own. Null html counts as empty, giving an empty text; pages without a
+    host's wrapper has, is read by a wrapper of its own. Texts that the host's pages agree on (see fixed_texts) are template
+    and left out, unless they are over half of the page's main characters: such a page is a copy of others. Null html counts as empty, giving an empty text; pages without a
     host (null or odd url) share one. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
     The wrappers are broadcast only up to most_broadcast bytes, beyond that joined by host, where skew joins split hot ones.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     wrappers = save(infer(rows.select("host", "html")), "wrappers").withColumnRenamed("host", "_host")
-    size = wrappers.agg(F.sum(F.length(F.to_json("paths")) + F.length("_host") + 50)).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length(F.to_json("paths")) + 8 * F.size("fixed") + F.length("_host") + 50)).first()[0] or 0
     joined = rows.join(F.broadcast(wrappers) if size <= most_broadcast else wrappers, F.col("host") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, set[str]] = {}
+        known: dict[tuple, set] = {}
         for batch in batches:
             texts = []
-            for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist()):
-                found = list(blocks(page))
-                key = tuple(paths or ())
-                slots = known.setdefault(key, set(key))
-                own = {"/".join(p) for p, _ in found}
+            for page, *lists in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "fixed"))):
+                if len(known) > 20_000:
+                    known.clear()
+                found = [("/".join(p), t) for p, t in blocks(page)]
+                slots, fixed = (known.setdefault(k, set(k)) for k in (tuple(x or ()) for x in lists))
+                own = {p for p, _ in found}
                 if not own & slots or any("*" in p for p in own) and not any("*" in p for p in own & slots):
-                    slots = main_paths(wrapper_of(found))
-                texts.append(" ".join(t for p, t in found if "/".join(p) in slots))
+                    slots = main_paths(wrapper_of([(tuple(p.split("/")), t) for p, t in found]))
+                kept = [(p, t) for p, t in found if p in slots]
+                rest = [(p, t) for p, t in kept if key_of(p, t) not in fixed] if fixed else kept
+                if 2 * sum(len(t) for _, t in rest) >= sum(len(t) for _, t in kept):
+                    kept = rest
+                texts.append(" ".join(t for _, t in kept))
             n = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return joined.select("page_id", "url", "html", "paths").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "paths", "fixed").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
