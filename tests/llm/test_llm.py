@@ -183,6 +183,23 @@ def test_html_drops_texts_that_pages_share(spark):
     assert all(got[40 + i] == f"Buy our shoes Story {i} is about {i} things, and they are told at length here. It ends." for i in range(4))
 
 
+def test_html_keeps_what_stands_beside_a_large_box(spark):
+    page = '<html><body><div class="x"><b>Top line of all</b></div><div class="content"><p>Para {0} one.</p><p>Para {0} two.</p><div class="highlight">{1}</div></div></body></html>'
+    rows = [(i, f"http://c.example/{i}", page.format(i, f"code {i} " * 40), "t", "h") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Para {i} one. Para {i} two. " + (f"code {i} " * 40).strip() for i in range(8))
+
+
+def test_html_blocks_go_on_after_raw_elements():
+    texts = lambda page: [t for p, t in html.blocks(page) if not html.inside("/".join(p))[1]]
+    assert texts('<p>a</p><svg width="1"/><p>b</p><svg><path/></svg><p>c</p>') == ["a", "b", "c"]
+    assert texts("<p>a</p><datalist><option>x<option>y</datalist><p>b</p><select><option>z</option></select><p>c</p>") == ["a", "b", "c"]
+    assert texts("<div><canvas>x</div><p>b</p><canvas>y</canvas><p>c</p>") == ["b", "c"]
+    assert texts("<object><object>x</object>y</object><p>b</p>") == ["b"] and texts("<p>a</p><script>if (x) {<p>b</p>") == ["a"]
+    a, b = ("/".join(p) for p, _ in html.blocks(f'<div class="{"w-1/2 !mt-4 " * 9}a">1</div><div class="{"w-1/2 !mt-4 " * 9}b">2</div>'))
+    assert a != b and html.inside(a) == (False, False) and a.count("/") == 0
+
+
 def test_wrapper_merge():
     a = html.wrapper_of([(("x",), "1"), (("p",), "2"), (("p",), "3"), (("y",), "4")])
     b = html.wrapper_of([(("x",), "1"), (("p",), "2"), (("z",), "9"), (("y",), "4")])

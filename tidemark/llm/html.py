@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -20,13 +21,15 @@ from .common import save
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template textarea select option svg math iframe object canvas audio video title".split()
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Of these, what has no elements in it: all up to the end tag is text, and up to the page's end where there is none.
+UNPARSED = {"script", "style", "title", "textarea"}
 CLUTTER = set("nav header footer aside form button dialog menu head".split()) | set(RAW)
 MAIN = {"article", "main"}
 #: Words of class, id and role values that mark what is not main text.
 _MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|side-?bar|menu|nav\w*|breadcrumbs?|header|masthead|footer|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|skip|copyright)(?=$|[\s_-])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Different pages of a host that must carry a text before it can count as template.
 LEAST_PAGES = 5
 _BREAKS_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -35,12 +38,29 @@ _BREAKS_P = set("address article aside blockquote div dl fieldset figure footer
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     """(path, text) of each block in page order: the path names the open elements, text is unescaped and trimmed.
 
-    An element's name carries ``!`` if it is clutter by its tag or by class, id, role or hidden, and ``*`` if it is the
-    main part. End tags close their element and what it holds; p, li, td and the like close by themselves.
+    A name is the tag and a hash of class, id and role, digits apart. It carries ``!`` if it is clutter by its tag or by class, id, role or hidden, and ``*`` if it is the
+    main part. Elements of RAW are left out up to the end tag that is theirs; one without is clutter up to its parent's
+    end, one that ends in /> is empty if svg or math. End tags close their element and what it holds; p, li, td and the like close by themselves.
     """
     stack: list[tuple[str, str]] = []
     held: list[str] = []
     at, size = 0, len(page)
+    pairs: dict[str, dict[int, int]] = {}
+
+    def end_of(tag: str, start: int) -> int | None:
+        """Where the RAW element whose start tag ends at ``start`` is over: each end tag is the innermost open one's."""
+        if tag in UNPARSED:
+            end = re.compile(f"</{tag}\\s*>", re.I).search(page, start)
+            return end.end() if end else size
+        if tag not in pairs:
+            pairs[tag], opened = {}, []
+            for m in re.finditer(f"<(/?){tag}(?=[\\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?>", page, re.I):
+                if not m[1]:
+                    if not (tag in ("svg", "math") and m[0].endswith("/>")):
+                        opened.append(m.end())
+                elif opened:
+                    pairs[tag][opened.pop()] = m.end()
+        return pairs[tag].get(start)
 
     def flush() -> Iterator[tuple[tuple[str, ...], str]]:
         text = " ".join(html.unescape("".join(held)).split())
@@ -76,22 +96,26 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         clutter = tag in CLUTTER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or bool(_MARKED.search(marks)) and tag not in ("body", "html") and not main
         if tag in RAW:
             yield from flush()
-            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
+            if tag in ("svg", "math") and m[0].endswith("/>"):
+                continue
+            end = end_of(tag, at) if tag != "option" else None  # whose end tag may be missing before any sibling
+            if end is not None:
+                at = end
+                continue
         if tag in INLINE:
             if clutter:
                 yield from flush()
                 stack.append((tag, tag + "!"))
             continue
         yield from flush()
-        if tag in VOID or m[0].endswith("/>"):
+        if tag in VOID or m[0].endswith("/>") and tag not in RAW:
             continue
         ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _BREAKS_P else set())
         while stack and stack[-1][0] in ends:
             stack.pop()
-        head = " ".join(sorted(re.split(r"\s+", marks.strip())))[:60] if marks.strip() else ""
-        stack.append((tag, tag + (f".{re.sub(r'[0-9]+', '#', head)}" if head else "") + ("!" if clutter else "") + ("*" if main else "")))
+        head = " ".join(sorted(marks.split()))
+        name = re.sub(r"[!*+.]", "-", tag) + (f".{zlib.crc32(re.sub(r'[0-9]+', '#', head).encode('utf-8', 'surrogatepass')):08x}" if head else "")
+        stack.append((tag, name + ("!" if clutter else "") + ("*" if main else "")))
     yield from flush()
 
 
@@ -160,25 +184,11 @@ def key_of(path: str, text: str) -> int:
 
 
 def main_paths(wrapper: Wrapper) -> set[str]:
-    """Paths of the slots that hold main text: inside article or main where the host has such, else inside the container
-    with most of the unmarked text; never inside clutter, but clutter around the main part does not count."""
+    """Paths of the slots that hold main text: inside article or main where the host has such, else all; never inside
+    clutter, but clutter around the main part does not count. Without article or main nothing tells one container from
+    another but what varies across the pages, which fixed_texts finds text by text: so no container is preferred."""
     kinds = {x[0]: inside(x[0]) for x in wrapper}
-    good = {p for p, (m, bad) in kinds.items() if m and not bad}
-    if good:
-        return good
-    plain = [x for x in wrapper if not kinds[x[0]][1]]
-    total: dict[str, int] = {}
-    for x in plain:
-        names = x[0].split("/")
-        for n in range(1, len(names) + 1):
-            key = "/".join(names[:n])
-            total[key] = total.get(key, 0) + x[4]
-    best, every = "", sum(x[4] for x in plain)
-    for key in sorted(total, key=lambda k: (k.count("/"), k)):
-        leaf = key.split("/")[-1].split(".")[0]
-        if total[key] >= 0.6 * every and leaf in ("div", "section", "td", "body", "html", "table", "tr", "tbody"):
-            best = key
-    return {x[0] for x in plain if x[0] == best or x[0].startswith(best + "/")} if best else {x[0] for x in plain}
+    return {p for p, (m, bad) in kinds.items() if m and not bad} or {p for p, (_, bad) in kinds.items() if not bad}
 
 
 def fixed_texts(pages: DataFrame) -> DataFrame:
