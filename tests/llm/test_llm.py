@@ -282,6 +282,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.drop_toxic(odd, labels.where("toxic is null")).count() == odd.count()
 
 
+@pytest.mark.parametrize("prior", [0.05, 0.15, 0.3, 0.5])
+def test_toxicity_at_priors(spark, prior):
+    r, clean = random.Random(6), ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(0, 9000, 15)]
+    rows = []
+    for i in range(3000):
+        toxic = int(r.random() < prior)
+        bad = [w for w in ("vilq", "nastz", "hatxe", "slurk", "crudv") if r.random() < (0.6 if toxic else 0.01)]
+        rows.append((i, " ".join([*r.sample(clean, 30), *bad]), toxic))
+    docs, labels = docs_of(spark, [t for _, t, _ in rows]), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, labels).collect()}
+    held = [(x, got[i]) for i, _, x in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(x == y for x, y in held) >= 0.95 * len(held)
+    assert sum(x and y for x, y in held) >= (0.8 if prior > 0.1 else 0.5) * sum(x for x, _ in held)
+
+
 def test_nnpu_risk_is_not_negative_fitted():
     rng = np.random.default_rng(0)
     pos = [np.unique(np.append(rng.integers(0, 500, 20), 900 + rng.integers(0, 3))) for _ in range(200)]

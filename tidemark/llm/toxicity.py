@@ -60,14 +60,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(total.values()), -40, 40))))
 
 
-def choose(rows: DataFrame, n_p: int, n_u: int, most_features: int) -> np.ndarray:
-    """Features of rows(tag, f array<long>) surely over-represented among the positives (tag 1) against the rest.
+def choose(rows: DataFrame, n_p: int, n_u: int, most_features: int, prior: float) -> np.ndarray:
+    """Features of rows(tag, f array<long>) surely over-represented among the positives (tag 1) against clean texts.
 
-    Counted over all sampled rows: the log ratio of shares must be log 4 at least and 4 standard errors above zero.
+    Counted over all sampled rows. As the rest (tag 0) holds positives at the class prior, a feature's share among clean
+    texts is (share in the rest - prior * share in positives) / (1 - prior), floored at half a row; the log ratio to it
+    must be log 4 at least. The log ratio to the rest, above zero just where that one is, must be 4 standard errors above.
     """
     one = rows.select("tag", F.explode("f").alias("f")).groupBy("f").agg(F.sum("tag").alias("p"), F.sum(1 - F.col("tag")).alias("u")).where("p >= 4")
-    ratio = F.log((F.col("p") + 0.05) / (n_p + 0.1) / ((F.col("u") + 0.5) / (n_u + 1)))
-    sure = ratio / F.sqrt(1 / (F.col("p") + 0.05) + 1 / (F.col("u") + 0.5))
+    in_p, in_u = (F.col("p") + 0.05) / (n_p + 0.1), (F.col("u") + 0.5) / (n_u + 1)
+    ratio = F.log(in_p / F.greatest((in_u - prior * in_p) / (1 - prior), F.lit(0.5 / (n_u + 1))))
+    sure = F.log(in_p / in_u) / F.sqrt(1 / (F.col("p") + 0.05) + 1 / (F.col("u") + 0.5))
     best = one.select("f", ratio.alias("ratio"), sure.alias("sure")).where((F.col("ratio") >= float(np.log(4))) & (F.col("sure") >= 4))
     return np.sort(np.array([r["f"] for r in best.orderBy(F.desc("sure"), "f").limit(most_features).collect()], np.int64))
 
@@ -149,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     sizes = {r["tag"]: r["count"] for r in rows.groupBy("tag").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
-    chosen = choose(rows, sizes[1], sizes[0], most_features)
+    prior = min(max(ones / n, 0.001), 0.9)
+    chosen = choose(rows, sizes[1], sizes[0], most_features, prior)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
 
     used = rows.mapInPandas(keep, "tag int, doc_id long, f binary").toPandas().sort_values(["tag", "doc_id", "f"])
     docs_of = lambda tag: [np.frombuffer(f, "<u4").astype(np.int64) for f in used["f"][used["tag"] == tag]]
-    return fit(docs_of(1), docs_of(0), min(max(ones / n, 0.001), 0.9), chosen)
+    return fit(docs_of(1), docs_of(0), prior, chosen)
 
 
 def _scorer(docs: DataFrame, model: Model):
