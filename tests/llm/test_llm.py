@@ -263,6 +263,17 @@ def test_secrets(spark, odd, none):
     assert Counter(secrets.redact(odd).columns) == Counter(odd.columns) and secrets.redact(odd).count() == odd.count()
 
 
+def test_secrets_beside_spans_and_allowed_words(spark):
+    key, letters = "Zx9Kq2Lm7Np4Rs8Tv1Wy6Bc3Fd5Gh0Jk2QaEuIoP", "QzWxEcRvTbYnUmIkOlPaSdFgHj"
+    texts = [f"x 1234567890123456789-{key} y", f"a {letters} b", f"sample_key={key}", f"see /a/example/{key}.", f"{key}_1234567890123456789_{letters}", "id=1234567890123456789-1234567890123456789012", "sample-123e4567-e89b-12d3-a456-426614174000", "1234567890123456789-0A1B2C3D4E5F60718293"]
+    docs = docs_of(spark, texts)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(key not in clean[i] and letters not in clean[i] and "[REDACTED]" in clean[i] for i in range(5))
+    assert clean[0] == "x [REDACTED]-[REDACTED] y" and clean[6] == texts[6]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert got[4] == "entropy:0:40,hex:41:60,entropy:61:87" and got[7] == "hex:0:19,entropy:20:40"
+
+
 # --- toxicity
 
 

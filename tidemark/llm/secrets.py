@@ -13,10 +13,10 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # the same as AKIA[A-Z0-9]+ of 18 characters or m
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"  # the same as [0-9a-f]+ of 16 characters or more
 LEAST_ASSIGN = 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 #: Bits a character of a window must reach, by character class of the candidate.
 THRESHOLDS = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "base32": (r"^[A-Z0-9]+$", 3.4), "base64": ("", 3.7)}
-#: Candidates that are no secrets: UUIDs, numbers, runs of the alphabet, marked examples.
+#: Parts of candidates that are no secrets: UUIDs, numbers, runs of the alphabet, marked examples.
 ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9+/=_-]+$|0123456789|abcdefgh|example|sample|dummy|placeholder|xxxx"
 KINDS = ["assign", "access", "hex", "entropy"]
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,m:string>>"
@@ -72,23 +72,48 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _stretches(x: Column, base: Column, allowed: str, window: int) -> Column:
+    """What is left of a candidate without base spans and what the allow-list matches: stretches of a window at least.
+
+    Separators at the ends of a stretch go with what was cut, so that they do not decide its character class.
+    """
+    fixed = F.filter(base, lambda b: _overlaps(x, b))
+    place = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    cuts = F.concat(
+        F.transform(fixed, lambda b: place(b["start"], b["end"])),
+        F.transform(_places(x["m"], allowed, "entropy"), lambda w: place(x["start"] + w["start"], x["start"] + w["end"])),
+        F.array(place(x["end"], x["end"])),
+    )
+
+    def step(acc: Column, c: Column) -> Column:
+        raw = F.substring(x["m"], acc["at"] - x["start"] + 1, c["start"] - acc["at"])
+        m = F.regexp_replace(raw, "^[+/=_-]+|[+/=_-]+$", "")
+        start = acc["at"] + F.length(raw) - F.length(F.regexp_replace(raw, "^[+/=_-]+", ""))
+        span = F.struct(start.alias("start"), x["rank"].alias("rank"), (start + F.length(m)).alias("end"), x["kind"].alias("kind"), m.alias("m"))
+        out = F.when(F.length(m) >= window, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(x["start"].alias("at"), F.array().cast(_SPAN).alias("out"))
+    left = F.filter(F.aggregate(F.array_sort(cuts), start, step, lambda acc: acc["out"]), lambda y: ~y["m"].rlike(allowed))
+    return F.when(x["m"].rlike(allowed) | (F.size(fixed) > 0), left).otherwise(F.array(x))
+
+
 def spans(docs: DataFrame, window: int = 20, allowed: str = ALLOWED) -> DataFrame:
     """docs with __scan_base and __scan_all behind its columns: sorted spans (start, rank, end, kind, m), in code points.
 
     The base spans are the matches of the fixed patterns over the whole text, leftmost and non-overlapping per kind and
-    long enough. Candidates are runs of 20 or more of ALPHABET with a digit, that the allow-list does not suppress and
-    that meet no base span; from the first to the last window of high entropy they form a span of kind entropy. Null
-    text counts as empty; repeated rows stay; an empty table gives an empty result. Columns of these names are replaced.
+    long enough. Candidates are runs of 20 or more of ALPHABET; base spans and what the allow-list matches are cut out of
+    them. From the first to the last window of high entropy each stretch left forms a span of kind entropy. Null text counts as empty; repeated rows stay; an empty table gives an empty result. Columns of these names are replaced.
     """
     text = F.coalesce("text", F.lit(""))
     docs = docs.drop("__scan_base", "__scan_all", "__scan_found", "__scan_high")
     any_of = "|".join(["(?:(?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]", ACCESS, HEX, CANDIDATE])
     none = F.array().cast(_SPAN)
     base = F.concat(_places(text, ASSIGN, "assign", 2, LEAST_ASSIGN), _places(text, ACCESS, "access"), _places(text, HEX, "hex"))
-    high = F.filter(_places(text, CANDIDATE, "entropy"), lambda x: ~x["m"].rlike(allowed))
+    high = _places(text, CANDIDATE, "entropy")
     out = docs.withColumn("__scan_found", F.when(text.rlike(any_of), F.struct(F.array_sort(base).alias("base"), high.alias("high"))))
     base = F.coalesce("__scan_found.base", none)
-    fresh = F.filter(F.coalesce("__scan_found.high", none), lambda x: ~F.exists(F.col("__scan_base"), lambda b: _overlaps(x, b)))
+    fresh = F.flatten(F.transform(F.coalesce("__scan_found.high", none), lambda x: _stretches(x, F.col("__scan_base"), allowed, window)))
     scored = F.transform(F.col("__scan_high"), lambda x: F.struct(x.alias("x"), _windows(x["m"], window).alias("w")))
     part = F.transform(F.filter(scored, lambda y: y["w"]["first"].isNotNull()), lambda y: F.struct((y["x"]["start"] + y["w"]["first"]).alias("start"), y["x"]["rank"].alias("rank"), (y["x"]["start"] + y["w"]["last"] + window).alias("end"), y["x"]["kind"].alias("kind"), F.substring(y["x"]["m"], y["w"]["first"] + 1, y["w"]["last"] - y["w"]["first"] + window).alias("m")))
     out = out.withColumn("__scan_base", base).withColumn("__scan_high", fresh)
