@@ -142,6 +142,24 @@ def test_mix(spark, odd, none):
     assert Counter(map(tuple, mixing.in_mix_order(odd).collect())) == Counter(map(tuple, odd.collect()))
 
 
+def test_mix_keeps_the_weights_asked_for(spark, monkeypatch):
+    weights, n = {"a": 0.6667, "b": 0.3330, "c": 0.0003}, 100_000
+    share, total = mixing.shares(weights), Counter()
+    for slot, (s, k, release, deadline) in enumerate(mixing.islice(mixing.turns(share), n)):
+        total[s] += 1
+        assert release <= slot < deadline
+        if slot % 97 == 0 or slot == n - 1:
+            assert all(abs(total[x] - (slot + 1) * w / sum(weights.values())) < 1 + 1e-6 for x, w in weights.items())
+    assert mixing.shares({"a": 1, "b": 5000}) == {"a": 1, "b": 5000}
+    assert mixing.shares({s: w for s, w in zip("abc", (0.0005, 0.001, 0.002))}) == {"a": 1, "b": 2, "c": 4}
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id < 3, null, concat('s', id % 3)) as source")
+    want = sorted(map(tuple, mixing.mix(docs, {"s0": 0.1, "s1": 0.7, "s2": 5.0, None: 0.0003}, block=2).collect()), key=str)
+    assert len(want) == 3000 and sorted({r[3] for r in want}) == list(range(len({r[3] for r in want})))
+    monkeypatch.setattr(mixing, "HELD", 300)  # the plan in parts, written and read again
+    monkeypatch.setattr(mixing, "RUN", 70)
+    assert sorted(map(tuple, mixing.mix(docs, {"s0": 0.1, "s1": 0.7, "s2": 5.0, None: 0.0003}, block=2).collect()), key=str) == want
+
+
 # --- HTML
 
 
