@@ -86,28 +86,32 @@ class Shard:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 2_000_000, number: int | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = 2_000_000, task_bytes: int = 64 << 20) -> None:
     """Write the ids of docs(doc_id, text, ...) in ascending doc_id order, each document followed by end_id.
 
-    ``path`` gets Parquet files with a row (part, shard, n_docs, n_ids, payload) for each shard of about shard_ids ids;
-    a document is never split. Null text counts as empty (only the end id). Rows of one doc_id follow each other by
-    text; a null doc_id comes first. An empty table writes an empty dataset. Other columns are ignored.
+    ``path`` gets Parquet files with a row (part, shard, before, n_docs, n_ids, payload) for each shard of about
+    shard_ids ids, where ``before`` counts the ids of the part's earlier shards; a document is never split, however long
+    its text. Parts are the ranges of doc_id that a task writes, of about task_bytes of text at most. Null text counts
+    as empty (only the end id). Rows of one doc_id follow each other by text; a null doc_id comes first. An empty table
+    writes an empty dataset. Other columns are ignored.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = source.repartitionByRange(number or parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = source.repartitionByRange(parts(spark, -(-size // task_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
 
         def flush() -> pd.DataFrame:
-            nonlocal shard, names, held
-            out = pd.DataFrame({"part": [part], "shard": [shard], "n_docs": [len(held)], "n_ids": [sum(map(len, held))], "payload": [Shard.pack(names, held)]})
-            shard, names, held = shard + 1, [], []
+            nonlocal shard, before, names, held
+            size = sum(map(len, held))
+            out = pd.DataFrame({"part": [part], "shard": [shard], "before": [before], "n_docs": [len(held)], "n_ids": [size], "payload": [Shard.pack(names, held)]})
+            shard, before, names, held = shard + 1, before + size, [], []
             return out
 
         n = 0
@@ -122,16 +126,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard
         if held:
             yield flush()
 
-    ordered.mapInPandas(run, "part long, shard long, n_docs long, n_ids long, payload binary").write.parquet(path)
+    ordered.mapInPandas(run, "part long, shard long, before long, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids binary]) of files of write_ids: start counts the ids of all documents
-    before, the checksum is of the ids as read."""
+    before, the checksum is of the ids as read. Payloads stay in the tasks that read them: only the ids of the parts
+    before theirs are broadcast, a row for each task that wrote."""
     shards = spark.read.parquet(path)
-    before = F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))
-    starts = shards.select("part", "shard", "n_ids").select("part", "shard", F.coalesce(before, F.lit(0)).alias("before"))
-    placed = shards.select("part", "shard", "payload").join(starts, ["part", "shard"])
+    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(F.col("part").alias("_part"), F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    placed = shards.join(F.broadcast(starts), F.col("part") == F.col("_part")).select((F.col("before") + F.col("_earlier")).alias("before"), "payload")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
