@@ -6,8 +6,9 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,14 @@ CLUTTER = set("nav header footer aside form button dialog menu head".split()) |
 MAIN = {"article", "main"}
 #: Words of class, id and role values that mark what is not main text.
 _MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|overlay|side-?bar|menu|nav\w*|breadcrumbs?|header|masthead|footer|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|skip|copyright)(?=$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+#: What follows a tag's name: quotes hide > in values only. Nothing is looked at twice.
+_REST = re.compile(r"(?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+>")
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
+#: Ends of comments, of CDATA and of other declarations.
+_UNTIL = {"<!--": "-->", "<![CDATA[": "]]>"}
+#: Elements this deep and below share the names above them; what they are is in the last name.
+DEEP = 200
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Different pages of a host that must carry a text before it can count as template.
 LEAST_PAGES = 5
@@ -38,134 +45,181 @@ _BREAKS_P = set("address article aside blockquote div dl fieldset figure footer
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     """(path, text) of each block in page order: the path names the open elements, text is unescaped and trimmed.
 
-    A name is the tag and a hash of class, id and role, digits apart. It carries ``!`` if it is clutter by its tag or by class, id, role or hidden, and ``*`` if it is the
-    main part. Elements of RAW are left out up to the end tag that is theirs; one without is clutter up to its parent's
-    end, one that ends in /> is empty if svg or math. End tags close their element and what it holds; p, li, td and the like close by themselves.
+    A name is the tag and a hash of class, id and role, digits apart. It carries ``!`` if it is clutter by its tag, by
+    being hidden or, unless it stands within a line, by the words of class, id or role, and ``*`` if it is the main part.
+    Elements of RAW are left out up to the end tag that is theirs; one without is clutter up to its parent's end, one that
+    ends in /> is empty if svg or math. End tags close their element and what it holds; p, li, td and the like close by
+    themselves. A tag whose quotes never close ends at the next >; one without any > is text. The time grows in
+    proportion to the page's length, whatever is left open in it.
     """
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     at, size = 0, len(page)
+    last, unquoted = page.rfind(">"), size
     pairs: dict[str, dict[int, int]] = {}
 
+    def tag_end(start: int) -> int:
+        """Behind the > of the tag whose name ends at ``start``; 0 if there is none."""
+        nonlocal unquoted
+        if start > last:
+            return 0
+        if start < unquoted:
+            m = _REST.match(page, start)
+            if m:
+                return m.end()
+            unquoted = start  # from here on a quote may stay open up to the page's end
+        return page.find(">", start) + 1
+
     def end_of(tag: str, start: int) -> int | None:
         """Where the RAW element whose start tag ends at ``start`` is over: each end tag is the innermost open one's."""
         if tag in UNPARSED:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(page, start)
+            end = re.compile(f"</{tag}\\s*+>", re.I).search(page, start)
             return end.end() if end else size
         if tag not in pairs:
-            pairs[tag], opened = {}, []
-            for m in re.finditer(f"<(/?){tag}(?=[\\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?>", page, re.I):
+            pairs[tag], begun, look = {}, [], re.compile(f"<(/?){tag}(?=[\\s/>])", re.I)
+            m = look.search(page)
+            while m and (end := tag_end(m.end())):
                 if not m[1]:
-                    if not (tag in ("svg", "math") and m[0].endswith("/>")):
-                        opened.append(m.end())
-                elif opened:
-                    pairs[tag][opened.pop()] = m.end()
+                    if not (tag in ("svg", "math") and page[end - 2] == "/"):
+                        begun.append(end)
+                elif begun:
+                    pairs[tag][begun.pop()] = end
+                m = look.search(page, end)
         return pairs[tag].get(start)
 
     def flush() -> Iterator[tuple[tuple[str, ...], str]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            yield tuple(n for _, n in stack), text
+            yield tuple(n for _, n in (stack if len(stack) <= DEEP else [*stack[:DEEP], stack[-1]])), text
+
+    def push(tag: str, name: str) -> None:
+        if len(stack) >= DEEP:
+            above = stack[-1][1] if len(stack) > DEEP else ""
+            flags = "".join(c for c in "!*" if c in above or c in name)
+            name = f"{zlib.crc32((above + '/' + name).encode('utf-8', 'surrogatepass')):08x}{flags}"
+        stack.append((tag, name))
+        opened[tag] += 1
+
+    def pop() -> tuple[str, str]:
+        tag, name = stack.pop()
+        opened[tag] -= 1
+        return tag, name
 
     while at < size:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if not m:
             held.append(page[at:])
             break
         held.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[1] or "").lower()
-        if not tag or tag in INLINE and not (tag != "a" and m[2] and _ATTR.search(m[2])):
+        if not m[2]:
+            until = _UNTIL.get(m[0], ">")
+            end = page.find(until, m.end())
+            at = end + len(until) if end >= 0 else size
             continue
-        if m[0][1] == "/":
-            if tag in INLINE and not any(t == tag for t, _ in stack):
-                continue
-            if any(t == tag for t, _ in stack):
+        at = tag_end(m.end())
+        if not at:
+            held.append("<")
+            at = m.start() + 1
+            continue
+        tag, rest = m[2].lower(), page[m.end() : at - 1]
+        if tag in INLINE and not opened[tag] and not ("hidden" in rest or "none" in rest):
+            continue
+        if m[1]:
+            if opened[tag]:
                 if tag not in INLINE or "!" in next(n for t, n in reversed(stack) if t == tag):
                     yield from flush()
-                while stack.pop()[0] != tag:
+                while pop()[0] != tag:
                     pass
-            else:
+            elif tag not in INLINE:
                 yield from flush()
             continue
-        attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(m[2] or "")}
+        attrs: dict[str, str] = {}
+        for k, v in _ATTR.findall(rest):
+            attrs.setdefault(k.lower(), v.strip("\"'"))
         marks = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-        style = attrs.get("style", "").replace(" ", "").lower()
         main = tag in MAIN or attrs.get("role", "").lower() == "main"
-        clutter = tag in CLUTTER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or bool(_MARKED.search(marks)) and tag not in ("body", "html") and not main
+        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        if tag in INLINE:
+            if hidden:
+                yield from flush()
+            if hidden or opened[tag]:
+                push(tag, tag + "!" * hidden)
+            continue
+        clutter = tag in CLUTTER or hidden or bool(_MARKED.search(marks)) and tag not in ("body", "html") and not main
+        empty = rest.endswith("/")
         if tag in RAW:
             yield from flush()
-            if tag in ("svg", "math") and m[0].endswith("/>"):
+            if tag in ("svg", "math") and empty:
                 continue
             end = end_of(tag, at) if tag != "option" else None  # whose end tag may be missing before any sibling
             if end is not None:
                 at = end
                 continue
-        if tag in INLINE:
-            if clutter:
-                yield from flush()
-                stack.append((tag, tag + "!"))
-            continue
         yield from flush()
-        if tag in VOID or m[0].endswith("/>") and tag not in RAW:
+        if tag in VOID or empty and tag not in RAW:
             continue
         ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _BREAKS_P else set())
         while stack and stack[-1][0] in ends:
-            stack.pop()
+            pop()
         head = " ".join(sorted(marks.split()))
         name = re.sub(r"[!*+.]", "-", tag) + (f".{zlib.crc32(re.sub(r'[0-9]+', '#', head).encode('utf-8', 'surrogatepass')):08x}" if head else "")
-        stack.append((tag, name + ("!" if clutter else "") + ("*" if main else "")))
+        push(tag, name + ("!" if clutter else "") + ("*" if main else ""))
     yield from flush()
 
 
-def fold(stream: list[str]) -> list[str]:
-    """Repeats made groups: a run x x x, and then of pairs, triples and so on, becomes x+."""
-    for width in range(1, 5):
-        out, at = [], 0
-        while at < len(stream):
-            unit, n = stream[at : at + width], 1
-            while stream[at + n * width : at + (n + 1) * width] == unit and len(unit) == width:
-                n += 1
-            if n > 1:
-                out += [u if u.endswith("+") else u + "+" for u in unit]
-                at += n * width
-            else:
-                out.append(stream[at])
-                at += 1
-        stream = out
-    return stream
-
-
 Wrapper = list[list]  # of [path, optional, repeated, pages, characters]
 
 
 def wrapper_of(found: list[tuple[tuple[str, ...], str]]) -> Wrapper:
-    """The token stream of one page as a wrapper: a text slot for each path, repeated groups folded."""
-    size: dict[str, int] = {}
-    for path, text in found:
-        size["/".join(path)] = size.get("/".join(path), 0) + len(text)
-    out = []
-    for token in fold(["/".join(p) for p, _ in found]):
-        path = token.rstrip("+")
-        out.append([path, 0, int(token.endswith("+")), 1, size.pop(path, 0)])
-    return out
+    """The token stream of one page as a wrapper: a text slot for each path, repeated where the path comes again."""
+    out: dict[str, list] = {}
+    for names, text in found:
+        path = "/".join(names)
+        if path in out:
+            out[path][2], out[path][4] = 1, out[path][4] + len(text)
+        else:
+            out[path] = [path, 0, 0, 1, len(text)]
+    return list(out.values())
 
 
 def merge(a: Wrapper, b: Wrapper) -> Wrapper:
-    """Align two wrappers: slots on both sides meet, a slot on one side only becomes optional, or repeated where the same
-    path stands before it."""
-    out: Wrapper = []
-    for kind, i, j, k, l in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [[x[0], x[1] | y[1], x[2] | y[2], x[3] + y[3], x[4] + y[4]] for x, y in zip(a[i:j], b[k:l])]
-            continue
-        for x in [*a[i:j], *b[k:l]]:
-            if out and out[-1][0] == x[0]:
-                out[-1] = [x[0], out[-1][1] & x[1], 1, max(out[-1][3], x[3]), out[-1][4] + x[4]]
+    """Align two wrappers along a longest run of slots that both have in the same order.
+
+    Slots of one side only become optional; slots of both that stand in another order become repeated groups, at their
+    first place. A slot comes once in a wrapper, so the alignment takes n log n steps.
+    """
+    at = {x[0]: k for k, x in enumerate(b)}
+    shared = [(i, at[x[0]]) for i, x in enumerate(a) if x[0] in at]
+    tails, tops, before = [], [], []
+    for n, (_, k) in enumerate(shared):
+        where = bisect_left(tails, k)
+        before.append(tops[where - 1] if where else -1)
+        if where == len(tails):
+            tails.append(k)
+            tops.append(n)
+        else:
+            tails[where], tops[where] = k, n
+    chain, n = [(len(a), len(b))], tops[-1] if tops else -1
+    while n >= 0:
+        chain.append(shared[n])
+        n = before[n]
+    in_a, in_b = {x[0] for x in a}, at
+    out: dict[str, list] = {}
+    i = j = 0
+    for p, q in reversed(chain):
+        for x in [*a[i:p], *b[j:q]]:
+            if x[0] in out:
+                y = out[x[0]]
+                out[x[0]] = [x[0], x[1] | y[1], 1, x[3] + y[3], x[4] + y[4]]
             else:
-                out.append([x[0], 1, x[2], x[3], x[4]])
-    return out
+                out[x[0]] = [x[0], x[1] if x[0] in in_a and x[0] in in_b else 1, *x[2:]]
+        if p < len(a):
+            x, y = a[p], b[q]
+            out[x[0]] = [x[0], x[1] | y[1], x[2] | y[2], x[3] + y[3], x[4] + y[4]]
+        i, j = p + 1, q + 1
+    return list(out.values())
 
 
 def inside(path: str) -> tuple[bool, bool]:
