@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -48,6 +49,9 @@ def small(spark, name):
 
 def test_encoder_equals_library():
     plain, fast = Tokenizer.from_file(tokenizer()), Encoder(tokenizer(), words=50)
+    group = [" ".join(random.Random(k).choices(["der", "Élan", "re***", "x.\nNo", "中文", "don't", "a1", "ſs", "", "q" * 300, "<|endoftext|>"], k=40)) for k in range(300)]
+    for _ in range(2):
+        assert [x.tolist() for x in fast.encode(group, group=5000)] == [x.ids for x in plain.encode_batch(group, add_special_tokens=False)]
     r, alphabet = random.Random(3), ["a", "B", "é", " ", "  ", "\n", ".", "'s", "'", "1", "²", "_", "<|endoftext|>", "٣", " ", "\t", "-", "\x1c", "中"]
     for _ in range(2000):
         s = "".join(r.choice(alphabet) for _ in range(r.randint(0, 14)))
@@ -218,6 +222,47 @@ def test_html_blocks_go_on_after_raw_elements():
     assert a != b and html.inside(a) == (False, False) and a.count("/") == 0
 
 
+def test_html_in_linear_time():
+    began = time.time()
+    quotes = '<a ' + '"x" ' * 200 + "y" * 1_000_000
+    for page in (quotes, "<a <a " * 200_000, '<a href="' * 100_000, "<p>x" + "<div>" * 50_000 + "y</span>" * 50_000, "<!-- " * 200_000, "<svg " * 100_000 + "<svg>" * 50_000, "=" * 1_000_000 + "<p ===\"'" + "='" * 300_000 + ">z", "<p class=" * 100_000, "</script" + " " * 500_000 + "<script>x"):
+        list(html.blocks(page))
+    many = [((f"k{k % 5000}",), "t") for k in range(20_000)]
+    html.merge(html.wrapper_of(many), html.wrapper_of(many[::-1]))
+    assert time.time() - began < 20
+    assert [t for _, t in html.blocks(f'<p>a{quotes}')] == ["a" + " ".join(quotes.split())]
+    assert [t for _, t in html.blocks('<p>a<b title="x>y">b</b> <i =">c</i><p>d')] == ["ab c", "d"]
+    deep = list(html.blocks("<div>" * 300 + "<nav>no<p>no</nav>yes" + "</div>" * 300 + "<article>end</article>"))
+    assert [(t, html.inside("/".join(p))) for p, t in deep] == [("no", (False, True)), ("no", (False, True)), ("yes", (False, False)), ("end", (True, False))]
+
+
+def test_html_keeps_marked_words_within_lines():
+    texts = lambda page: [t for p, t in html.blocks(page) if not html.inside("/".join(p))[1]]
+    assert texts('<article><p>We thank the <span class="notice">board</span> for it.</p><div class="notice">n</div></article>') == ["We thank the board for it."]
+    assert texts('<p>a <span hidden>b <span>c</span> d</span> e</p><p title="class=ads">f</p>') == ["a", "e", "f"]
+
+
+def brute_alignment(a, b):
+    """Length of a longest common subsequence, by the table of all prefixes."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+def test_wrapper_alignment_is_longest():
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = (r.sample("abcdefghijkl", r.randint(0, 12)) for _ in range(2))
+        m = html.merge(*(html.wrapper_of([((x,), "t") for x in w]) for w in (a, b)))
+        assert sorted(x[0] for x in m) == sorted(set(a) | set(b))
+        assert {x[0] for x in m if x[1]} == set(a) ^ set(b)
+        assert sum(x[3] == 2 and not x[2] for x in m) == brute_alignment(a, b)
+
+
 def test_wrapper_merge():
     a = html.wrapper_of([(("x",), "1"), (("p",), "2"), (("p",), "3"), (("y",), "4")])
     b = html.wrapper_of([(("x",), "1"), (("p",), "2"), (("z",), "9"), (("y",), "4")])
@@ -281,6 +326,18 @@ def test_secrets(spark, odd, none):
     assert Counter(secrets.redact(odd).columns) == Counter(odd.columns) and secrets.redact(odd).count() == odd.count()
 
 
+def test_secrets_in_very_long_texts(spark):
+    r = random.Random(8)
+    some = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    texts = [some(secrets.ALPHABET[:64], 300_000), " ".join(some("0123456789abcdef", 20) for _ in range(20_000)), "password=abcdefghijklmno " * 20_000, "xy" * 100_000, " ".join(some(secrets.ALPHABET[:62], 24) for _ in range(5000)), "q" * 50_000 + some(secrets.ALPHABET[:62], 30) + "q" * 50_000]
+    began = time.time()
+    got = {row["doc_id"]: tuple(row)[1:] for row in secrets.scan(docs_of(spark, texts)).collect()}
+    clean = {row["doc_id"]: row["text"] for row in secrets.redact(docs_of(spark, texts)).collect()}
+    assert time.time() - began < 60  # seconds; hours where the time grows with the square of the length
+    assert all(got[i] == brute_secrets(t) for i, t in enumerate(texts) if not re.search(secrets.ALLOWED, t))
+    assert clean[1] == " ".join(["[REDACTED]"] * 20_000) and clean[2] == "[REDACTED] " * 20_000 and clean[3] == texts[3]
+
+
 def test_secrets_beside_spans_and_allowed_words(spark):
     key, letters = "Zx9Kq2Lm7Np4Rs8Tv1Wy6Bc3Fd5Gh0Jk2QaEuIoP", "QzWxEcRvTbYnUmIkOlPaSdFgHj"
     texts = [f"x 1234567890123456789-{key} y", f"a {letters} b", f"sample_key={key}", f"see /a/example/{key}.", f"{key}_1234567890123456789_{letters}", "id=1234567890123456789-1234567890123456789012", "sample-123e4567-e89b-12d3-a456-426614174000", "1234567890123456789-0A1B2C3D4E5F60718293"]
