@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,28 +35,17 @@ def band_crossing(x: Column, band: float) -> Column:
     return F.when((before <= -band) & (x > band), 1).when((before >= band) & (x < -band), -1).otherwise(0)
 
 
-def opening_breakout(bars: DataFrame, minutes: int, shift: int = 19800) -> DataFrame:
+def opening_breakout(bars: DataFrame, minutes: int, start: int = 555, shift: int = 19800) -> DataFrame:
     """The first close of each local day outside its opening range."""
-    x = W.with_opening_range(bars, minutes, shift)
+    x = W.with_opening_range(bars, minutes, start, shift)
     w = Window.partitionBy("symbol", "day")
-    late = F.col("t") >= F.col("_t0") + minutes * 60
-    x = x.withColumn("_t0", F.min("t").over(w)).withColumn("zone", F.when(late, outside(F.col("c"), F.col("or_low"), F.col("or_high"))))
+    x = x.withColumn("zone", outside(F.col("c"), F.col("or_low"), F.col("or_high")))
     x = x.withColumn("_hit", F.min(F.when(F.col("zone") != 0, F.col("t"))).over(w))
     return x.select("symbol", "t", F.when(F.col("t") == F.col("_hit"), act(F.col("zone"))).otherwise("FLAT").alias("action"))
 
 
-def emas(bars: DataFrame, spans: dict[str, int], seed: str) -> DataFrame:
-    """(symbol, t, one column a span): exponential means of the close, all in one pass over each series."""
-    fn = lambda p: pd.DataFrame({k: W._ema(p["c"].to_numpy(float), n, seed) for k, n in spans.items()})
-    return W._series(bars.select("symbol", "t", "c"), fn, ", ".join(f"{k} double" for k in spans))
-
-
-def with_emas(bars: DataFrame, spans: dict[str, int], seed: str) -> DataFrame:
-    return bars.join(emas(bars, spans, seed), ["symbol", "t"])
-
-
 def keltner(bars: DataFrame, n: int = 20, n_atr: int = 14, k: float = 2.0) -> DataFrame:
-    x = W.with_atr(with_emas(bars, {"mid": n}, "sma"), n_atr)
+    x = W.with_atr(W.with_emas(bars, {"mid": n}, "sma"), n_atr)
     return x.withColumn("lower", F.col("mid") - k * F.col("atr")).withColumn("upper", F.col("mid") + k * F.col("atr"))
 
 
@@ -97,4 +85,4 @@ def half_life(spreads: DataFrame, value: str = "spread", least: int = 30) -> Dat
     d = spreads.where(F.col(value).isNotNull()).withColumn("_p", F.lag(value).over(W.ordered())).withColumn("_d", F.col(value) - F.col("_p"))
     g = d.groupBy("symbol").agg(F.count("*").alias("n"), F.regr_slope("_d", "_p").alias("b"))
     ok = (F.col("n") >= least) & (F.col("b") > -1) & (F.col("b") != 0)
-    return g.select("symbol", "n", F.when(ok, -np.log(2) / F.log1p("b")).alias("half_life"))
+    return g.select("symbol", "n", F.when(ok, -math.log(2) / F.log1p("b")).alias("half_life"))

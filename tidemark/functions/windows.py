@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..operators.folds import extended
+
 BY = ("symbol",)
 
 
@@ -34,13 +36,15 @@ def rsi(c: Column, n: int) -> Column:
 
 
 def true_range(h: Column, l: Column, c: Column) -> Column:  # noqa: E741
+    """Null at a series' first bar, which has no close before it."""
     before = F.lag(c).over(ordered())
-    return F.greatest(h - l, F.abs(h - before), F.abs(l - before))
+    return F.when(before.isNotNull(), F.greatest(h - l, F.abs(h - before), F.abs(l - before)))
 
 
 def with_atr(bars: DataFrame, n: int) -> DataFrame:
+    """Mean of the last n true ranges, from bar n + 1 on."""
     ranged = bars.withColumn("tr", true_range(F.col("h"), F.col("l"), F.col("c")))
-    return ranged.withColumn("atr", _ready(F.avg("tr").over(_frame(n)), n))
+    return ranged.withColumn("atr", F.when(F.count("tr").over(_frame(n)) >= n, F.avg("tr").over(_frame(n))))
 
 
 def bollinger(c: Column, n: int, k: float) -> tuple[Column, Column, Column]:
@@ -69,22 +73,25 @@ def cci(h: Column, l: Column, c: Column, n: int) -> Column:  # noqa: E741
 
 
 def with_session_vwap(bars: DataFrame, shift: int = 19800, least: int = 3) -> DataFrame:
-    """VWAP of the local day so far (volume 1 at least), and the close's deviation over its expanding sample deviation."""
+    """Mean close of the local day so far by volume (1 at least), and the close's deviation from it over that
+    deviation's expanding sample deviation."""
     w = Window.partitionBy("symbol", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    tp, v = (F.col("h") + F.col("l") + F.col("c")) / 3, F.greatest(F.col("vol"), F.lit(1))
-    out = bars.withColumn("day", F.floor((F.col("t") + shift) / 86400)).withColumn("vwap", F.sum(tp * v).over(w) / F.sum(v).over(w))
+    v = F.greatest(F.col("vol"), F.lit(1))
+    out = bars.withColumn("day", F.floor((F.col("t") + shift) / 86400)).withColumn("vwap", F.sum(F.col("c") * v).over(w) / F.sum(v).over(w))
     out = out.withColumn("dev", F.col("c") - F.col("vwap"))
     sd = F.stddev_samp("dev").over(w)
     return out.withColumn("dev_z", F.when((F.count("dev").over(w) >= least) & (sd > 0), F.col("dev") / sd))
 
 
-def with_opening_range(bars: DataFrame, minutes: int, shift: int = 19800) -> DataFrame:
+def with_opening_range(bars: DataFrame, minutes: int, start: int = 555, shift: int = 19800) -> DataFrame:
+    """High and low of the ``minutes`` from local minute ``start`` on, for the day's bars after them; null before, and on
+    days without a bar in the range."""
     w = Window.partitionBy("symbol", "day")
-    out = bars.withColumn("day", F.floor((F.col("t") + shift) / 86400))
-    early = F.col("t") < F.min("t").over(w) + minutes * 60
-    out = out.withColumn("_early", early)
-    high, low = F.max(F.when(F.col("_early"), F.col("h"))).over(w), F.min(F.when(F.col("_early"), F.col("l"))).over(w)
-    return out.withColumn("or_high", high).withColumn("or_low", low).drop("_early")
+    at = F.floor((F.col("t") + shift) % 86400 / 60)
+    out = bars.withColumn("day", F.floor((F.col("t") + shift) / 86400)).withColumn("_at", at)
+    within, after = F.col("_at").between(start, start + minutes - 1), F.col("_at") >= start + minutes
+    high, low = F.max(F.when(within, F.col("h"))).over(w), F.min(F.when(within, F.col("l"))).over(w)
+    return out.withColumn("or_high", F.when(after, high)).withColumn("or_low", F.when(after, low)).drop("_at")
 
 
 def crossing(zone: Column, *keys: str) -> Column:
@@ -99,98 +106,167 @@ def rolling_beta(y: Column, x: Column, n: int, *keys: str) -> Column:
     return _ready(F.when(F.abs(den) >= 1e-12, F.regr_slope(y, x).over(w)), n, *keys)
 
 
+def rolling_beta_origin(y: Column, x: Column, n: int, *keys: str) -> Column:
+    """Slope of the line through the origin."""
+    w = _frame(n, *keys)
+    den = F.sum(x * x).over(w)
+    return _ready(F.when(den >= 1e-12, F.sum(x * y).over(w) / den), n, *keys)
+
+
 def drawdown(equity: Column, *keys: str) -> Column:
     peak = F.max(F.greatest(equity, F.lit(0.0))).over(ordered(*keys).rowsBetween(Window.unboundedPreceding, 0))
     return equity - peak
 
 
-# Recursions: one series a group, in time order.
+# Recursions: folds in time order, a row after the other, with a key's state only in memory.
+
+
+class Ema:
+    """seed: first value; sma (of the first n); sma_double (that, with the n-th value applied again)."""
+
+    def __init__(self, n: int, seed: str = "first"):
+        self.n, self.seed, self.a, self.seen, self.value = n, seed, 2 / (n + 1), 0, 0.0
+
+    def add(self, v: float) -> float | None:
+        self.seen += 1
+        if self.seed == "first":
+            self.value = v if self.seen == 1 else self.value + self.a * (v - self.value)
+            return self.value
+        if self.seen <= self.n:
+            self.value += v / self.n
+        if self.seen > self.n or self.seen == self.n and self.seed == "sma_double":
+            self.value += self.a * (v - self.value)
+        return self.value if self.seen >= self.n else None
+
+
+class TwoEmas:
+    """Seeded with the means of their first values, both stay as they are until the slower one is there; from that value
+    on, which so counts twice, both follow."""
+
+    def __init__(self, fast: int, slow: int):
+        self.n, self.seen, self.values = (fast, slow), 0, [0.0, 0.0]
+
+    def add(self, v: float) -> tuple[float, float] | None:
+        self.seen += 1
+        for k, n in enumerate(self.n):
+            if self.seen <= n:
+                self.values[k] += v / n
+            if self.seen >= max(self.n):
+                self.values[k] += 2 / (n + 1) * (v - self.values[k])
+        return tuple(self.values) if self.seen >= max(self.n) else None
+
 
+def _by_symbol(bars: DataFrame, make: Callable[[], Callable], extra: str) -> DataFrame:
+    return extended(bars, ["symbol"], ["t"], make, extra)
 
-def _ema(x: np.ndarray, n: int, seed: str) -> np.ndarray:
-    out, a, state = np.full(len(x), np.nan), 2 / (n + 1), np.nan
-    for i, v in enumerate(x):
-        if seed == "first":
-            state = v if i == 0 else state + a * (v - state)
-        elif i == n - 1:
-            state = x[:n].mean()
-            state = state + a * (v - state) if seed == "sma_double" else state
-        elif i >= n:
-            state += a * (v - state)
-        out[i] = state
-    return out
 
+def with_emas(bars: DataFrame, spans: dict[str, int], seed: str = "first") -> DataFrame:
+    """bars with a column a span: exponential means of the close, all in one pass."""
 
-def _series(df: DataFrame, fn, columns: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pd.concat([pdf[["symbol", "t"]].reset_index(drop=True), fn(pdf.reset_index(drop=True))], axis=1)
+    def make():
+        each = [Ema(n, seed) for n in spans.values()]
+        return lambda row: tuple(e.add(row.c) for e in each)
 
-    return df.groupBy("symbol").applyInPandas(run, f"symbol string, t long, {columns}")
+    return _by_symbol(bars, make, ", ".join(f"{k} double" for k in spans))
 
 
 def ema(bars: DataFrame, n: int, seed: str = "first") -> DataFrame:
-    """(symbol, t, ema). seed: first value; sma (of the first n); sma_double (that, with the n-th value applied again)."""
-    return _series(bars.select("symbol", "t", "c"), lambda p: pd.DataFrame({"ema": _ema(p["c"].to_numpy(float), n, seed)}), "ema double")
+    return with_emas(bars.select("symbol", "t", "c"), {"ema": n}, seed).drop("c")
+
+
+def with_two_emas(bars: DataFrame, fast: int, slow: int) -> DataFrame:
+    """bars with fast and slow, as TwoEmas."""
+
+    def make():
+        both = TwoEmas(fast, slow)
+        return lambda row: both.add(row.c) or (None, None)
+
+    return _by_symbol(bars, make, "fast double, slow double")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        c = p["c"].to_numpy(float)
-        line = _ema(c, fast, "sma") - _ema(c, slow, "sma")
-        sig = np.full(len(c), np.nan)
-        ok = ~np.isnan(line)
-        sig[ok] = _ema(line[ok], signal, "sma")
-        return pd.DataFrame({"macd": line, "signal": sig, "hist": line - sig})
+    """The line of TwoEmas, its exponential mean seeded with the mean of its first values, and what lies between."""
+
+    def make():
+        both, mean = TwoEmas(fast, slow), Ema(signal, "sma")
+
+        def step(row):
+            found = both.add(row.c)
+            line = found and found[0] - found[1]
+            sig = None if line is None else mean.add(line)
+            return line, sig, None if sig is None else line - sig
+
+        return step
 
-    return _series(bars.select("symbol", "t", "c"), fn, "macd double, signal double, hist double")
+    return _by_symbol(bars.select("symbol", "t", "c"), make, "macd double, signal double, hist double").drop("c")
+
+
+class WilderRsi:
+    def __init__(self, n: int):
+        self.n, self.seen, self.before, self.up, self.down = n, 0, None, 0.0, 0.0
+
+    def add(self, c: float) -> float | None:
+        before, self.before = self.before, c
+        if before is None:
+            return None
+        self.seen += 1
+        up, down = max(c - before, 0.0), max(before - c, 0.0)
+        if self.seen <= self.n:
+            self.up, self.down = self.up + up / self.n, self.down + down / self.n
+        else:
+            self.up, self.down = (self.up * (self.n - 1) + up) / self.n, (self.down * (self.n - 1) + down) / self.n
+        if self.seen < self.n:
+            return None
+        return 100.0 if self.down == 0 else 100 - 100 / (1 + self.up / self.down)
 
 
 def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        d = np.diff(p["c"].to_numpy(float))
-        out = np.full(len(p), np.nan)
-        if len(d) >= n:
-            up, down = np.maximum(d, 0), np.maximum(-d, 0)
-            g, l = up[:n].mean(), down[:n].mean()  # noqa: E741
-            for i in range(n, len(p)):
-                if i > n:
-                    g, l = (g * (n - 1) + up[i - 1]) / n, (l * (n - 1) + down[i - 1]) / n  # noqa: E741
-                out[i] = 100.0 if l == 0 else 100 - 100 / (1 + g / l)
-        return pd.DataFrame({"rsi": out})
+    def make():
+        fold = WilderRsi(n)
+        return lambda row: (fold.add(row.c),)
 
-    return _series(bars.select("symbol", "t", "c"), fn, "rsi double")
+    return _by_symbol(bars.select("symbol", "t", "c"), make, "rsi double").drop("c")
 
 
 def heikin_ashi(bars: DataFrame) -> DataFrame:
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        hc = p[["o", "h", "l", "c"]].mean(axis=1).to_numpy()
-        ho, state = np.empty(len(p)), None
-        for i in range(len(p)):
-            state = (p["o"][i] + p["c"][i]) / 2 if state is None else (state + hc[i - 1]) / 2
-            ho[i] = state
-        return pd.DataFrame({"ho": ho, "hc": hc})
+    """hc is the bar's mean price; ho the open at first, then the middle of the bar before."""
+
+    def make():
+        state: list[tuple[float, float]] = []
+
+        def step(row):
+            hc = (row.o + row.h + row.l + row.c) / 4
+            ho = sum(state[0]) / 2 if state else row.o
+            state[:] = [(ho, hc)]
+            return ho, hc
+
+        return step
 
-    return _series(bars.select("symbol", "t", "o", "h", "l", "c"), fn, "ho double, hc double")
+    return _by_symbol(bars.select("symbol", "t", "o", "h", "l", "c"), make, "ho double, hc double").select("symbol", "t", "ho", "hc")
 
 
 def supertrend(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
-    """Trend (1 or -1) of ratcheting bands around the middle price."""
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        h, l, c = (p[x].to_numpy(float) for x in "hlc")  # noqa: E741
-        before = np.roll(c, 1)
-        before[0] = c[0]
-        tr = np.maximum(h - l, np.maximum(abs(h - before), abs(l - before)))
-        atr = pd.Series(tr).rolling(n).mean().to_numpy()
-        trend, out, up, low = 1, np.full(len(p), np.nan), np.nan, np.nan
-        for i in range(n - 1, len(p)):
-            a, b = (h[i] + l[i]) / 2 + k * atr[i], (h[i] + l[i]) / 2 - k * atr[i]
-            was_up, was_low = up, low
-            up = a if np.isnan(up) or a < up or c[i - 1] > up else up
-            low = b if np.isnan(low) or b > low or c[i - 1] < low else low
-            if not np.isnan(was_up):
-                trend = 1 if c[i] > was_up else -1 if c[i] < was_low else trend
-            out[i] = trend
-        return pd.DataFrame({"trend": out})
-
-    return _series(bars.select("symbol", "t", "h", "l", "c"), fn, "trend double")
+    """Trend (1, -1, or 0 while neither) of bands around the middle price that only tighten until a close passes them."""
+    ready = with_atr(bars.select("symbol", "t", "h", "l", "c"), n).withColumn("pc", F.lag("c").over(ordered()))
+
+    def make():
+        last: list[tuple[float, float, float, int]] = []
+
+        def step(row):
+            if row.atr is None or row.atr != row.atr:
+                return (None,)
+            mid = (row.h + row.l) / 2
+            up, low = mid + k * row.atr, mid - k * row.atr
+            if last:
+                close, was_up, was_low, trend = last[0]
+                up = up if close > was_up else min(up, was_up)
+                low = low if close < was_low else max(low, was_low)
+            else:
+                trend = 1 if row.pc > up else -1 if row.pc < low else 0
+            trend = 1 if row.c > up else -1 if row.c < low else trend
+            last[:] = [(row.c, up, low, trend)]
+            return (float(trend),)
+
+        return step
+
+    return _by_symbol(ready, make, "trend double").select("symbol", "t", "trend")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import extended
 from .tables import signed
 
 
@@ -119,16 +120,31 @@ def size_legs(px_a: Column, px_b: Column, beta: Column, notional: float) -> tupl
 
 
 #: Fixed map: states that may follow a state.
-FOLLOWS = {"NEW": ["ACK", "REJECTED"], "ACK": ["PARTIAL", "FILLED", "CANCELED", "REJECTED"], "PARTIAL": ["PARTIAL", "FILLED", "CANCELED"]}
+FOLLOWS = {"NEW": ["ACK", "REJECTED"], "ACK": ["PARTIAL", "FILLED", "CANCELED", "REJECTED"], "PARTIAL": ["PARTIAL", "FILLED", "CANCELED", "REJECTED"]}
+TERMINAL = ["FILLED", "CANCELED", "REJECTED"]
 
 
 def validate_transitions(audit: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """audit with ok: whether the state may follow the one before it; repeats are fine, the first must be NEW."""
-    before = F.lag("state").over(Window.partitionBy(*keys).orderBy(*order))
-    may = F.lit(False)
-    for state, after in FOLLOWS.items():
-        may = F.when(before == state, F.col("state").isin(after)).otherwise(may)
-    return audit.withColumn("ok", F.when(before.isNull(), F.col("state") == "NEW").when(before == F.col("state"), True).otherwise(may))
+    """audit with outcome, in order: applied, repeat (the state it is in), ignored (in a terminal state) or invalid. Only
+    what is applied moves the state; the first must be NEW."""
+
+    def make():
+        at: list[str] = []
+
+        def step(row):
+            now, to = at[0] if at else None, row.state
+            if now == to and now is not None:
+                return ("repeat",)
+            if now in TERMINAL:
+                return ("ignored",)
+            if to in FOLLOWS.get(now, ["NEW"] if now is None else []):
+                at[:] = [to]
+                return ("applied",)
+            return ("invalid",)
+
+        return step
+
+    return extended(audit, keys, order, make, "outcome string")
 
 
 def staleness(latest: DataFrame, now: Column, step: int) -> DataFrame:

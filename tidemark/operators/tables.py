@@ -174,12 +174,20 @@ def counter_rate(samples: DataFrame, width: int, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys, b.alias("b")).agg((rise / width).alias("rate"))
 
 
+#: Fixed patterns by code, in order of precedence.
+ERRORS = {
+    "RATE_LIMIT": "(rate.?limit|429)",
+    "MARGIN": "(margin|insufficient funds)",
+    "RISK": "(risk|blocked)",
+    "INSTRUMENT": "(instrument|trading symbol|symbol invalid)",
+    "NETWORK": "(timeout|network|dns)",
+}
+
+
 def error_code(text: Column) -> Column:
     """First matching class of an error message."""
     out = F.lit("REJECT_OTHER")
-    #: Fixed patterns by code, in order of precedence.
-    rules = [("RATE_LIMIT", "rate|429|too many"), ("MARGIN", "margin|insufficient|funds"), ("RISK", "risk|limit"), ("INSTRUMENT", "instrument|symbol|token"), ("NETWORK", "network|timeout|connection")]
-    for code, pattern in reversed(rules):
+    for code, pattern in reversed(ERRORS.items()):
         out = F.when(F.lower(text).rlike(pattern), code).otherwise(out)
     return out
 
@@ -191,10 +199,13 @@ def pair_stats(bars: DataFrame, least: int) -> DataFrame:
     return j.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"), F.regr_slope("y", "x").alias("beta")).where(F.col("n") >= least)
 
 
-def align(bars: DataFrame, a: str, b: str) -> DataFrame:
-    """(t, x, y): closes of two symbols where both have a bar."""
-    left = bars.where(F.col("symbol") == a).select("t", F.col("c").alias("x"))
-    return left.join(bars.where(F.col("symbol") == b).select("t", F.col("c").alias("y")), "t").withColumn("symbol", F.lit(f"{a}|{b}"))
+def align_pairs(bars: DataFrame, least: int) -> DataFrame:
+    """(symbol, t, x, y): closes of every two symbols a < b where both have a bar, named a|b, for pairs that share
+    ``least`` bars or more. The overlaps are counted first, so that rows of no use are never made a series of."""
+    a, b = bars.select("t", F.col("symbol").alias("a"), F.col("c").alias("x")), bars.select("t", F.col("symbol").alias("b"), F.col("c").alias("y"))
+    both = a.join(b, "t").where("a < b").withColumn("symbol", F.concat("a", F.lit("|"), "b"))
+    enough = both.groupBy(F.col("symbol").alias("_s")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return both.join(enough, F.col("symbol") == F.col("_s"), "left_semi").select("symbol", "t", "x", "y")
 
 
 def trades_from_signals(rows: DataFrame, capital: float) -> DataFrame:

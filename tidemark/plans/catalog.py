@@ -126,14 +126,13 @@ def _if(n: int, expr: str) -> str:
 
 add("f1_sma", f"WITH {SQL_BARS} SELECT symbol, t, round({_if(20, 'avg(c) ' + W_.format(19))}, 6) AS sma FROM bars")(_bars_with(lambda c, h, l: [("sma", W.sma(c, 20))]))
 add("f2_rsi", f"WITH {SQL_BARS}, x AS (SELECT *, c - lag(c) OVER (PARTITION BY symbol ORDER BY t) AS dd FROM bars), y AS (SELECT *, sum(greatest(dd, 0)) {W_.format(13)} AS g, sum(greatest(-dd, 0)) {W_.format(13)} AS k, count(dd) {W_.format(13)} AS n FROM x) SELECT symbol, t, round(CASE WHEN n >= 14 THEN CASE WHEN k = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / k) END END, 6) AS rsi FROM y")(_bars_with(lambda c, h, l: [("rsi", W.rsi(c, 14))]))
-add("f4_atr", f"WITH {SQL_BARS}, x AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS p FROM bars), y AS (SELECT *, greatest(h - l, abs(h - p), abs(l - p)) AS tr FROM x) SELECT symbol, t, round({_if(14, 'avg(tr) ' + W_.format(13))}, 6) AS atr FROM y")(lambda s, d: rounded(W.with_atr(hour_bars(s, d), 14).select("symbol", "t", "atr"), "atr"))
+add("f4_atr", f"WITH {SQL_BARS}, x AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS p FROM bars), y AS (SELECT *, CASE WHEN p IS NOT NULL THEN greatest(h - l, abs(h - p), abs(l - p)) END AS tr FROM x) SELECT symbol, t, round(CASE WHEN count(tr) {W_.format(13)} >= 14 THEN avg(tr) {W_.format(13)} END, 6) AS atr FROM y")(lambda s, d: rounded(W.with_atr(hour_bars(s, d), 14).select("symbol", "t", "atr"), "atr"))
 add("f7_bollinger", f"WITH {SQL_BARS}, x AS (SELECT *, avg(c) {W_.format(19)} AS m, stddev_pop(c) {W_.format(19)} AS s, count(*) {W_.format(19)} AS n FROM bars) SELECT symbol, t, round(CASE WHEN n >= 20 THEN m - 2 * s END, 6) AS lower, round(CASE WHEN n >= 20 THEN m END, 6) AS middle, round(CASE WHEN n >= 20 THEN m + 2 * s END, 6) AS upper FROM x")(_bars_with(lambda c, h, l: zip(("lower", "middle", "upper"), W.bollinger(c, 20, 2.0))))
 add("f8_donchian", f"WITH {SQL_BARS} SELECT symbol, t, round({_if(20, 'min(l) ' + W_.format(19))}, 6) AS low, round({_if(20, 'max(h) ' + W_.format(19))}, 6) AS high FROM bars")(_bars_with(lambda c, h, l: zip(("low", "high"), W.donchian(h, l, 20))))
 add("f12_cci", f"WITH {SQL_BARS}, x AS (SELECT symbol, t, (h + l + c) / 3 AS tp, avg((h + l + c) / 3) {W_.format(19)} AS m, list((h + l + c) / 3) {W_.format(19)} AS v FROM bars), y AS (SELECT *, list_sum(list_transform(v, lambda q: abs(q - m))) / 20 AS mad FROM x) SELECT symbol, t, round(CASE WHEN len(v) >= 20 AND mad > 0 THEN (tp - m) / (0.015 * mad) END, 6) AS cci FROM y")(_bars_with(lambda c, h, l: [("cci", W.cci(h, l, c, 20))]))
 add("f13_roc", f"WITH {SQL_BARS} SELECT symbol, t, round(c / lag(c, 12) OVER (PARTITION BY symbol ORDER BY t) - 1, 6) AS roc FROM bars")(_bars_with(lambda c, h, l: [("roc", W.roc(c, 12))]))
 add("f14_zscore", f"WITH {SQL_BARS}, x AS (SELECT *, avg(c) {W_.format(19)} AS m, stddev_pop(c) {W_.format(19)} AS s, count(*) {W_.format(19)} AS n FROM bars) SELECT symbol, t, round(CASE WHEN n >= 20 AND s > 0 THEN (c - m) / s END, 6) AS z FROM x")(_bars_with(lambda c, h, l: [("z", W.zscore(c, 20))]))
-add("f15_session_vwap", f"WITH {SQL_BARS}, x AS (SELECT *, {_day} AS day FROM bars), y AS (SELECT *, sum((h + l + c) / 3 * greatest(vol, 1)) OVER w / sum(greatest(vol, 1)) OVER w AS vwap FROM x WINDOW w AS (PARTITION BY symbol, day ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT symbol, t, round(vwap, 6) AS vwap FROM y")(lambda s, d: rounded(W.with_session_vwap(hour_bars(s, d)).select("symbol", "t", "vwap"), "vwap"))
-add("f16_opening_range", f"WITH {SQL_BARS}, x AS (SELECT *, {_day} AS day, min(t) OVER (PARTITION BY symbol, {_day}) AS t0 FROM bars) SELECT symbol, t, max(CASE WHEN t < t0 + 7200 THEN h END) OVER w AS or_high, min(CASE WHEN t < t0 + 7200 THEN l END) OVER w AS or_low FROM x WINDOW w AS (PARTITION BY symbol, day)")(lambda s, d: W.with_opening_range(hour_bars(s, d), 120).select("symbol", "t", "or_high", "or_low"))
+add("f15_session_vwap", f"WITH {SQL_BARS}, x AS (SELECT *, {_day} AS day FROM bars), y AS (SELECT *, sum(c * greatest(vol, 1)) OVER w / sum(greatest(vol, 1)) OVER w AS vwap FROM x WINDOW w AS (PARTITION BY symbol, day ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT symbol, t, round(vwap, 6) AS vwap FROM y")(lambda s, d: rounded(W.with_session_vwap(hour_bars(s, d)).select("symbol", "t", "vwap"), "vwap"))
 
 
 def _sma_cross(s: SparkSession, d: str) -> DataFrame:
@@ -145,18 +144,33 @@ def _sma_cross(s: SparkSession, d: str) -> DataFrame:
 
 SQL_CROSS = f"{SQL_BARS}, s AS (SELECT symbol, t, c, round({_if(5, 'avg(c) ' + W_.format(4))}, 6) AS f, round({_if(20, 'avg(c) ' + W_.format(19))}, 6) AS g FROM bars), z AS (SELECT *, CASE WHEN f > g THEN 1 WHEN f < g THEN -1 END AS zone FROM s), p AS (SELECT *, last_value(zone IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM z), sig AS (SELECT symbol, t, c, CASE WHEN zone <> b AND zone > 0 THEN 'BUY' WHEN zone <> b AND zone < 0 THEN 'SELL' ELSE 'FLAT' END AS action FROM p)"
 add("g1_sma_cross", f"WITH {SQL_CROSS} SELECT * FROM sig")(_sma_cross)
-add("g13_zscore_reversion", f"WITH {SQL_BARS}, x AS (SELECT *, avg(c) {W_.format(19)} AS m, stddev_pop(c) {W_.format(19)} AS s, count(*) {W_.format(19)} AS n FROM bars), y AS (SELECT symbol, t, round(CASE WHEN n >= 20 AND s > 0 THEN (c - m) / s END, 6) AS z FROM x) SELECT symbol, t, CASE WHEN z > 1.5 THEN 'SELL' WHEN z < -1.5 THEN 'BUY' ELSE 'FLAT' END AS action FROM y")(lambda s, d: hour_bars(s, d).withColumn("z", F.round(W.zscore(F.col("c"), 20), 6)).select("symbol", "t", F.when(F.col("z") > 1.5, "SELL").when(F.col("z") < -1.5, "BUY").otherwise("FLAT").alias("action")))
 SQL_USER = f"ub AS (SELECT 'U' || user_id AS symbol, epoch_us(ts) // {DAY * 10**6} * {DAY} AS t, last(value ORDER BY ts, event_id) AS c FROM events GROUP BY 1, 2)"
 add("d2_pair_stats", f"WITH {SQL_USER} SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(corr(a.c, b.c), 6) AS rho, round(regr_slope(b.c, a.c), 6) AS beta FROM ub a JOIN ub b ON a.t = b.t AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: rounded(T.pair_stats(B.tick_bars(user_ticks(s, d), DAY), 10), "rho", "beta"))
 
 
+LEAST_OVERLAP = 180
+
+
 def _aligned(s: SparkSession, d: str) -> DataFrame:
-    return T.align(hour_bars(s, d), "click", "error")
+    return T.align_pairs(hour_bars(s, d), LEAST_OVERLAP)
 
 
-SQL_ALIGN = f"{SQL_BARS}, al AS (SELECT 'click|error' AS symbol, a.t, a.c AS x, b.c AS y FROM bars a JOIN bars b ON a.t = b.t AND a.symbol = 'click' AND b.symbol = 'error')"
+SQL_ALIGN = (
+    f"{SQL_BARS}, al AS (SELECT a.symbol || '|' || b.symbol AS symbol, a.t, a.c AS x, b.c AS y FROM bars a JOIN bars b "
+    f"ON a.t = b.t AND a.symbol < b.symbol QUALIFY count(*) OVER (PARTITION BY a.symbol, b.symbol) >= {LEAST_OVERLAP})"
+)
 add("d1_align", f"WITH {SQL_ALIGN} SELECT symbol, t, x, y FROM al")(lambda s, d: _aligned(s, d).select("symbol", "t", "x", "y"))
-add("f18_rolling_beta", f"WITH {SQL_ALIGN} SELECT t, round({_if(60, 'regr_slope(y, x) ' + W_.format(59))}, 6) AS beta FROM al")(lambda s, d: _aligned(s, d).select("t", F.round(W.rolling_beta(F.col("y"), F.col("x"), 60), 6).alias("beta")))
+_W60 = W_.format(59)
+add(
+    "f18_rolling_beta",
+    f"WITH {SQL_ALIGN} SELECT symbol, t, round({_if(60, 'regr_slope(y, x) ' + _W60)}, 6) AS beta, "
+    f"round({_if(60, f'sum(x * y) {_W60} / sum(x * x) {_W60}')}, 6) AS beta_origin FROM al",
+)(
+    lambda s, d: _aligned(s, d).select(
+        "symbol", "t", F.round(W.rolling_beta(F.col("y"), F.col("x"), 60), 6).alias("beta"),
+        F.round(W.rolling_beta_origin(F.col("y"), F.col("x"), 60), 6).alias("beta_origin"),
+    )
+)
 add("d7_blotter_agg", f"WITH {SQL_FILLS}, {SQL_ORDERS} SELECT o.order_id, o.status, CAST(sum(qty) AS BIGINT) AS filled, floor(sum(qty * price) / sum(qty) * 1000 + 0.5) / 1000 AS vwap, max(f.t) AS last_fill, count(f.qty) AS n_fills FROM ord o LEFT JOIN fills f ON f.order_id = o.order_id GROUP BY 1, 2")(lambda s, d: T.blotter_agg(orders(s, d).select("order_id", "status"), fills(s, d)).withColumn("vwap", F.floor(F.col("vwap") * 1000 + 0.5) / 1000))
 add("d11_asof_price", f"WITH {SQL_BARS}, ev AS (SELECT event_type AS symbol, epoch_us(ts) // 1000000 - 5400 AS t, event_id AS id FROM events) SELECT e.symbol, e.t, e.id, coalesce(b.c, 100.0) AS price FROM ev e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.t >= b.t")(lambda s, d: T.asof_price(ticks(s, d).select("symbol", (F.unix_seconds("ts") - 5400).alias("t"), "id"), hour_bars(s, d), 100.0))
 add("d15_fifo")(lambda s, d: rounded(T.fifo_match(fills(s, d), ORDER), "realized"))
@@ -176,4 +190,3 @@ add("f26_cohort_z", f"WITH {SQL_RESULTS}, c AS (SELECT *, count(pnl_total) OVER
 add("e14_histogram_quantile", "WITH h AS (SELECT event_type, le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([5.0::DOUBLE, 10.0, 20.0, 50.0, 100.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, 2), x AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, coalesce(lag(le) OVER w, 0) AS le0, 0.95 * max(n) OVER (PARTITION BY event_type) AS rk FROM h WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(CASE WHEN isinf(le) THEN le0 ELSE le0 + (le - le0) * (rk - n0) / (n - n0) END, 6) AS quantile FROM x WHERE n >= rk AND n0 < rk")(lambda s, d: rounded(T.histogram_quantile(T.to_histogram(_read(s, d, "events"), ["event_type"], "value", [5, 10, 20, 50, 100]), ["event_type"], 0.95), "quantile"))
 add("e15_counter_rate", f"WITH {SQL_TICKS} SELECT symbol, us // 300000000 * 300 AS b, round(greatest(0, last(ltp ORDER BY us // 1000000, id) - first(ltp ORDER BY us // 1000000, id)) / 300, 6) AS rate FROM ticks GROUP BY 1, 2")(lambda s, d: rounded(T.counter_rate(ticks(s, d).select("symbol", F.unix_seconds("ts").alias("t"), "id", F.col("ltp").alias("value")), 300, ["symbol"]), "rate"))
 add("e10_eod", f"WITH {SQL_FILLS} SELECT t // {DAY} AS day, count(*) AS n_fills, count(DISTINCT symbol) AS symbols, CAST(sum(qty) AS BIGINT) AS qty FROM fills GROUP BY 1")(lambda s, d: fills(s, d).groupBy(F.floor(F.col("t") / DAY).alias("day")).agg(F.count("*").alias("n_fills"), F.count_distinct("symbol").alias("symbols"), F.sum("qty").alias("qty")))
-add("f10_supertrend")(lambda s, d: W.supertrend(hour_bars(s, d)))

@@ -9,7 +9,7 @@ from ..functions import windows as W
 from ..operators import bars as B
 from ..operators import ledgers as L
 from ..operators import tables as T
-from .catalog import DAY, HOUR, ORDER, SQL_BARS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _read, add, fills, hour_bars, orders, results, ticks, vendor
+from .catalog import DAY, HOUR, ORDER, SQL_BARS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _aligned, _read, add, fills, hour_bars, orders, results, ticks, vendor
 from .signals import SQL_SPREAD, _spread
 
 C = F.col
@@ -104,10 +104,39 @@ add("f28_dedup_pairs", f"WITH {SQL_ORDERS}, p AS (SELECT cust % 60 AS a, order_i
     lambda s, d: T.first_of(orders(s, d).select(F.least(C("cust") % 60, C("order_id") % 60).alias("a"), F.greatest(C("cust") % 60, C("order_id") % 60).alias("b"), C("notional").alias("score"), (-C("notional")).alias("k"), "order_id"), ["a", "b"], ["k", "order_id"]).select("a", "b", "score")
 )
 _EV = {"view": "NEW", "click": "ACK", "purchase": "FILLED", "error": "REJECTED"}
-add("f29_transitions", "WITH a AS (SELECT event_id AS id, user_id, epoch_us(ts) AS us, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EV.items()) + " ELSE 'PARTIAL' END AS state FROM events), b AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY us, id) AS p FROM a) SELECT id, state, CASE WHEN p IS NULL THEN state = 'NEW' WHEN p = state THEN true WHEN p = 'NEW' THEN state IN ('ACK', 'REJECTED') WHEN p = 'ACK' THEN state IN ('PARTIAL', 'FILLED', 'CANCELED', 'REJECTED') WHEN p = 'PARTIAL' THEN state IN ('PARTIAL', 'FILLED', 'CANCELED') ELSE false END AS ok FROM b")(
-    lambda s, d: L.validate_transitions(_read(s, d, "events").select(C("event_id").alias("id"), "user_id", "ts", F.coalesce(*[F.when(C("event_type") == k, v) for k, v in _EV.items()], F.lit("PARTIAL")).alias("state")), ["user_id"], ["ts", "id"]).select("id", "state", "ok")
-)
+_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EV.items())
+_NEXT = (
+    "(s = '' AND x = 'NEW' OR s = 'NEW' AND x IN ('ACK', 'REJECTED') OR s = 'ACK' AND x IN ('PARTIAL', 'FILLED', 'CANCELED', 'REJECTED') "
+    "OR s = 'PARTIAL' AND x IN ('PARTIAL', 'FILLED', 'CANCELED', 'REJECTED'))"
+)
+add(
+    "f29_transitions",
+    f"WITH a AS (SELECT event_id AS id, user_id, epoch_us(ts) AS us, CASE event_type {_CASES} ELSE 'PARTIAL' END AS x FROM events), "
+    "b AS (SELECT *, coalesce(list(x) OVER (PARTITION BY user_id ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS v FROM a), "
+    f"c AS (SELECT id, x, list_reduce(list_prepend('', v), lambda s, x: CASE WHEN {_NEXT} THEN x ELSE s END) AS s FROM b) "
+    "SELECT id, x AS state, CASE WHEN s = x THEN 'repeat' WHEN s IN ('FILLED', 'CANCELED', 'REJECTED') THEN 'ignored' "
+    f"WHEN {_NEXT} THEN 'applied' ELSE 'invalid' END AS outcome FROM c",
+)(
+    lambda s, d: L.validate_transitions(
+        _read(s, d, "events").select(
+            C("event_id").alias("id"), "user_id", "ts",
+            F.coalesce(*[F.when(C("event_type") == k, v) for k, v in _EV.items()], F.lit("PARTIAL")).alias("state"),
+        ),
+        ["user_id"], ["ts", "id"],
+    ).select("id", "state", "outcome")
+)
+#: Messages by remainder, to be classed.
+_MESSAGES = ["Rate limit hit", "HTTP 429", "Insufficient funds", "blocked by RISK", "trading symbol gone", "dns failure", "corporate action", "limit price 5"]
+_CLASS = " ".join(f"WHEN regexp_matches(lower(m), '{p}') THEN '{c}'" for c, p in T.ERRORS.items())
+add(
+    "b12_error_codes",
+    f"WITH x AS (SELECT event_id AS id, {_MESSAGES!r}[CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 8 + 1] AS m FROM events) "
+    f"SELECT id, m AS message, CASE {_CLASS} ELSE 'REJECT_OTHER' END AS code FROM x",
+)(
+    lambda s, d: ticks(s, d).select("id", F.get(F.array(*map(F.lit, _MESSAGES)), (C("vol") % 8).cast("int")).alias("message"))
+    .withColumn("code", T.error_code(C("message")))
+)
 add("h9_costs", f"WITH {SQL_FILLS} SELECT symbol, order_id, l_linenumber, l_partkey, t, round(qty * price * 2 / 1e4 + qty * price * 0.0003 + 20, 6) AS cost FROM fills")(lambda s, d: fills(s, d).select("symbol", "order_id", "l_linenumber", "l_partkey", "t", F.round(L.cost_bps(C("qty") * C("price"), 2, 0.0003, 20), 6).alias("cost")))
-add("h14_size_legs", f"WITH {SQL_SPREAD}, q AS (SELECT sz.t, sz.beta, al.x, al.y FROM sz JOIN al ON al.t = sz.t WHERE beta IS NOT NULL) SELECT t, CAST(greatest(1, floor(1000 / (y + abs(beta) * x))) AS BIGINT) AS qty_a, CAST(greatest(1, floor(1000 / (y + abs(beta) * x) * abs(beta))) AS BIGINT) AS qty_b FROM q")(
-    lambda s, d: (lambda q: q.select("t", *[v.alias(n) for n, v in zip(("qty_a", "qty_b"), L.size_legs(C("y"), C("x"), C("beta"), 1000.0))]))(_spread(s, d).where("beta is not null").select("t", "beta").join(T.align(hour_bars(s, d), "click", "error"), "t"))
+add("h14_size_legs", f"WITH {SQL_SPREAD}, q AS (SELECT sz.symbol, sz.t, sz.beta, al.x, al.y FROM sz JOIN al ON al.t = sz.t AND al.symbol = sz.symbol WHERE beta IS NOT NULL) SELECT symbol, t, CAST(greatest(1, floor(1000 / (y + abs(beta) * x))) AS BIGINT) AS qty_a, CAST(greatest(1, floor(1000 / (y + abs(beta) * x) * abs(beta))) AS BIGINT) AS qty_b FROM q")(
+    lambda s, d: (lambda q: q.select("symbol", "t", *[v.alias(n) for n, v in zip(("qty_a", "qty_b"), L.size_legs(C("y"), C("x"), C("beta"), 1000.0))]))(_spread(s, d).where("beta is not null").select("symbol", "t", "beta").join(_aligned(s, d), ["symbol", "t"]))
 )

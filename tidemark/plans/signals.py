@@ -13,7 +13,7 @@ from .catalog import SQL_ALIGN, SQL_BARS, SQL_CROSS, W_, _aligned, _day, _if, _s
 ACT = "CASE WHEN {0} > 0 THEN 'BUY' WHEN {0} < 0 THEN 'SELL' ELSE 'FLAT' END"
 SO_FAR = "OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING)"
 SQL_V = f"{SQL_BARS}, v AS (SELECT *, list(c) {SO_FAR} AS v FROM bars)"
-SQL_ATR = "CASE WHEN count(*) {w} >= 14 THEN avg(tr) {w} END".format(w=W_.format(13))
+SQL_ATR = "CASE WHEN count(tr) {w} >= 14 THEN avg(tr) {w} END".format(w=W_.format(13))
 
 
 def edges(z: str, keys: str = "symbol") -> str:
@@ -65,35 +65,97 @@ add("g11_cci_reversion", edges(f"{SQL_CCI}, z AS (SELECT symbol, t, {band('cci',
 add("g12_momentum_roc", f"WITH {SQL_BARS}, x AS (SELECT symbol, t, round(c / lag(c, 12) OVER (PARTITION BY symbol ORDER BY t) - 1, 6) AS roc FROM bars), y AS (SELECT *, lag(roc) OVER (PARTITION BY symbol ORDER BY t) AS p FROM x) SELECT symbol, t, CASE WHEN p <= 0 AND roc > 0 THEN 'BUY' WHEN p >= 0 AND roc < 0 THEN 'SELL' ELSE 'FLAT' END AS action FROM y")(
     lambda s, d: with_(s, d, roc=W.roc(C("c"), 12)).withColumn("e", S.band_crossing(C("roc"), 0.0)).select("symbol", "t", S.act(C("e")).alias("action"))
 )
-add("g14_vwap_reversion", edges(f"{SQL_BARS}, x AS (SELECT *, {_day} AS day FROM bars), y AS (SELECT *, c - sum((h + l + c) / 3 * greatest(vol, 1)) OVER w / sum(greatest(vol, 1)) OVER w AS dev FROM x WINDOW w AS (PARTITION BY symbol, day ORDER BY t ROWS UNBOUNDED PRECEDING)), q AS (SELECT *, round(CASE WHEN count(dev) OVER w >= 5 AND stddev_samp(dev) OVER w > 0 THEN dev / stddev_samp(dev) OVER w END, 6) AS dz FROM y WINDOW w AS (PARTITION BY symbol, day ORDER BY t ROWS UNBOUNDED PRECEDING)), z AS (SELECT symbol, t, day, {band('dz', '-1', '1', -1)} AS zone FROM q)", "symbol, day"))(
+SQL_Z = (
+    f"{SQL_BARS}, x AS (SELECT *, avg(c) {W_.format(19)} AS m, stddev_pop(c) {W_.format(19)} AS s, count(*) {W_.format(19)} AS n FROM bars), "
+    "y AS (SELECT symbol, t, round(CASE WHEN n >= 20 AND s > 0 THEN (c - m) / s END, 6) AS z FROM x)"
+)
+add(
+    "g13_zscore_reversion",
+    edges(f"{SQL_Z}, z AS (SELECT symbol, t, {band('z', '-1.5', '1.5', -1)} AS zone FROM y)"),
+)(lambda s, d: S.with_signal(with_(s, d, z=W.zscore(C("c"), 20)), S.outside(C("z"), F.lit(-1.5), F.lit(1.5), False)))
+add("g14_vwap_reversion", edges(f"{SQL_BARS}, x AS (SELECT *, {_day} AS day FROM bars), y AS (SELECT *, c - sum(c * greatest(vol, 1)) OVER w / sum(greatest(vol, 1)) OVER w AS dev FROM x WINDOW w AS (PARTITION BY symbol, day ORDER BY t ROWS UNBOUNDED PRECEDING)), q AS (SELECT *, round(CASE WHEN count(dev) OVER w >= 5 AND stddev_samp(dev) OVER w > 0 THEN dev / stddev_samp(dev) OVER w END, 6) AS dz FROM y WINDOW w AS (PARTITION BY symbol, day ORDER BY t ROWS UNBOUNDED PRECEDING)), z AS (SELECT symbol, t, day, {band('dz', '-1', '1', -1)} AS zone FROM q)", "symbol, day"))(
     lambda s, d: S.with_signal(W.with_session_vwap(hour_bars(s, d), least=5).withColumn("dz", F.round("dev_z", 6)), S.outside(C("dz"), F.lit(-1), F.lit(1), False), "symbol", "day")
 )
-add("g15_orb_breakout", f"WITH {SQL_BARS}, x AS (SELECT *, {_day} AS day, min(t) OVER (PARTITION BY symbol, {_day}) AS t0 FROM bars), y AS (SELECT *, max(CASE WHEN t < t0 + 7200 THEN h END) OVER w AS hi, min(CASE WHEN t < t0 + 7200 THEN l END) OVER w AS lo FROM x WINDOW w AS (PARTITION BY symbol, day)), q AS (SELECT *, CASE WHEN t >= t0 + 7200 THEN {band('c', LO, HI)} END AS zone FROM y), k AS (SELECT *, min(CASE WHEN zone <> 0 THEN t END) OVER (PARTITION BY symbol, day) AS hit FROM q) SELECT symbol, t, CASE WHEN t = hit THEN {ACT.format('zone')} ELSE 'FLAT' END AS action FROM k")(
-    lambda s, d: S.opening_breakout(hour_bars(s, d), 120)
+SQL_ORB = (
+    f"{SQL_BARS}, x AS (SELECT *, {_day} AS day, (t + 19800) % 86400 // 60 AS m FROM bars), "
+    "y AS (SELECT symbol, t, c, day, CASE WHEN m >= 675 THEN max(CASE WHEN m >= 555 AND m < 675 THEN h END) OVER w END AS hi, "
+    "CASE WHEN m >= 675 THEN min(CASE WHEN m >= 555 AND m < 675 THEN l END) OVER w END AS lo FROM x WINDOW w AS (PARTITION BY symbol, day))"
 )
+add(
+    "f16_opening_range",
+    f"WITH {SQL_ORB} SELECT symbol, t, hi AS or_high, lo AS or_low FROM y",
+)(lambda s, d: W.with_opening_range(hour_bars(s, d), 120).select("symbol", "t", "or_high", "or_low"))
+add(
+    "g15_orb_breakout",
+    f"WITH {SQL_ORB}, q AS (SELECT *, {band('c', LO, HI)} AS zone FROM y), "
+    "k AS (SELECT *, min(CASE WHEN zone <> 0 THEN t END) OVER (PARTITION BY symbol, day) AS hit FROM q) "
+    f"SELECT symbol, t, CASE WHEN t = hit THEN {ACT.format('zone')} ELSE 'FLAT' END AS action FROM k",
+)(lambda s, d: S.opening_breakout(hour_bars(s, d), 120))
 
 # Recursions.
 add("f5_ema", f"WITH {SQL_V} SELECT symbol, t, round({ema_first(12)}, 6) AS ema FROM v")(lambda s, d: rounded(W.ema(hour_bars(s, d), 12), "ema"))
-add("f5_ema_seeded", f"WITH {SQL_V} SELECT symbol, t, round({ema(12)}, 6) AS ema, round({ema(12, skip=11)}, 6) AS ema_double FROM v")(
-    lambda s, d: rounded(S.emas(hour_bars(s, d), {"ema": 12}, "sma").join(S.emas(hour_bars(s, d), {"ema_double": 12}, "sma_double"), ["symbol", "t"]), "ema", "ema_double")
+add(
+    "f5_ema_seeded",
+    f"WITH {SQL_V} SELECT symbol, t, round({ema(12)}, 6) AS ema, round({ema(12, skip=11)}, 6) AS ema_double FROM v",
+)(
+    lambda s, d: rounded(
+        W.with_emas(W.with_emas(hour_bars(s, d).select("symbol", "t", "c"), {"ema": 12}, "sma"), {"ema_double": 12}, "sma_double").drop("c"),
+        "ema", "ema_double",
+    )
+)
+
+
+def two_emas(fast: int, slow: int) -> tuple[str, str]:
+    """SQL of TwoEmas: both seeds meet the slower one's last value first."""
+    return tuple(f"CASE WHEN len(v) >= {slow} THEN {ema(n, skip=slow - 1)} END" for n in (fast, slow))
+
+
+_f, _s = two_emas(12, 26)
+SQL_MACD = (
+    f"{SQL_V}, x AS (SELECT symbol, t, {_f} - {_s} AS macd FROM v), y AS (SELECT *, list(macd) FILTER (macd IS NOT NULL) {SO_FAR} AS ls FROM x), "
+    f"q AS (SELECT symbol, t, macd, CASE WHEN macd IS NOT NULL THEN {ema(9, 'ls')} END AS signal FROM y)"
 )
-SQL_MACD = f"{SQL_V}, x AS (SELECT symbol, t, {ema(12)} - {ema(26)} AS macd FROM v), y AS (SELECT *, list(macd) FILTER (macd IS NOT NULL) {SO_FAR} AS ls FROM x), q AS (SELECT symbol, t, macd, CASE WHEN macd IS NOT NULL THEN {ema(9, 'ls')} END AS signal FROM y)"
-add("f6_macd", f"WITH {SQL_MACD} SELECT symbol, t, round(macd, 6) AS macd, round(signal, 6) AS signal, round(macd - signal, 6) AS hist FROM q")(lambda s, d: rounded(W.macd(hour_bars(s, d)), "macd", "signal", "hist"))
+add(
+    "f6_macd",
+    f"WITH {SQL_MACD} SELECT symbol, t, round(macd, 6) AS macd, round(signal, 6) AS signal, round(macd - signal, 6) AS hist FROM q",
+)(lambda s, d: rounded(W.macd(hour_bars(s, d)), "macd", "signal", "hist"))
 SQL_FOLD = "list_reduce(list_prepend(list_avg({0}[1:14]), {0}[15:]), lambda a, x: (a * 13 + x) / 14)"
 add("f3_rsi_wilder", f"WITH {SQL_BARS}, x AS (SELECT *, c - lag(c) OVER (PARTITION BY symbol ORDER BY t) AS dd FROM bars), y AS (SELECT *, list(greatest(dd, 0)) FILTER (dd IS NOT NULL) {SO_FAR} AS g, list(greatest(-dd, 0)) FILTER (dd IS NOT NULL) {SO_FAR} AS k FROM x), f AS (SELECT *, CASE WHEN len(g) >= 14 THEN {SQL_FOLD.format('g')} END AS up, CASE WHEN len(k) >= 14 THEN {SQL_FOLD.format('k')} END AS down FROM y) SELECT symbol, t, round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 6) AS rsi FROM f")(lambda s, d: rounded(W.rsi_wilder(hour_bars(s, d)), "rsi"))
-SQL_HA = f"{SQL_BARS}, x AS (SELECT *, (o + h + l + c) / 4 AS hc, first(o) {SO_FAR} AS o0, first(c) {SO_FAR} AS c0 FROM bars), y AS (SELECT *, list_prepend((o0 + c0) / 2, coalesce(list(hc) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS v FROM x), q AS (SELECT symbol, t, round(list_reduce(v, lambda a, x: (a + x) / 2), 6) AS ho, round(hc, 6) AS hc FROM y)"
+SQL_HA = f"{SQL_BARS}, x AS (SELECT *, (o + h + l + c) / 4 AS hc, first(o) {SO_FAR} AS o0 FROM bars), y AS (SELECT *, list_prepend(o0, coalesce(list(hc) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS v FROM x), q AS (SELECT symbol, t, round(list_reduce(v, lambda a, x: (a + x) / 2), 6) AS ho, round(hc, 6) AS hc FROM y)"
 add("f11_heikin_ashi", f"WITH {SQL_HA} SELECT * FROM q")(lambda s, d: rounded(W.heikin_ashi(hour_bars(s, d)), "ho", "hc"))
 add("g10_heikin_trend", edges(f"{SQL_HA}, z AS (SELECT symbol, t, sign(hc - ho) AS zone FROM q)"))(lambda s, d: S.with_signal(rounded(W.heikin_ashi(hour_bars(s, d)), "ho", "hc"), F.signum(C("hc") - C("ho"))))
-add("g2_ema_cross", edges(f"{SQL_V}, x AS (SELECT symbol, t, round({ema(12, skip=11)}, 6) - round({ema(50, skip=49)}, 6) AS df FROM v), z AS (SELECT symbol, t, sign(df) AS zone FROM x)"))(lambda s, d: S.with_signal(rounded(S.emas(hour_bars(s, d), {"f": 12, "g": 50}, "sma_double"), "f", "g"), F.signum(C("f") - C("g"))))
+_f, _s = two_emas(12, 50)
+add(
+    "g2_ema_cross",
+    edges(f"{SQL_V}, x AS (SELECT symbol, t, round({_f}, 6) - round({_s}, 6) AS df FROM v), z AS (SELECT symbol, t, sign(df) AS zone FROM x)"),
+)(lambda s, d: S.with_signal(rounded(W.with_two_emas(hour_bars(s, d), 12, 50), "fast", "slow"), F.signum(C("fast") - C("slow"))))
 add("g3_macd_signal", edges(f"{SQL_MACD}, z AS (SELECT symbol, t, sign(round(macd - signal, 6)) AS zone FROM q)"))(lambda s, d: S.with_signal(rounded(W.macd(hour_bars(s, d)), "hist"), F.signum("hist")))
-SQL_KELT = f"{SQL_V}, x AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS p FROM v), y AS (SELECT *, greatest(h - l, abs(h - p), abs(l - p)) AS tr FROM x), q AS (SELECT symbol, t, c, {ema(20)} AS mid, {SQL_ATR} AS atr FROM y), k AS (SELECT symbol, t, c, round(mid - 2 * atr, 6) AS lo, round(mid + 2 * atr, 6) AS hi FROM q)"
+SQL_KELT = f"{SQL_V}, x AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS p FROM v), y AS (SELECT *, CASE WHEN p IS NOT NULL THEN greatest(h - l, abs(h - p), abs(l - p)) END AS tr FROM x), q AS (SELECT symbol, t, c, {ema(20)} AS mid, {SQL_ATR} AS atr FROM y), k AS (SELECT symbol, t, c, round(mid - 2 * atr, 6) AS lo, round(mid + 2 * atr, 6) AS hi FROM q)"
 add("f9_keltner", f"WITH {SQL_KELT} SELECT symbol, t, lo AS lower, hi AS upper FROM k")(lambda s, d: rounded(S.keltner(hour_bars(s, d)).select("symbol", "t", "lower", "upper"), "lower", "upper"))
 add("g8_keltner_breakout", edges(f"{SQL_KELT}, z AS (SELECT symbol, t, {band('c', LO, HI)} AS zone FROM k)"))(lambda s, d: S.with_signal(rounded(S.keltner(hour_bars(s, d)), "lower", "upper"), S.outside(C("c"), C("lower"), C("upper"))))
-add("g9_supertrend")(lambda s, d: S.with_signal(W.supertrend(hour_bars(s, d)), C("trend")))
+_up = "CASE WHEN s.c > s.up THEN x.up ELSE least(x.up, s.up) END"
+_lo = "CASE WHEN s.c < s.lo THEN x.lo ELSE greatest(x.lo, s.lo) END"
+_W10 = W_.format(9)
+SQL_SUPER = (
+    f"{SQL_BARS}, x AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS p FROM bars), "
+    "y AS (SELECT *, CASE WHEN p IS NOT NULL THEN greatest(h - l, abs(h - p), abs(l - p)) END AS tr FROM x), "
+    f"a AS (SELECT *, CASE WHEN count(tr) {_W10} >= 10 THEN avg(tr) {_W10} END AS atr FROM y), "
+    "b AS (SELECT *, (h + l) / 2 + 3 * atr AS up, (h + l) / 2 - 3 * atr AS lo FROM a), "
+    "e AS (SELECT symbol, t, atr, list(struct_pack(c := c, up := up, lo := lo, "
+    "tr := CASE WHEN c > up THEN 1 WHEN c < lo THEN -1 WHEN p > up THEN 1 WHEN p < lo THEN -1 ELSE 0 END)) "
+    f"FILTER (atr IS NOT NULL) {SO_FAR} AS v FROM b), "
+    f"st AS (SELECT symbol, t, CASE WHEN atr IS NOT NULL THEN list_reduce(v, lambda s, x: struct_pack(c := x.c, up := {_up}, lo := {_lo}, "
+    f"tr := CASE WHEN x.c > {_up} THEN 1 WHEN x.c < {_lo} THEN -1 ELSE s.tr END)).tr::DOUBLE END AS trend FROM e)"
+)
+add("f10_supertrend", f"WITH {SQL_SUPER} SELECT symbol, t, trend FROM st")(lambda s, d: W.supertrend(hour_bars(s, d)))
+add(
+    "g9_supertrend",
+    edges(f"{SQL_SUPER}, z AS (SELECT symbol, t, trend AS zone FROM st)"),
+)(lambda s, d: S.with_signal(W.supertrend(hour_bars(s, d)), C("trend")))
 SQL_ML = f"{SQL_V}, x AS (SELECT symbol, t, round(c / lag(c) OVER (PARTITION BY symbol ORDER BY t) - 1, 6) AS ret, round(c - {ema_first(20)}, 6) AS mom FROM v)"
-add("f22_ml_features", f"WITH {SQL_ML} SELECT * FROM x")(lambda s, d: S.with_emas(hour_bars(s, d), {"e": 20}, "first").select("symbol", "t", F.round(W.roc(C("c"), 1), 6).alias("ret"), F.round(C("c") - C("e"), 6).alias("mom")))
-add("g16_momentum", f"WITH {SQL_ML} SELECT symbol, t, {ACT.format('mom')} AS action FROM x")(lambda s, d: S.with_emas(hour_bars(s, d), {"e": 20}, "first").select("symbol", "t", S.act(F.round(C("c") - C("e"), 6)).alias("action")))
-add("g21_features", f"WITH {SQL_RSI}, p AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS pc FROM r), k AS (SELECT *, greatest(h - l, abs(h - pc), abs(l - pc)) AS tr FROM p), f AS (SELECT symbol, t, round({_if(20, 'avg(c) ' + W_.format(19))}, 6) AS sma, rsi, round({SQL_ATR}, 6) AS atr FROM k) SELECT *, sma IS NOT NULL AND rsi IS NOT NULL AND atr IS NOT NULL AS ready FROM f")(
+add("f22_ml_features", f"WITH {SQL_ML} SELECT * FROM x")(lambda s, d: W.with_emas(hour_bars(s, d), {"e": 20}, "first").select("symbol", "t", F.round(W.roc(C("c"), 1), 6).alias("ret"), F.round(C("c") - C("e"), 6).alias("mom")))
+add("g16_momentum", f"WITH {SQL_ML} SELECT symbol, t, {ACT.format('mom')} AS action FROM x")(lambda s, d: W.with_emas(hour_bars(s, d), {"e": 20}, "first").select("symbol", "t", S.act(F.round(C("c") - C("e"), 6)).alias("action")))
+add("g21_features", f"WITH {SQL_RSI}, p AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS pc FROM r), k AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(h - l, abs(h - pc), abs(l - pc)) END AS tr FROM p), f AS (SELECT symbol, t, round({_if(20, 'avg(c) ' + W_.format(19))}, 6) AS sma, rsi, round({SQL_ATR}, 6) AS atr FROM k) SELECT *, sma IS NOT NULL AND rsi IS NOT NULL AND atr IS NOT NULL AS ready FROM f")(
     lambda s, d: W.with_atr(hour_bars(s, d), 14).select("symbol", "t", F.round(W.sma(C("c"), 20), 6).alias("sma"), F.round(W.rsi(C("c"), 14), 6).alias("rsi"), F.round("atr", 6).alias("atr")).withColumn("ready", C("sma").isNotNull() & C("rsi").isNotNull() & C("atr").isNotNull())
 )
 
