@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (all_.iloc[at : at + 1000] for all_ in batches for at in range(0, len(all_), 1000)):
             raw, n, route = [], [], []
             for x in encoder(tokenizer).encode(pdf["text"]):
                 x = np.append(x, np.uint32(end_id))

@@ -99,7 +99,7 @@ class Encoder:
     apart: letters are remembered as space-led words, marks as they are. Other pieces are remembered whole.
     """
 
-    def __init__(self, path: str, words: int = 450_000):
+    def __init__(self, path: str, words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -139,7 +139,7 @@ class Encoder:
         ids, sizes = counted([known[of[run]] for run in runs])
         return ids, np.add.reduceat(sizes, np.cumsum(n) - n)
 
-    def encode(self, texts: Iterable[str], group: int = 3_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str], group: int = 2_000_000) -> Iterator[np.ndarray]:
         """Ids of each text; new words are learnt together for texts of about ``group`` characters."""
         held, chars = [], 0
         for text in texts:

@@ -30,7 +30,7 @@ def features(text: str, known: dict[str, list[int]]) -> set[int]:
     out: set[int] = set()
     for w in set(_WORD.findall(text.lower())):
         if w not in known:
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             known[w] = [xxh32_intdigest(p) for p in _parts(w)]
         out.update(known[w])
@@ -52,7 +52,7 @@ class Model:
         for w in set(_WORD.findall(text.lower())):
             hit = self.words.get(w)
             if hit is None:
-                if len(self.words) > 300_000:
+                if len(self.words) > 150_000:
                     self.words.clear()
                 hit = self.words[w] = tuple((h, self.table[h]) for h in map(xxh32_intdigest, _parts(w)) if h in self.table)
             if hit:
