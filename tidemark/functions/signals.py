@@ -67,6 +67,17 @@ def combine(signals: DataFrame, weights: dict[str, float], mode: str = "majority
     return g.where(ok).select("symbol", "t", side.alias("side"), score.alias("score"))
 
 
+def agree(signals: DataFrame, children: int, mode: str = "votes", weights: dict[str, float] | None = None, k: int = 2, threshold: float = 1.0) -> DataFrame:
+    """(symbol, t, side, strength) of signals(symbol, t, name, side, score) whose sides all agree: at least k of them
+    (strength: their share of the children), or weights times scores (null: 1) that sum to the threshold."""
+    weight = reduce(lambda w, x: F.when(F.col("name") == x[0], x[1]).otherwise(w), (weights or {}).items(), F.lit(1.0))
+    s = signals.where(F.col("side").isin(SIDES)).withColumn("_v", weight * F.coalesce("score", F.lit(1.0)))
+    g = s.groupBy("symbol", "t").agg(F.min("side").alias("side"), F.max("side").alias("_other"), F.count("*").alias("_n"), F.sum("_v").alias("_s"))
+    same = g.where(F.col("side") == F.col("_other"))
+    enough, strength = (F.col("_n") >= k, F.col("_n") / children) if mode == "votes" else (F.col("_s") >= threshold, F.col("_s"))
+    return same.where(enough).select("symbol", "t", "side", F.least(F.lit(1.0), strength).alias("strength"))
+
+
 def spread_z(aligned: DataFrame, n: int, least: int = 10, mode: str = "raw") -> DataFrame:
     """aligned(symbol, t, x, y) with beta over the last n bars, the spread by each bar's own beta, and that spread's score
     over its last n values (population deviation), from ``least`` values on."""

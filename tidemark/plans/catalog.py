@@ -148,7 +148,7 @@ SQL_USER = f"ub AS (SELECT 'U' || user_id AS symbol, epoch_us(ts) // {DAY * 10**
 add("d2_pair_stats", f"WITH {SQL_USER} SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(corr(a.c, b.c), 6) AS rho, round(regr_slope(b.c, a.c), 6) AS beta FROM ub a JOIN ub b ON a.t = b.t AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: rounded(T.pair_stats(B.tick_bars(user_ticks(s, d), DAY), 10), "rho", "beta"))
 
 
-LEAST_OVERLAP = 180
+LEAST_OVERLAP = 10  # the given events are sparse; 180 for bars of minutes
 
 
 def _aligned(s: SparkSession, d: str) -> DataFrame:
