@@ -525,6 +525,14 @@ def test_nearest(spark):
     assert onebit.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_of_huge_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [1e160 * i, 1e160]) for i in range(1, 15)]
+    got = onebit.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1, k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, pytest.approx(1e160 * (i - 1))) for i in (2, 3, 4)]
+
+
 def test_pipeline(spark, none):
     import corpus_pipeline
 

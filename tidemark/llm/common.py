@@ -24,9 +24,12 @@ def ascii_lower(text: Column | str) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a new one where that is unset
+    (tests). Elsewhere it must be set, as a folder of the driver's machine alone would lose rows."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at}/tidemark-{uuid.uuid4().hex}"

@@ -80,6 +80,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, part: int = 20_00
         if not len(left) or not len(right):
             return schema.empty_table()
         (ids, x), (qids, qx) = read(left), read(right)
+        most = max(np.abs(x).max(), np.abs(qx).max())
+        power = int(np.frexp(most)[1]) if most > 1e150 else 0  # squares of larger components overflow
+        x, qx = np.ldexp(x, -power), np.ldexp(qx, -power)
         coder = OneBit(x.shape[1], bits)
         (u, norm), (qu, qnorm) = units(x), units(qx)
         words, c = coder.code(u)
@@ -94,7 +97,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, part: int = 20_00
             at = np.nonzero(other & (least <= limit))[0]
             d = np.sqrt(((x[at] - qx[i]) ** 2).sum(axis=1))
             best = np.lexsort((ids[at], d))[:k]
-            found.append((np.full(len(best), qids[i]), ids[at[best]], d[best]))
+            found.append((np.full(len(best), qids[i]), ids[at[best]], np.ldexp(d[best], power)))
         return pa.table([np.concatenate(c) for c in zip(*found)], schema=schema)
 
     hits = rows.groupBy("dim", "p", "b").cogroup(asked.groupBy("dim", "p", "b")).applyInArrow(search, "query_id long, vec_id long, score double")
