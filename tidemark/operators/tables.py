@@ -199,6 +199,12 @@ def pair_stats(bars: DataFrame, least: int) -> DataFrame:
     return j.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"), F.regr_slope("y", "x").alias("beta")).where(F.col("n") >= least)
 
 
+def align(bars: DataFrame, a: str, b: str) -> DataFrame:
+    """(t, x, y, symbol): closes of two symbols where both have a bar."""
+    left = bars.where(F.col("symbol") == a).select("t", F.col("c").alias("x"))
+    return left.join(bars.where(F.col("symbol") == b).select("t", F.col("c").alias("y")), "t").withColumn("symbol", F.lit(f"{a}|{b}"))
+
+
 def align_pairs(bars: DataFrame, least: int) -> DataFrame:
     """(symbol, t, x, y): closes of every two symbols a < b where both have a bar, named a|b, for pairs that share
     ``least`` bars or more. The overlaps are counted first, so that rows of no use are never made a series of."""
