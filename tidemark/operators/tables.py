@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,30 +29,67 @@ def blotter_agg(orders: DataFrame, fills: DataFrame) -> DataFrame:
     return orders.join(per, F.col("order_id") == F.col("_o"), "left").drop("_o").fillna(0, ["n_fills"])
 
 
-def asof_price(events: DataFrame, bars: DataFrame, default: float = 0.0) -> DataFrame:
-    """events(symbol, t, id) with the close of the last bar at or before t, in one sort by symbol; no range join."""
-    a = events.select("symbol", "t", "id", F.lit(None).cast("double").alias("c"), F.lit(1).alias("o"))
-    b = bars.select("symbol", "t", F.lit(None).cast("long").alias("id"), "c", F.lit(0).alias("o"))
-    w = Window.partitionBy("symbol").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.union(b).withColumn("price", F.coalesce(F.last("c", ignorenulls=True).over(w), F.lit(default)))
+def asof_price(events: DataFrame, bars: DataFrame, default: float = 0.0, width: int = 7 * 86400) -> DataFrame:
+    """events(symbol, t, id) with the close of the last bar at or before t; no range join.
+
+    A symbol's time is cut into stretches of ``width`` seconds, each sorted in a task of its own; what the stretches before
+    end with is carried over from one row a stretch.
+    """
+    at = F.floor(F.col("t") / width).alias("_at")
+    a = events.select("symbol", "t", "id", F.lit(None).cast("double").alias("c"), F.lit(1).alias("o"), at)
+    b = bars.select("symbol", "t", F.lit(None).cast("long").alias("id"), "c", F.lit(0).alias("o"), at)
+    rows = a.union(b)
+    ends = rows.groupBy(F.col("symbol").alias("_s"), F.col("_at").alias("_b")).agg(F.max_by("c", F.when(F.col("c").isNotNull(), F.col("t"))).alias("_end"))
+    earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_s", "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    w = Window.partitionBy("symbol", "_at").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.join(ends, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_at").eqNullSafe(F.col("_b")))
+    both = both.withColumn("price", F.coalesce(F.last("c", ignorenulls=True).over(w), F.col("_carry"), F.lit(default)))
     return both.where("o = 1").select("symbol", "t", "id", "price")
 
 
+def _fifo_axis(fills: DataFrame, order: list[str]) -> DataFrame:
+    """fills with quantity above 0 and the points where they end on the axes of bought (b) and matched (m, before it m0)
+    quantity. Sells beyond the lots held match nothing: with B and S bought and sold so far, max(S - B, 0) of them are lost."""
+    ordered = Window.partitionBy("symbol").orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    buy = F.col("side") == "BUY"
+    cum = fills.where("qty > 0").withColumn("b", F.sum(F.when(buy, F.col("qty")).otherwise(0)).over(upto))
+    cum = cum.withColumn("s", F.sum(F.when(buy, 0).otherwise(F.col("qty"))).over(upto))
+    cum = cum.withColumn("m", F.col("s") - F.greatest(F.lit(0), F.max(F.col("s") - F.col("b")).over(upto)))
+    return cum.withColumn("m0", F.coalesce(F.lag("m").over(ordered), F.lit(0)))
+
+
 def fifo_match(fills: DataFrame, order: list[str]) -> DataFrame:
-    """Realized P&L by symbol under first-in first-out, from overlapping intervals of cumulated quantity.
+    """Realized P&L by symbol under first-in first-out.
 
-    Sells beyond the lots held realize nothing: with B and S bought and sold so far, max(S - B, 0) of them are lost.
+    Buys end at points of the axis of bought quantity, sells at points of that of matched quantity, and the two axes are
+    one. So the points of both are put in falling order; the stretch down to the next point was bought and sold at the
+    prices last seen. One sort a symbol, no join of buys with sells.
     """
-    w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cum = _fifo_axis(fills, order)
     buy = F.col("side") == "BUY"
-    cum = fills.withColumn("b", F.sum(F.when(buy, F.col("qty")).otherwise(0)).over(w)).withColumn("s", F.sum(F.when(buy, 0).otherwise(F.col("qty"))).over(w))
-    cum = cum.withColumn("m", F.col("s") - F.greatest(F.lit(0), F.max(F.col("s") - F.col("b")).over(w)))
-    cum = cum.withColumn("m0", F.coalesce(F.lag("m").over(Window.partitionBy("symbol").orderBy(*order)), F.lit(0)))
-    buys = cum.where(buy).select("symbol", (F.col("b") - F.col("qty")).alias("lo"), F.col("b").alias("hi"), F.col("price").alias("px_buy"))
-    sells = cum.where(~buy & (F.col("m") > F.col("m0"))).select(F.col("symbol").alias("_s"), "m0", "m", F.col("price").alias("px_sell"))
-    overlap = F.least("hi", "m") - F.greatest("lo", "m0")
-    pairs = buys.join(sells, (F.col("symbol") == F.col("_s")) & (F.col("lo") < F.col("m")) & (F.col("m0") < F.col("hi")))
-    return pairs.groupBy("symbol").agg(F.sum(overlap * (F.col("px_sell") - F.col("px_buy"))).alias("realized"), F.sum(overlap).alias("matched"))
+    point = F.when(buy, F.col("b")).otherwise(F.col("m"))
+    points = cum.where(buy | (F.col("m") > F.col("m0"))).select(
+        "symbol", point.alias("p"), F.when(buy, F.col("price")).alias("px_buy"), F.when(~buy, F.col("price")).alias("px_sell")
+    )
+    falling = Window.partitionBy("symbol").orderBy(F.col("p").desc())
+    seen = falling.rowsBetween(Window.unboundedPreceding, 0)
+    stretch = points.select(
+        "symbol",
+        (F.col("p") - F.coalesce(F.lead("p").over(falling), F.lit(0))).alias("n"),
+        (F.last("px_sell", ignorenulls=True).over(seen) - F.last("px_buy", ignorenulls=True).over(seen)).alias("gain"),
+    )
+    matched = F.sum(F.when(F.col("gain").isNotNull(), F.col("n")))
+    return stretch.groupBy("symbol").agg(F.sum(F.col("n") * F.col("gain")).alias("realized"), matched.alias("matched")).where("matched > 0")
+
+
+def open_lots(fills: DataFrame, order: list[str]) -> DataFrame:
+    """Buys of which something is left after first-in first-out: their columns, with ``open`` for the quantity left."""
+    upto = Window.partitionBy("symbol")
+    cum = _fifo_axis(fills, order).withColumn("_m", F.max("m").over(upto))
+    left = cum.where(F.col("side") == "BUY").withColumn("open", F.least("qty", F.col("b") - F.col("_m"))).where("open > 0")
+    return left.drop("b", "s", "m", "m0", "_m")
 
 
 def cash_ledger(fills: DataFrame) -> DataFrame:
@@ -69,13 +109,31 @@ def order_health(orders: DataFrame, statuses: list[str] | None = None) -> DataFr
     return domain.join(per, F.col("status") == F.col("_s"), "left").select("status", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("notional", F.lit(0.0)).alias("notional"))
 
 
-def active_at(events: DataFrame, reservations: DataFrame) -> DataFrame:
-    """events(bucket, t, id) with what is reserved then (created <= t < expires), by a sweep of additions and releases."""
-    add = reservations.select("bucket", F.col("created").alias("t"), F.lit(None).cast("long").alias("id"), F.col("notional").alias("d"), F.lit(0).alias("o"))
-    end = reservations.select("bucket", F.col("expires").alias("t"), F.lit(None).cast("long").alias("id"), (-F.col("notional")).alias("d"), F.lit(0).alias("o"))
+def active_at(events: DataFrame, reservations: DataFrame, width: int = 7 * 86400) -> DataFrame:
+    """events(bucket, t, id) with what is reserved then (created <= t < expires), by a sweep of additions and releases.
+
+    A bucket's time is cut into stretches of ``width`` seconds, each swept in a task of its own; what is reserved when a
+    stretch begins comes from one sum a stretch.
+    """
+    nothing = F.lit(None).cast("long").alias("id")
+    add = reservations.select("bucket", F.col("created").alias("t"), nothing, F.col("notional").alias("d"), F.lit(0).alias("o"))
+    end = reservations.select("bucket", F.col("expires").alias("t"), nothing, (-F.col("notional")).alias("d"), F.lit(0).alias("o"))
     ask = events.select("bucket", "t", "id", F.lit(0.0).alias("d"), F.lit(1).alias("o"))
-    w = Window.partitionBy("bucket").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return add.union(end).union(ask).withColumn("active", F.sum("d").over(w)).where("o = 1").select("bucket", "t", "id", "active")
+    rows = add.union(end).union(ask).withColumn("_at", F.floor(F.col("t") / width))
+    sums = rows.groupBy(F.col("bucket").alias("_k"), F.col("_at").alias("_b")).agg(F.sum("d").alias("_d"))
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_k", "_b", F.coalesce(F.sum("_d").over(earlier), F.lit(0.0)).alias("_before"))
+    w = Window.partitionBy("bucket", "_at").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.join(sums, F.col("bucket").eqNullSafe(F.col("_k")) & F.col("_at").eqNullSafe(F.col("_b")))
+    swept = swept.withColumn("active", F.sum("d").over(w) + F.col("_before"))
+    return swept.where("o = 1").select("bucket", "t", "id", "active")
+
+
+def headroom(events: DataFrame, reservations: DataFrame, caps: DataFrame, width: int = 7 * 86400) -> DataFrame:
+    """active_at with what is left of caps(bucket, cap) then, at least 0; without a cap nothing is left."""
+    limits = caps.select(F.col("bucket").alias("_k"), "cap")
+    left = F.greatest(F.coalesce("cap", F.lit(0.0)) - F.col("active"), F.lit(0.0))
+    return active_at(events, reservations, width).join(limits, F.col("bucket") == F.col("_k"), "left").withColumn("headroom", left).drop("_k", "cap")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -192,11 +250,64 @@ def error_code(text: Column) -> Column:
     return out
 
 
-def pair_stats(bars: DataFrame, least: int) -> DataFrame:
-    """Correlation and hedge ratio of every two symbols a < b over the bars they share; rows are aggregated as they meet."""
-    a, b = bars.select("t", F.col("symbol").alias("a"), F.col("c").alias("x")), bars.select(F.col("t").alias("_t"), F.col("symbol").alias("b"), F.col("c").alias("y"))
-    j = a.join(b, (F.col("t") == F.col("_t")) & (F.col("a") < F.col("b")))
-    return j.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"), F.regr_slope("y", "x").alias("beta")).where(F.col("n") >= least)
+def pair_stats(bars: DataFrame, least: int, block: int = 256, slice_bars: int = 4096) -> DataFrame:
+    """Correlation and hedge ratio of every two symbols a < b over the bars they share, where those are ``least`` or more.
+
+    Symbols are dealt into blocks and bar times into slices, so a task holds the bars of two blocks in one slice, whatever
+    the number of symbols at a time. It gives the moments of all its pairs as matrix products; they are added up over the
+    slices. Closes are taken from the symbol's mean, so that differences of large sums do not lose their digits. Both null
+    where a variance is zero; repeated bars of a symbol and time count once, with the smaller close.
+    """
+    bars = bars.where("symbol is not null and t is not null and c is not null").groupBy("symbol", "t").agg(F.min("c").alias("c"))
+    sizes = bars.agg(F.count_distinct("symbol").alias("s"), F.count_distinct("t").alias("t")).first()
+    k, slices = max(1, -(-sizes["s"] // block)), max(1, -(-sizes["t"] // slice_bars))
+    means = bars.groupBy(F.col("symbol").alias("_s")).agg(F.avg("c").alias("_m"))
+    rows = bars.join(means, F.col("symbol") == F.col("_s")).select(
+        "symbol", "t", (F.col("c") - F.col("_m")).alias("c"),
+        F.pmod(F.xxhash64("symbol"), F.lit(k)).cast("int").alias("side"), F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("part"),
+    )
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows = rows.withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other")).drop("_other")
+    first = least if slices == 1 else 1  # over several slices a pair's bars are known only when all are in
+    moments = rows.groupBy("lo", "hi", "part").applyInArrow(lambda group: _moments(group, first), _MOMENTS)
+    if slices > 1:
+        moments = moments.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    xx, yy, xy = (F.col(p) - F.col(q) * F.col(r) / n for p, q, r in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
+    some = (xx > F.col("sxx") * 1e-12) & (yy > F.col("syy") * 1e-12)
+    rho = F.when(some, F.greatest(F.least(xy / F.sqrt(xx * yy), F.lit(1.0)), F.lit(-1.0)))
+    return moments.where(n >= least).select("a", "b", "n", rho.alias("rho"), F.when(xx > F.col("sxx") * 1e-12, xy / xx).alias("beta"))
+
+
+_MOMENTS = "a string, b string, n long, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def _moments(group: pa.Table, least: int) -> pa.Table:
+    """Number of shared bars, sums, squares and products of each two symbols a < b of a group of pair_stats."""
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("sx", "sy", "sxx", "syy", "sxy")]])
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    coded = pc.dictionary_encode(group.column("symbol").cast(pa.string()).combine_chunks())
+    names, of = coded.dictionary, coded.indices.to_numpy()
+    _, at = np.unique(group.column("t").to_numpy(), return_inverse=True)
+    value, there = np.zeros((2, len(names), at.max() + 1))
+    value[of, at], there[of, at] = group.column("c").to_numpy(), 1
+    side = np.zeros(len(names), np.int64)
+    side[of] = group.column("side").to_numpy()
+    left, right = np.nonzero(side == lo)[0], np.nonzero(side == hi)[0]
+    v, w, x, y = value[left], there[left], value[right], there[right]
+    n = w @ y.T
+    keep = n >= least
+    rank = np.empty(len(names), np.int64)
+    rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+    swap = rank[left][:, None] > rank[right]
+    keep &= ~swap & (rank[left][:, None] != rank[right]) if lo == hi else True
+    i, j = np.nonzero(keep)
+    swap = swap[i, j]
+    sums = [(v @ y.T)[i, j], (w @ x.T)[i, j], ((v * v) @ y.T)[i, j], (w @ (x * x).T)[i, j]]
+    a, b = np.where(swap, right[j], left[i]), np.where(swap, left[i], right[j])
+    pick = lambda p, q: np.where(swap, sums[q], sums[p])
+    columns = [names.take(pa.array(a)), names.take(pa.array(b)), n[i, j].astype(np.int64), pick(0, 1), pick(1, 0), pick(2, 3), pick(3, 2), (v @ x.T)[i, j]]
+    return pa.table(columns, schema=schema)
 
 
 def align(bars: DataFrame, a: str, b: str) -> DataFrame:

@@ -173,7 +173,24 @@ add(
 )
 add("d7_blotter_agg", f"WITH {SQL_FILLS}, {SQL_ORDERS} SELECT o.order_id, o.status, CAST(sum(qty) AS BIGINT) AS filled, floor(sum(qty * price) / sum(qty) * 1000 + 0.5) / 1000 AS vwap, max(f.t) AS last_fill, count(f.qty) AS n_fills FROM ord o LEFT JOIN fills f ON f.order_id = o.order_id GROUP BY 1, 2")(lambda s, d: T.blotter_agg(orders(s, d).select("order_id", "status"), fills(s, d)).withColumn("vwap", F.floor(F.col("vwap") * 1000 + 0.5) / 1000))
 add("d11_asof_price", f"WITH {SQL_BARS}, ev AS (SELECT event_type AS symbol, epoch_us(ts) // 1000000 - 5400 AS t, event_id AS id FROM events) SELECT e.symbol, e.t, e.id, coalesce(b.c, 100.0) AS price FROM ev e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.t >= b.t")(lambda s, d: T.asof_price(ticks(s, d).select("symbol", (F.unix_seconds("ts") - 5400).alias("t"), "id"), hour_bars(s, d), 100.0))
-add("d15_fifo")(lambda s, d: rounded(T.fifo_match(fills(s, d), ORDER), "realized"))
+SQL_FIFO = (
+    f"{SQL_FILLS}, cum AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN qty ELSE 0 END) OVER w AS b, sum(CASE WHEN side = 'SELL' THEN qty ELSE 0 END) OVER w AS s "
+    "FROM fills WINDOW w AS (PARTITION BY symbol ORDER BY t, order_id, l_linenumber, l_partkey, symbol, qty, price ROWS UNBOUNDED PRECEDING)), "
+    "mt AS (SELECT *, s - greatest(0, max(s - b) OVER w) AS m FROM cum WINDOW w AS "
+    "(PARTITION BY symbol ORDER BY t, order_id, l_linenumber, l_partkey, symbol, qty, price ROWS UNBOUNDED PRECEDING)), "
+    "m0 AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY symbol ORDER BY t, order_id, l_linenumber, l_partkey, symbol, qty, price), 0) AS m0 FROM mt)"
+)
+add(
+    "d15_fifo",
+    f"WITH {SQL_FIFO} SELECT x.symbol, round(sum((least(x.b, y.m) - greatest(x.b - x.qty, y.m0)) * (y.price - x.price)), 6) AS realized, "
+    "CAST(sum(least(x.b, y.m) - greatest(x.b - x.qty, y.m0)) AS BIGINT) AS matched FROM m0 x JOIN m0 y ON x.symbol = y.symbol "
+    "AND x.side = 'BUY' AND y.side = 'SELL' AND y.m > y.m0 AND x.b - x.qty < y.m AND y.m0 < x.b GROUP BY 1",
+)(lambda s, d: rounded(T.fifo_match(fills(s, d), ORDER), "realized"))
+add(
+    "d15_open_lots",
+    f"WITH {SQL_FIFO}, e AS (SELECT symbol, max(m) AS mm FROM mt GROUP BY 1) SELECT m0.symbol, order_id, l_linenumber, price, "
+    "CAST(least(qty, b - mm) AS BIGINT) AS open FROM m0 JOIN e ON m0.symbol = e.symbol WHERE side = 'BUY' AND b > mm",
+)(lambda s, d: T.open_lots(fills(s, d), ORDER).select("symbol", "order_id", "l_linenumber", "price", "open"))
 add("e1_net_positions", f"WITH {SQL_FILLS} SELECT symbol, bucket, CAST(sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) AS BIGINT) AS net_qty, round(sum(CASE WHEN side = 'BUY' THEN qty * price END) / nullif(sum(CASE WHEN side = 'BUY' THEN qty ELSE 0 END), 0), 6) AS avg_buy FROM fills GROUP BY 1, 2")(lambda s, d: rounded(T.net_positions(fills(s, d), "symbol", "bucket"), "avg_buy"))
 add("e4_order_health", f"WITH {SQL_ORDERS} SELECT x.status, count(o.order_id) AS n, round(coalesce(sum(notional), 0), 2) AS notional FROM (SELECT unnest(['NEW', 'PARTIAL', 'FILLED']) AS status) x LEFT JOIN ord o ON o.status = x.status GROUP BY 1")(lambda s, d: T.order_health(orders(s, d)).withColumn("notional", F.round("notional", 2)))
 add("f30_cash_balance", f"WITH {SQL_FILLS} SELECT symbol, t, order_id, l_linenumber, l_partkey, qty, price, round(sum(CASE WHEN side = 'BUY' THEN -qty * price - fees ELSE qty * price - fees END) OVER (PARTITION BY symbol ORDER BY t, order_id, l_linenumber, l_partkey, qty, price ROWS UNBOUNDED PRECEDING), 4) AS balance FROM fills")(lambda s, d: T.running(T.cash_ledger(fills(s, d)), "delta", ["symbol"], [x for x in ORDER if x != "symbol"], "balance").select("symbol", "t", "order_id", "l_linenumber", "l_partkey", "qty", "price", F.round("balance", 4).alias("balance")))
