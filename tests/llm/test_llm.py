@@ -490,6 +490,29 @@ def test_caps(spark):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_caps_copies(spark, kind):
+    """Copies in number stand for each other's links, in either width."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((6, 24)).astype(np.float32).astype(float)
+    near = base[0] + 0.05 * rng.standard_normal(24).astype(np.float32).astype(float)
+    near = near.astype(np.float32).astype(float)
+    rows = [(i, base[0 if i < 300 else i % 5 + 1].tolist()) for i in range(310)] + [(400, near.tolist()), (401, near.tolist()), (-5, base[5].tolist())]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.9
+    i, j = np.nonzero(np.triu(linked, 1))
+    ids = [r[0] for r in rows]
+    order = np.argsort(ids)  # brute_components takes the smallest index
+    at = np.argsort(order)
+    root = brute_components(len(ids), list(zip(at[i].tolist(), at[j].tolist())))
+    got = {r["vec_id"]: r for r in caps.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), block=40).collect()}
+    assert len(got) == len(rows)
+    for k, v in enumerate(ids):
+        assert got[v]["n_links"] == linked[k].sum() - 1
+        assert got[v]["component_id"] == ids[order[root[at[k]]]]
+
+
 @pytest.mark.parametrize("dim", [2, 3, 4, 8, 16, 32, 64, 256])
 def test_caps_recall(dim):
     rng = np.random.default_rng(11)

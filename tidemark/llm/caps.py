@@ -21,6 +21,12 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length, scaled first so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Caps:
     """codes * codewords**2 filter directions over dim dimensions: ``codes`` random rotations, each followed by pairs of
     random codewords for the two halves.
@@ -66,37 +72,42 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
     vec_id get no links, a null component_id and kept false. Rows that repeat a vec_id are one vector to others, and do
     not link with themselves. An empty table gives an empty result; other columns are ignored.
 
-    Each vector carries the list of its filters, so a pair counts only in the first filter it shares: groups emit a row
-    per vector with its number of new links and a root to hang on, never the pairs. Python hands on ``rows`` rows at a time.
+    Equal vectors are one class, with their number, and stand for each other's links. A class carries its components in the
+    table's own width, float or double, and those of its filters that come before the one at hand: a pair counts only in
+    the first filter it shares. Groups emit a row per class with its number of new links and a root to hang on, never the
+    pairs. Python hands on ``rows`` rows at a time.
     """
+    kind = "<f4" if "array<float>" in dict(vectors.dtypes)["embedding"] else "<f8"  # floats lose nothing as floats
     good = save(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    classes = save(good.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caps: dict[int, Caps] = {}
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
                 x = np.stack(part["v"].to_numpy())
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                x = x / scale
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 caps.setdefault(dim, Caps(dim, codes, codewords, height))
-                lists = caps[dim].decode(x)
-                rep = np.repeat(np.arange(len(part)), [len(f) for f in lists])
+                lists = caps[dim].decode(units(x))
+                lengths = np.array([len(f) for f in lists])
+                rep = np.repeat(np.arange(len(part)), lengths)
                 if not len(rep):
                     continue
-                raw, own, ids = [r.tobytes() for r in x], [f.tobytes() for f in lists], part["vec_id"].to_numpy()
+                nth = np.arange(len(rep)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                raw, own = [r.tobytes() for r in x.astype(kind)], [f.tobytes() for f in lists]
+                ids, copies = part["node"].to_numpy(), part["copies"].to_numpy()
                 every = np.concatenate(lists).astype(np.int64) + (int(dim) << 32)
                 for at in range(0, len(rep), rows):
-                    r = rep[at : at + rows]
-                    yield pd.DataFrame({"cap": every[at : at + rows], "vec_id": ids[r], "unit": [raw[k] for k in r], "own": [own[k] for k in r]})
+                    r, n = rep[at : at + rows], nth[at : at + rows]
+                    before = [own[k][: 4 * m] for k, m in zip(r.tolist(), n.tolist())]
+                    yield pd.DataFrame({"cap": every[at : at + rows], "node": ids[r], "copies": copies[r], "raw": [raw[k] for k in r], "own": before})
 
-    dealt = bucket_blocks(good.mapInPandas(deal, "cap long, vec_id long, unit binary, own binary"), "cap", F.xxhash64("vec_id"), block)
+    dealt = bucket_blocks(classes.mapInPandas(deal, "cap long, node long, copies long, raw binary, own binary"), "cap", F.xxhash64("node"), block)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["cap", "lo", "hi"]):
             out = []
-            for (cap, lo, hi), g in pdf.groupby(["cap", "lo", "hi"], sort=False):
-                x = np.frombuffer(b"".join(g["unit"]), float).reshape(len(g), -1)
+            for (_, lo, hi), g in pdf.groupby(["cap", "lo", "hi"], sort=False):
+                x = units(np.frombuffer(b"".join(g["raw"]), kind).astype(float).reshape(len(g), -1))
                 i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
                 if lo != hi and len(i):
                     side = g["side"].to_numpy()
@@ -108,7 +119,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
                 own = [np.frombuffer(b, "<u4") for b in g["own"].iloc[members]]
                 row = np.repeat(np.arange(len(own)), [len(o) for o in own])
                 every = np.concatenate(own)
-                row, every = row[every < (cap & 0xFFFFFFFF)], every[every < (cap & 0xFFFFFFFF)]
                 if len(every):  # filters before this one: pairs that share one have been counted there
                     names, col = np.unique(every, return_inverse=True)
                     has = np.zeros((len(own), len(names)), np.float32)
@@ -116,17 +126,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
                     fresh = (has @ has.T)[i, j] == 0
                     i, j = i[fresh], j[fresh]
                 if len(i):
-                    ids = g["vec_id"].to_numpy()[members]
-                    n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                    ids, copies = g["node"].to_numpy()[members], g["copies"].to_numpy()[members]
+                    n = np.zeros(len(ids), np.int64)
+                    np.add.at(n, i, copies[j])
+                    np.add.at(n, j, copies[i])
                     root = local_roots(len(ids), i, j)
-                    out.append(pd.DataFrame({"vec_id": ids[n > 0], "n": n[n > 0], "root": ids[root[n > 0]]}))
+                    out.append(pd.DataFrame({"node": ids[n > 0], "n": n[n > 0], "root": ids[root[n > 0]]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    found = save(dealt.mapInPandas(verify, "vec_id long, n long, root long"), "links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    tied = counts.join(roots, F.col("vec_id") == F.col("node")).select(F.col("vec_id").alias("_id"), "n_links", "component")
+    found = save(dealt.mapInPandas(verify, "node long, n long, root long"), "links")
+    counts = found.groupBy(F.col("node").alias("_node")).agg(F.sum("n").alias("n"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_root")
+    of = classes.join(counts, F.col("node") == F.col("_node"), "left").join(roots, F.col("node") == F.col("_root"), "left")
+    n_links = F.col("copies") - 1 + F.coalesce("n", F.lit(0))
+    of = of.select(F.col("v").alias("_v"), n_links.alias("n_links"), F.coalesce("component", "node").alias("component"))
+    tied = good.join(of, F.col("v") == F.col("_v")).select(F.col("vec_id").alias("_id"), "n_links", "component")
     rows = vectors.select(F.col("vec_id").cast("long")).join(tied, F.col("vec_id") == F.col("_id"), "left")
     component = F.coalesce("component", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
