@@ -155,21 +155,71 @@ def position_diff(broker: DataFrame, local: DataFrame) -> DataFrame:
     return j.select(F.coalesce("a.symbol", "b.symbol").alias("symbol"), x.alias("broker"), y.alias("local"), (x - y).alias("diff")).where("diff <> 0")
 
 
-def apply_gates(df: DataFrame, least_trades: int, least_win: float, most_dd: float) -> DataFrame:
-    """rejected_reason: the first gate that fails (null: none)."""
-    win = F.when(F.col("win_rate") <= 1, F.col("win_rate") * 100).otherwise(F.col("win_rate"))
-    reason = (
-        F.when(F.col("pnl_total").isNull() | (F.col("pnl_total") <= 0), "non_positive_return").when(F.coalesce("n_trades", F.lit(0)) < least_trades, "min_trades")
-        .when(win.isNull() | (win < least_win), "win_rate").when(F.abs("max_dd") > most_dd, "max_dd")
-    )
+def _share(win: str = "win_rate") -> Column:
+    """A win rate as a share: above 1 it is in per cent."""
+    return F.when(F.col(win) > 1, F.col(win) / 100).otherwise(F.col(win))
+
+
+def _not_positive(df: DataFrame) -> Column:
+    """The return, R where there is one and else pnl_total, is null or not above 0."""
+    made = F.coalesce(*[F.col(c) for c in ("R", "pnl_total") if c in df.columns])
+    return F.coalesce(made <= 0, F.lit(True))
+
+
+def _given(df: DataFrame, checks: list[tuple[float | None, str, str, object]]) -> list[tuple[Column, str]]:
+    """Checks (limit, column they need, reason, condition on the limit) whose limit is set and whose column df has."""
+    return [(condition(limit), reason) for limit, column, reason, condition in checks if limit is not None and column in df.columns]
+
+
+def apply_gates(
+    df: DataFrame, min_trades: int | None = None, min_win_rate: float | None = None, max_drawdown: float | None = None,
+    max_slippage_bps: float | None = None, min_R: float | None = None, min_pnl_total: float | None = None, positive: bool = True,  # noqa: N803
+) -> DataFrame:
+    """rejected_reason: the first gate that fails (null: none). Gates not given are open, as are those of columns df lacks.
+
+    A null number of trades, win rate, drawdown or slippage counts as 0; a null R or pnl_total passes its own gate.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    checks = [
+        (min_trades, "n_trades", "min_trades", lambda x: zero("n_trades") < x),
+        (min_win_rate, "win_rate", "min_win_rate", lambda x: F.coalesce(_share(), F.lit(0.0)) < x),
+        (max_drawdown, "max_dd", "max_drawdown", lambda x: F.abs(zero("max_dd")) > x),
+        (max_slippage_bps, "slippage_bps", "slippage", lambda x: zero("slippage_bps") > x),
+        (min_R, "R", "min_R", lambda x: F.col("R") < x),
+        (min_pnl_total, "pnl_total", "min_pnl_total", lambda x: F.col("pnl_total") < x),
+    ]
+    every = [(_not_positive(df), "non_positive_return")] * positive + _given(df, checks)
+    reason = F.coalesce(*[F.when(c, F.lit(name)) for c, name in every]) if every else F.lit(None).cast("string")
     return df.withColumn("rejected_reason", reason)
 
 
-def eligibility(df: DataFrame, least_trades: int, least_win: float, most_dd: float) -> DataFrame:
-    """reasons: all that speak against a row, comma-joined in fixed order."""
-    checks = [(F.coalesce("n_trades", F.lit(0)) < least_trades, "min_trades"), (F.col("win_rate").isNull(), "missing_win_rate"), (F.col("win_rate") < least_win / 100, "min_win_rate"), (F.abs("max_dd") > most_dd, "max_dd")]
-    every = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in checks])), ",")
-    return df.withColumn("reasons", F.when(F.coalesce(F.col("pnl_total") <= 0, F.lit(True)), "non_positive_return").otherwise(every))
+def eligibility(
+    df: DataFrame, as_of: int | None = None, recency_days: float | None = None, min_trades: int = 20, min_R: float | None = 0.0,  # noqa: N803
+    min_pnl_total: float | None = None, min_sharpe: float | None = 0.25, min_win_rate: float = 0.5, max_drawdown: float | None = None,
+    max_turnover: float | None = None, max_avg_hold_min: float | None = None, max_latency_ms: float | None = None, positive: bool = True,
+) -> DataFrame:
+    """reasons: all that speak against a row, comma-joined in fixed order; a return that is not positive stands alone.
+
+    recency_days asks for an end_t (seconds) at most so long before as_of. A null Sharpe ratio or win rate fails; other
+    nulls pass, but for the number of trades and the drawdown, which count as 0. Checks of columns df lacks are left out.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    above = lambda c: lambda x: F.col(c) > x
+    checks = [
+        (recency_days, "end_t", "stale_metrics", lambda x: F.coalesce(F.lit(as_of) - F.col("end_t") > x * 86400, F.lit(True))),
+        (min_trades, "n_trades", "min_trades", lambda x: zero("n_trades") < x),
+        (min_R, "R", "min_R", lambda x: F.col("R") < x),
+        (min_pnl_total, "pnl_total", "min_pnl_total", lambda x: F.col("pnl_total") < x),
+        (min_sharpe, "sharpe", "min_sharpe", lambda x: F.coalesce(F.col("sharpe") < x, F.lit(True))),
+        (min_win_rate, "win_rate", "missing_win_rate", lambda x: F.col("win_rate").isNull()),
+        (min_win_rate, "win_rate", "min_win_rate", lambda x: _share() < x),
+        (max_drawdown, "max_dd", "max_drawdown", lambda x: F.abs(zero("max_dd")) > x),
+        (max_turnover, "turnover", "max_turnover", above("turnover")),
+        (max_avg_hold_min, "avg_hold_min", "max_avg_hold_min", above("avg_hold_min")),
+        (max_latency_ms, "latency_ms", "max_latency_ms", above("latency_ms")),
+    ]
+    every = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in _given(df, checks)])), ",")
+    return df.withColumn("reasons", F.when(_not_positive(df), "non_positive_return").otherwise(every) if positive else every)
 
 
 def by_thresholds(value: Column, steps: list[tuple[float, str]], last: str) -> Column:

@@ -197,9 +197,9 @@ add("f30_cash_balance", f"WITH {SQL_FILLS} SELECT symbol, t, order_id, l_linenum
 add("i8_headroom", f"WITH {SQL_ORDERS} SELECT a.bucket, a.t, a.order_id AS id, round(coalesce(sum(b.notional), 0), 2) AS active FROM ord a LEFT JOIN ord b ON a.bucket = b.bucket AND b.t <= a.t AND a.t < b.t + (b.cust % 7 + 1) * {DAY} GROUP BY 1, 2, 3")(lambda s, d: T.active_at(orders(s, d).select("bucket", "t", F.col("order_id").alias("id")), orders(s, d).select("bucket", F.col("t").alias("created"), (F.col("t") + (F.col("cust") % 7 + 1) * DAY).alias("expires"), "notional")).withColumn("active", F.round("active", 2)))
 add("i16_dedupe_fills", f"WITH {SQL_FILLS} SELECT order_id, price, qty, min(t) AS t FROM fills GROUP BY 1, 2, 3")(lambda s, d: T.first_of(fills(s, d), ["order_id", "price", "qty"], ["t"]).select("order_id", "price", "qty", "t"))
 add("d14_position_diff", f"WITH {SQL_FILLS}, n AS (SELECT symbol, CAST(sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) AS BIGINT) AS qty FROM fills GROUP BY 1), a AS (SELECT symbol, CASE WHEN symbol % 5 = 0 THEN qty + 1 ELSE qty END AS qty FROM n WHERE symbol % 7 <> 0), j AS (SELECT coalesce(a.symbol, n.symbol) AS symbol, coalesce(a.qty, 0) AS broker, coalesce(n.qty, 0) AS local FROM a FULL JOIN n ON a.symbol = n.symbol) SELECT *, broker - local AS diff FROM j WHERE broker <> local")(lambda s, d: (lambda n: T.position_diff(n.where("symbol % 7 <> 0").withColumn("qty", F.when(F.col("symbol") % 5 == 0, F.col("qty") + 1).otherwise(F.col("qty"))), n))(fills(s, d).groupBy("symbol").agg(F.sum(T.signed()).alias("qty"))))
-add("b4_gates", f"WITH {SQL_RESULTS} SELECT symbol, strategy, timeframe, CASE WHEN pnl_total IS NULL OR pnl_total <= 0 THEN 'non_positive_return' WHEN n_trades < 20 THEN 'min_trades' WHEN win_rate IS NULL OR win_rate * 100 < 30 THEN 'win_rate' WHEN abs(max_dd) > 3000 THEN 'max_dd' END AS rejected_reason FROM res")(lambda s, d: T.apply_gates(results(s, d), 20, 30, 3000).select("symbol", "strategy", "timeframe", "rejected_reason"))
-add("b5_eligibility", f"WITH {SQL_RESULTS} SELECT symbol, strategy, timeframe, CASE WHEN coalesce(pnl_total <= 0, true) THEN 'non_positive_return' ELSE concat_ws(',', CASE WHEN n_trades < 20 THEN 'min_trades' END, CASE WHEN win_rate IS NULL THEN 'missing_win_rate' END, CASE WHEN win_rate < 0.3 THEN 'min_win_rate' END, CASE WHEN abs(max_dd) > 3000 THEN 'max_dd' END) END AS reasons FROM res")(lambda s, d: T.eligibility(results(s, d), 20, 30, 3000).select("symbol", "strategy", "timeframe", "reasons"))
-add("b6_reason_counts", f"WITH {SQL_RESULTS} SELECT CASE WHEN pnl_total IS NULL OR pnl_total <= 0 THEN 'non_positive_return' WHEN n_trades < 20 THEN 'min_trades' WHEN win_rate IS NULL OR win_rate * 100 < 30 THEN 'win_rate' WHEN abs(max_dd) > 3000 THEN 'max_dd' END AS rejected_reason, count(*) AS n FROM res GROUP BY 1")(lambda s, d: T.apply_gates(results(s, d), 20, 30, 3000).groupBy("rejected_reason").agg(F.count("*").alias("n")))
+add("b4_gates", f"WITH {SQL_RESULTS} SELECT symbol, strategy, timeframe, CASE WHEN pnl_total IS NULL OR pnl_total <= 0 THEN 'non_positive_return' WHEN n_trades < 20 THEN 'min_trades' WHEN win_rate IS NULL OR win_rate * 100 < 30 THEN 'min_win_rate' WHEN abs(max_dd) > 3000 THEN 'max_drawdown' END AS rejected_reason FROM res")(lambda s, d: T.apply_gates(results(s, d), 20, 0.3, 3000).select("symbol", "strategy", "timeframe", "rejected_reason"))
+add("b5_eligibility", f"WITH {SQL_RESULTS} SELECT symbol, strategy, timeframe, CASE WHEN coalesce(pnl_total <= 0, true) THEN 'non_positive_return' ELSE concat_ws(',', CASE WHEN n_trades < 20 THEN 'min_trades' END, CASE WHEN win_rate IS NULL THEN 'missing_win_rate' END, CASE WHEN win_rate < 0.3 THEN 'min_win_rate' END, CASE WHEN abs(max_dd) > 3000 THEN 'max_drawdown' END) END AS reasons FROM res")(lambda s, d: T.eligibility(results(s, d), min_win_rate=0.3, max_drawdown=3000).select("symbol", "strategy", "timeframe", "reasons"))
+add("b6_reason_counts", f"WITH {SQL_RESULTS} SELECT CASE WHEN pnl_total IS NULL OR pnl_total <= 0 THEN 'non_positive_return' WHEN n_trades < 20 THEN 'min_trades' WHEN win_rate IS NULL OR win_rate * 100 < 30 THEN 'min_win_rate' WHEN abs(max_dd) > 3000 THEN 'max_drawdown' END AS rejected_reason, count(*) AS n FROM res GROUP BY 1")(lambda s, d: T.apply_gates(results(s, d), 20, 0.3, 3000).groupBy("rejected_reason").agg(F.count("*").alias("n")))
 add("b7_drawdown_bucket", f"WITH {SQL_RESULTS} SELECT symbol, strategy, timeframe, CASE WHEN abs(max_dd) <= 1000 THEN 'LOW' WHEN abs(max_dd) <= 3000 THEN 'MED' ELSE 'HIGH' END AS bucket FROM res")(lambda s, d: results(s, d).select("symbol", "strategy", "timeframe", T.by_thresholds(F.col("max_dd"), [(1000, "LOW"), (3000, "MED")], "HIGH").alias("bucket")))
 add("e11_config", f"WITH {SQL_RESULTS} SELECT strategy, timeframe, round(sum(pnl_total * n_trades) / sum(CASE WHEN pnl_total IS NOT NULL THEN n_trades END), 6) AS pnl_total, round(sum(win_rate * n_trades) / sum(CASE WHEN win_rate IS NOT NULL THEN n_trades END), 6) AS win_rate, max(abs(max_dd)) AS max_dd, CAST(sum(n_trades) AS BIGINT) AS n_trades, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS symbols FROM res GROUP BY 1, 2")(lambda s, d: rounded(T.weighted_config(results(s, d), ["strategy", "timeframe"], ["pnl_total", "win_rate"]), "pnl_total", "win_rate"))
 add("f25_topk", f"WITH {SQL_RESULTS} SELECT symbol, strategy, timeframe, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY strategy, timeframe ORDER BY n_trades DESC, symbol) AS rank FROM res) WHERE rank <= 3")(lambda s, d: T.topk(results(s, d), ["strategy", "timeframe"], [F.desc("n_trades"), F.col("symbol")], 3).select("symbol", "strategy", "timeframe", "rank"))
@@ -207,3 +207,40 @@ add("f26_cohort_z", f"WITH {SQL_RESULTS}, c AS (SELECT *, count(pnl_total) OVER
 add("e14_histogram_quantile", "WITH h AS (SELECT event_type, le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([5.0::DOUBLE, 10.0, 20.0, 50.0, 100.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, 2), x AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, coalesce(lag(le) OVER w, 0) AS le0, 0.95 * max(n) OVER (PARTITION BY event_type) AS rk FROM h WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(CASE WHEN isinf(le) THEN le0 ELSE le0 + (le - le0) * (rk - n0) / (n - n0) END, 6) AS quantile FROM x WHERE n >= rk AND n0 < rk")(lambda s, d: rounded(T.histogram_quantile(T.to_histogram(_read(s, d, "events"), ["event_type"], "value", [5, 10, 20, 50, 100]), ["event_type"], 0.95), "quantile"))
 add("e15_counter_rate", f"WITH {SQL_TICKS} SELECT symbol, us // 300000000 * 300 AS b, round(greatest(0, last(ltp ORDER BY us // 1000000, id) - first(ltp ORDER BY us // 1000000, id)) / 300, 6) AS rate FROM ticks GROUP BY 1, 2")(lambda s, d: rounded(T.counter_rate(ticks(s, d).select("symbol", F.unix_seconds("ts").alias("t"), "id", F.col("ltp").alias("value")), 300, ["symbol"]), "rate"))
 add("e10_eod", f"WITH {SQL_FILLS} SELECT t // {DAY} AS day, count(*) AS n_fills, count(DISTINCT symbol) AS symbols, CAST(sum(qty) AS BIGINT) AS qty FROM fills GROUP BY 1")(lambda s, d: fills(s, d).groupBy(F.floor(F.col("t") / DAY).alias("day")).agg(F.count("*").alias("n_fills"), F.count_distinct("symbol").alias("symbols"), F.sum("qty").alias("qty")))
+
+
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    """results with the other measures that gates and policies ask for, derived from their keys."""
+    j = F.col("symbol") * 7 + F.col("timeframe") * 3
+    some = lambda n, v: F.when(j % n != 0, v).cast("double")
+    return results(spark, d).select(
+        "*", some(4, (j % 11 - 2) / 4).alias("R"), some(3, j % 13).alias("slippage_bps"), some(5, j % 9 / 8).alias("sharpe"), some(1000, j % 17).alias("turnover"),
+        some(6, j % 50).alias("avg_hold_min"), some(1000, j % 23).alias("latency_ms"), F.when(j % 8 != 0, j % 40 * DAY).alias("end_t"),
+    )
+
+
+SQL_GRADED = SQL_RESULTS + (
+    f", jj AS (SELECT *, symbol * 7 + timeframe * 3 AS j FROM res), gr AS (SELECT *, CASE WHEN j % 4 <> 0 THEN (j % 11 - 2) / 4.0::DOUBLE END AS R, "
+    "CASE WHEN j % 3 <> 0 THEN j % 13 END AS slip, CASE WHEN j % 5 <> 0 THEN j % 9 / 8.0::DOUBLE END AS sharpe, CASE WHEN j % 1000 <> 0 THEN j % 17 END AS turnover, "
+    f"CASE WHEN j % 6 <> 0 THEN j % 50 END AS hold, CASE WHEN j % 1000 <> 0 THEN j % 23 END AS lat, CASE WHEN j % 8 <> 0 THEN j % 40 * {DAY} END AS end_t FROM jj)"
+)
+add(
+    "b4_all_gates",
+    f"WITH {SQL_GRADED} SELECT symbol, strategy, timeframe, CASE WHEN coalesce(R, pnl_total, 0) <= 0 THEN 'non_positive_return' WHEN n_trades < 10 THEN 'min_trades' "
+    "WHEN coalesce(win_rate, 0) < 0.2 THEN 'min_win_rate' WHEN abs(max_dd) > 5000 THEN 'max_drawdown' WHEN coalesce(slip, 0) > 10 THEN 'slippage' "
+    "WHEN R < 0.5 THEN 'min_R' WHEN pnl_total < 50 THEN 'min_pnl_total' END AS rejected_reason FROM gr",
+)(
+    lambda s, d: T.apply_gates(graded(s, d), 10, 0.2, 5000, 10, 0.5, 50).select("symbol", "strategy", "timeframe", "rejected_reason")
+)
+add(
+    "b5_all_checks",
+    f"WITH {SQL_GRADED} SELECT symbol, strategy, timeframe, CASE WHEN coalesce(R, pnl_total, 0) <= 0 THEN 'non_positive_return' ELSE concat_ws(',', "
+    f"CASE WHEN end_t IS NULL OR {40 * DAY} - end_t > {30 * DAY} THEN 'stale_metrics' END, CASE WHEN n_trades < 20 THEN 'min_trades' END, CASE WHEN R < 0.5 THEN 'min_R' END, "
+    "CASE WHEN pnl_total < 50 THEN 'min_pnl_total' END, CASE WHEN sharpe IS NULL OR sharpe < 0.25 THEN 'min_sharpe' END, CASE WHEN win_rate IS NULL THEN 'missing_win_rate' END, "
+    "CASE WHEN win_rate < 0.5 THEN 'min_win_rate' END, CASE WHEN abs(max_dd) > 3000 THEN 'max_drawdown' END, CASE WHEN turnover > 12 THEN 'max_turnover' END, "
+    "CASE WHEN hold > 40 THEN 'max_avg_hold_min' END, CASE WHEN lat > 20 THEN 'max_latency_ms' END) END AS reasons FROM gr",
+)(
+    lambda s, d: T.eligibility(
+        graded(s, d), 40 * DAY, 30, min_R=0.5, min_pnl_total=50, max_drawdown=3000, max_turnover=12, max_avg_hold_min=40, max_latency_ms=20
+    ).select("symbol", "strategy", "timeframe", "reasons")
+)
