@@ -78,6 +78,20 @@ def agree(signals: DataFrame, children: int, mode: str = "votes", weights: dict[
     return same.where(enough).select("symbol", "t", "side", F.least(F.lit(1.0), strength).alias("strength"))
 
 
+def k_of_n(votes: DataFrame, k: int = 3, warmup: int = 35, of: int = 4) -> DataFrame:
+    """votes(symbol, t, up, down) with state (the side that at least k speak for, and more than for the other), action (that
+    side where it had fewer than k votes at the bar before) and confidence (its share of the votes). All flat before bar
+    ``warmup``, whose votes count as those before it are not there."""
+    w = W.ordered()
+    x = votes.withColumn("_n", F.row_number().over(w))
+    zone = F.when((F.col("up") >= k) & (F.col("up") > F.col("down")), 1).when((F.col("down") >= k) & (F.col("down") > F.col("up")), -1).otherwise(0)
+    x = x.withColumn("_z", F.when(F.col("_n") >= warmup, zone).otherwise(0))
+    before = F.when(F.col("_n") > warmup, F.when(F.col("_z") > 0, F.lag("up").over(w)).otherwise(F.lag("down").over(w))).otherwise(0)
+    x = x.withColumn("state", act(F.col("_z"))).withColumn("action", act(F.when(before < k, F.col("_z")).otherwise(0)))
+    share = F.when(F.col("_z") > 0, F.col("up")).when(F.col("_z") < 0, F.col("down")).otherwise(0) / of
+    return x.withColumn("confidence", F.least(share, F.lit(1.0))).drop("_n", "_z")
+
+
 def spread_z(aligned: DataFrame, n: int, least: int = 10, mode: str = "raw") -> DataFrame:
     """aligned(symbol, t, x, y) with beta over the last n bars, the spread by each bar's own beta, and that spread's score
     over its last n values (population deviation), from ``least`` values on."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -228,6 +229,33 @@ def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     return _by_symbol(bars.select("symbol", "t", "c"), make, "rsi double").drop("c")
 
 
+def with_votes(bars: DataFrame, rsi: int = 14, low: float = 30.0, high: float = 70.0, slope: int = 20, fast: int = 12, slow: int = 26, signal: int = 9, back: int = 12) -> DataFrame:
+    """bars with up and down: how many of four readings speak for a rise and for a fall.
+
+    They are: Wilder's RSI below low or above high; the exponential mean's direction since the bar before; the sign of
+    MACD (means from the first close on) less its signal mean, which is seeded with the mean of its first values; the
+    sign of the change over ``back`` bars, if the close then was not 0. A reading that is not there yet has no vote.
+    """
+
+    def make():
+        strength, trend, quick, lazy, mean = WilderRsi(rsi), Ema(slope), Ema(fast), Ema(slow), Ema(signal, "sma")
+        closes: deque[float] = deque(maxlen=back + 1)
+        before: list[float] = []
+
+        def step(row):
+            r, e, line = strength.add(row.c), trend.add(row.c), quick.add(row.c) - lazy.add(row.c)
+            m = mean.add(line)
+            closes.append(row.c)
+            votes = [0.0 if r is None else (r < low) - (r > high), e - before[0] if before else 0.0, 0.0 if m is None else line - m]
+            votes.append(row.c / closes[0] - 1 if len(closes) > back and closes[0] else 0.0)
+            before[:] = [e]
+            return sum(v > 0 for v in votes), sum(v < 0 for v in votes)
+
+        return step
+
+    return _by_symbol(bars, make, "up int, down int")
+
+
 def heikin_ashi(bars: DataFrame) -> DataFrame:
     """hc is the bar's mean price; ho the open at first, then the middle of the bar before."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..operators import alerts as A
 from ..operators import bars as B
 from ..operators import ledgers as L
 from ..operators import tables as T
@@ -140,3 +141,48 @@ add("h9_costs", f"WITH {SQL_FILLS} SELECT symbol, order_id, l_linenumber, l_part
 add("h14_size_legs", f"WITH {SQL_SPREAD}, q AS (SELECT sz.symbol, sz.t, sz.beta, al.x, al.y FROM sz JOIN al ON al.t = sz.t AND al.symbol = sz.symbol WHERE beta IS NOT NULL) SELECT symbol, t, CAST(greatest(1, floor(1000 / (y + abs(beta) * x))) AS BIGINT) AS qty_a, CAST(greatest(1, floor(1000 / (y + abs(beta) * x) * abs(beta))) AS BIGINT) AS qty_b FROM q")(
     lambda s, d: (lambda q: q.select("symbol", "t", *[v.alias(n) for n, v in zip(("qty_a", "qty_b"), L.size_legs(C("y"), C("x"), C("beta"), 1000.0))]))(_spread(s, d).where("beta is not null").select("symbol", "t", "beta").join(_aligned(s, d), ["symbol", "t"]))
 )
+
+
+def metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of every metric that a rule looks at, by symbol and hour: counters of bars' trades, gauges of their closes."""
+    bars = hour_bars(spark, d)
+    so_far = Window.partitionBy("symbol").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda c: F.sum(c).over(so_far).cast("double")
+    values = {
+        "risk_orders_rejected_total": count(C("n_trades") * 90000), "exec_orders_filled_total": count(F.when(C("n_trades") > 2, 1).otherwise(0)),
+        "orders_emitted_total": count(F.when(C("n_trades") > 1, 1).otherwise(0)), "oms_reject_rate_24h": C("n_trades") / 40.0,
+        "oms_time_to_complete_p95_seconds": C("c") / 10, "risk_dd_velocity_pct_per_min": F.when(C("n_trades") > 1, C("l") - C("h")),
+    }
+    wide = bars.select(C("symbol").alias("label"), "t", *[v.alias(m) for m, v in values.items()])
+    return wide.unpivot(["label", "t"], list(values), "metric", "value")
+
+
+SQL_METRICS = (
+    f"{SQL_BARS}, w6 AS (SELECT symbol AS label, t, sum(n_trades) OVER w * 90000 AS rejected, sum(CASE WHEN n_trades > 2 THEN 1 ELSE 0 END) OVER w AS filled, "
+    "sum(CASE WHEN n_trades > 1 THEN 1 ELSE 0 END) OVER w AS emitted, n_trades / 40.0 AS rate, c / 10 AS p95, CASE WHEN n_trades > 1 THEN l - h END AS velocity "
+    "FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING))"
+)
+
+
+def _sql_rise(counter: str, seconds: int) -> str:
+    return f"{counter} - min({counter}) OVER (PARTITION BY label ORDER BY t RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW)"
+
+
+def _sql_alerts(times: int) -> str:
+    """Every rule ``times`` slower, in SQL of its own: a stretch of bad samples is numbered by the good ones before it."""
+    looks = [
+        ("RiskRejectedSpike", f"({_sql_rise('rejected', 300 * times)}) / {300.0 * times}", "v > 5", 120), ("ExecNoFills", _sql_rise("filled", 900 * times), "v = 0", 900),
+        ("OrdersZero", _sql_rise("emitted", 600 * times), "v = 0", 600), ("HighRejectRate", "rate", "v > 0.05", 180),
+        ("OrderLatencyP95High", "p95", "v > 5", 120), ("DrawdownVelocitySpike", "velocity", "v < -0.5", 120),
+    ]
+    each = []
+    for name, value, bad, hold in looks:
+        each.append(
+            f"SELECT '{name}' AS alert, label, t, v AS value, CASE WHEN bad THEN min(CASE WHEN bad THEN t END) OVER (PARTITION BY label, stretch) END AS since, "
+            f"{hold * times} AS hold FROM (SELECT *, count(*) FILTER (NOT bad) OVER (PARTITION BY label ORDER BY t ROWS UNBOUNDED PRECEDING) AS stretch "
+            f"FROM (SELECT *, {bad} AS bad FROM (SELECT label, t, CAST({value} AS DOUBLE) AS v FROM w6) WHERE v IS NOT NULL))"
+        )
+    return f"WITH {SQL_METRICS} SELECT alert, label, t, round(value, 6) AS value, since, coalesce(t - since >= hold, false) AS firing FROM ({' UNION ALL '.join(each)})"
+
+
+add("e20_rules", _sql_alerts(60))(lambda s, d: A.alerts(metrics(s, d), [r.slower(60) for r in A.RULES]).withColumn("value", F.round("value", 6)))

@@ -179,6 +179,26 @@ add("g22_order_intents", f"WITH {SQL_CROSS} SELECT concat_ws(':', t, symbol, 'sm
     lambda s, d: _sma_cross(s, d).where("action <> 'FLAT'").select(F.concat_ws(":", "t", "symbol", F.lit("sma"), "action").alias("client_id"), "symbol", "t", "action", F.floor(1000 / C("c")).alias("qty")).where("qty > 0")
 )
 
+# Four readings of a bar; the signal mean in SQL is a fold over the lines so far.
+SQL_VOTES = (
+    f"{SQL_V}, x AS (SELECT *, c - lag(c) OVER (PARTITION BY symbol ORDER BY t) AS dd, {ema_first(12)} - {ema_first(26)} AS line, {ema_first(20)} AS e, "
+    "lag(c, 12) OVER (PARTITION BY symbol ORDER BY t) AS c12 FROM v), "
+    f"y AS (SELECT *, list(greatest(dd, 0)) FILTER (dd IS NOT NULL) {SO_FAR} AS g, list(greatest(-dd, 0)) FILTER (dd IS NOT NULL) {SO_FAR} AS k, "
+    f"list(line) {SO_FAR} AS ls, lag(e) OVER (PARTITION BY symbol ORDER BY t) AS e0, row_number() OVER (PARTITION BY symbol ORDER BY t) AS n FROM x), "
+    f"f AS (SELECT *, CASE WHEN len(g) >= 14 THEN {SQL_FOLD.format('g')} END AS gain, CASE WHEN len(k) >= 14 THEN {SQL_FOLD.format('k')} END AS loss, "
+    f"{ema(9, 'ls')} AS sig FROM y), "
+    "r AS (SELECT *, CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END AS rsi FROM f), "
+    "vo AS (SELECT symbol, t, n, CAST(coalesce(rsi < 30, false) AS INT) + CAST(coalesce(e > e0, false) AS INT) + CAST(coalesce(line > sig, false) AS INT) + CAST(coalesce(c > c12, false) AS INT) AS up, "
+    "CAST(coalesce(rsi > 70, false) AS INT) + CAST(coalesce(e < e0, false) AS INT) + CAST(coalesce(line < sig, false) AS INT) + CAST(coalesce(c < c12, false) AS INT) AS down FROM r)"
+)
+add(
+    "g17_k_of_n",
+    f"WITH {SQL_VOTES}, z AS (SELECT *, CASE WHEN n < 35 THEN 0 WHEN up >= 3 AND up > down THEN 1 WHEN down >= 3 AND down > up THEN -1 ELSE 0 END AS z, "
+    "CASE WHEN n > 35 THEN lag(up) OVER (PARTITION BY symbol ORDER BY t) ELSE 0 END AS u0, CASE WHEN n > 35 THEN lag(down) OVER (PARTITION BY symbol ORDER BY t) ELSE 0 END AS d0 FROM vo) "
+    f"SELECT symbol, t, up, down, {ACT.format('z')} AS state, CASE WHEN z > 0 AND u0 < 3 THEN 'BUY' WHEN z < 0 AND d0 < 3 THEN 'SELL' ELSE 'FLAT' END AS action, "
+    "CASE WHEN z > 0 THEN up WHEN z < 0 THEN down ELSE 0 END / 4.0::DOUBLE AS confidence FROM z",
+)(lambda s, d: S.k_of_n(W.with_votes(hour_bars(s, d)).select("symbol", "t", "up", "down")))
+
 # Pairs.
 P60 = "OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
 SQL_SPREAD = f"{SQL_ALIGN}, be AS (SELECT *, CASE WHEN count(x) {P60} >= 10 AND var_pop(x) {P60} > 1e-12 THEN regr_slope(y, x) {P60} END AS beta FROM al), sp AS (SELECT *, y - beta * x AS spread FROM be), sz AS (SELECT symbol, t, round(beta, 6) AS beta, round(spread, 6) AS spread, round(CASE WHEN count(spread) {P60} >= 10 AND stddev_pop(spread) {P60} > 0 THEN (spread - avg(spread) {P60}) / stddev_pop(spread) {P60} END, 6) AS z FROM sp)"
