@@ -78,3 +78,27 @@ def instruments(raw: DataFrame) -> DataFrame:
     x = x.withColumn("expiry", F.to_date(F.substring("expiry", 1, 10))).fillna(0.05, ["tick_size"]).fillna(1, ["lot_size"])
     rest = [c for c in x.columns if c != "instrument_token"]
     return x.groupBy("instrument_token").agg(F.max(F.struct("expiry", *[c for c in rest if c != "expiry"])).alias("x")).select("instrument_token", *[f"x.{c}" for c in rest])
+
+
+def write_bars(bars: DataFrame, path: str) -> None:
+    """bars(tf, symbol, t, ...) as Parquet in folders by timeframe and UTC day, in order of symbol and time within files, so
+    that scans of read_bars skip folders and row groups."""
+    dated = bars.withColumn("date", F.to_date(F.timestamp_seconds("t")))
+    dated.repartition("tf", "date").sortWithinPartitions("tf", "date", "symbol", "t").write.mode("append").partitionBy("tf", "date").parquet(path)
+
+
+def read_bars(spark: SparkSession, path: str, tf: int, symbols: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Bars of one timeframe that write_bars wrote: of the symbols named (None: all), start <= t <= end (None: open).
+
+    The timeframe and the days choose folders, symbols and times are pushed down to the scan. Not sorted: sort where
+    order matters.
+    """
+    rows = spark.read.parquet(path).where(F.col("tf") == tf)
+    day = lambda s: F.to_date(F.timestamp_seconds(F.lit(s)))
+    if symbols is not None:
+        rows = rows.where(F.col("symbol").isin(symbols))
+    if start is not None:
+        rows = rows.where((F.col("date") >= day(start)) & (F.col("t") >= start))
+    if end is not None:
+        rows = rows.where((F.col("date") <= day(end)) & (F.col("t") <= end))
+    return rows.drop("date")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bars import merge_bars
@@ -51,3 +53,21 @@ def upsert_batches(path: str, policy: str = "replace"):
         new.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return write
+
+
+def health(ticks: DataFrame, width: str, grace: str) -> DataFrame:
+    """How a stream of ticks(symbol, ts, seen, ...) is doing in windows of event time: rows, seconds from event to ``seen``
+    (mean and largest; at least 0) and the newest tick. Rows under way and dropped are in the query's progress (state)."""
+    late = F.greatest(F.lit(0.0), F.col("seen").cast("double") - F.col("ts").cast("double"))
+    g = ticks.withWatermark("ts", grace).groupBy("symbol", F.window("ts", width).alias("w"))
+    return g.agg(F.count("*").alias("n"), F.avg(late).alias("mean_late"), F.max(late).alias("most_late"), F.max("ts").alias("newest")).select("symbol", F.col("w.start").alias("start"), "n", "mean_late", "most_late", "newest")
+
+
+def with_settings(read: Callable[[SparkSession], DataFrame], keys: list[str], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch is joined with the settings as they are then, which read(spark) gives anew, and handed to
+    ``write``. Rows without settings have nulls in their columns."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        write(batch.join(read(batch.sparkSession), keys, "left"), number)
+
+    return each
