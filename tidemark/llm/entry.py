@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, dac, html, licenses, mixing, onebit, packing, secrets, simhash, toxicity
+from . import caps, dac, html, licenses, merkle, mixing, onebit, packing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -59,9 +59,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_html, op4_licenses, op5_toxicity, op6_caps, op7_token_files, op8_simhash, op9_nearest, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_html, op4_licenses, op5_toxicity, op6_caps, op7_token_files, op8_simhash, op9_nearest, op10_secrets, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.oracle()}
+    return {"op4_licenses": licenses.oracle(), "op11_merkle": merkle.oracle()}
