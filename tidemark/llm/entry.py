@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, dac, html, licenses, merkle, mixing, onebit, packing, secrets, simhash, toxicity
+from . import caps, dac, html, licenses, merkle, mixing, onebit, packing, secrets, simhash, toxicity, warc, whitening
 from .common import table
 
 
@@ -63,9 +63,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_html, op4_licenses, op5_toxicity, op6_caps, op7_token_files, op8_simhash, op9_nearest, op10_secrets, op11_merkle)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_html, op4_licenses, op5_toxicity, op6_caps, op7_token_files, op8_simhash, op9_nearest, op10_secrets, op11_merkle, op12_whitening, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.oracle(), "op11_merkle": merkle.oracle()}
+    return {"op4_licenses": licenses.oracle(), "op11_merkle": merkle.oracle(), "op13_warc": warc.oracle()}
