@@ -39,8 +39,28 @@ def pair_positions(fills: DataFrame, pair: str, leg: str) -> DataFrame:
     return one.groupBy(pair).agg(*[pick(c, x).alias(f"{n}_{x.lower()}") for x in "AB" for c, n in (("q", "qty"), ("s", "symbol"))], F.max("t").alias("last_fill"), F.sum("cash").alias("cash"))
 
 
+class Wac:
+    """A symbol's position by weighted average cost: a buy moves the average, a sale realizes on what is held."""
+
+    def __init__(self, n: int = 0, qty: int = 0, avg: float = 0.0, realized: float = 0.0):
+        self.n, self.qty, self.avg, self.realized = n, qty, avg, realized
+
+    def take(self, side: str, qty: int, price: float) -> tuple[int, int, float, float]:
+        """Fills, quantity, average and realized profit after a fill."""
+        if side == "BUY":
+            self.avg = (self.qty * self.avg + qty * price) / (self.qty + qty)
+            self.qty += qty
+        else:
+            sold = min(self.qty, qty)
+            self.realized += sold * (price - self.avg)
+            self.qty -= sold
+            self.avg = self.avg if self.qty else 0.0
+        self.n += 1
+        return self.n, self.qty, self.avg, self.realized
+
+
 def wac_positions(fills: DataFrame, order: list[str]) -> DataFrame:
-    """(symbol, n, qty, avg_price, realized) after each fill: a buy moves the average, a sale realizes on what is held.
+    """(symbol, n, qty, avg_price, realized) after each fill, by the rule of Wac.
 
     A fold in time order, one series a symbol. Rows come sorted to Python in batches and only the state is kept, so a
     symbol of any length fits in memory.
@@ -50,53 +70,66 @@ def wac_positions(fills: DataFrame, order: list[str]) -> DataFrame:
     dealt = rows.repartition("symbol").sortWithinPartitions("symbol", *keys).select("symbol", "side", "qty", "price")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, n, qty, avg, realized = None, 0, 0, 0.0, 0.0
+        at, held = None, Wac()
         for pdf in batches:
             out = []
             for symbol, side, q, px in pdf.itertuples(index=False):
                 if symbol != at:
-                    at, n, qty, avg, realized = symbol, 0, 0, 0.0, 0.0
-                if side == "BUY":
-                    avg = (qty * avg + q * px) / (qty + q)
-                    qty += q
-                else:
-                    sold = min(qty, q)
-                    realized += sold * (px - avg)
-                    qty -= sold
-                    avg = avg if qty else 0.0
-                n += 1
-                out.append((symbol, n, qty, avg, realized))
+                    at, held = symbol, Wac()
+                out.append((symbol, *held.take(side, q, px)))
             yield pd.DataFrame(out, columns=["symbol", "n", "qty", "avg_price", "realized"])
 
     return dealt.mapInPandas(fold, f"symbol {rows.schema['symbol'].dataType.simpleString()}, n long, qty long, avg_price double, realized double")
 
 
-def admit_orders(orders: DataFrame, budgets: dict[str, tuple[float, float]], order: list[str]) -> DataFrame:
+def cash_notional(orders: DataFrame, leverage: float = 5.0) -> DataFrame:
+    """orders(risk_bucket, px_ref, qty, leverage, ...) with bucket and notional: the bucket's name in capitals (none: MED), and
+    what an order takes up, px_ref x qty by its leverage (none: ``leverage``; not above 0: 1). A missing price is 0."""
+    bucket = F.upper(F.when(F.length("risk_bucket") > 0, F.col("risk_bucket")).otherwise("MED"))
+    lever = F.coalesce(F.expr("try_cast(leverage AS double)"), F.lit(leverage))
+    value = F.coalesce(F.col("px_ref").cast("double"), F.lit(0.0)) * F.col("qty")
+    return orders.withColumn("bucket", bucket).withColumn("notional", value / F.when(lever > 0, lever).otherwise(1.0))
+
+
+Budgets = dict[str, tuple[float, float]]
+
+
+def refusal(budgets: Budgets, bucket: str, used: float, notional: float | None) -> str | None:
+    """Why an order of that notional is refused where its bucket has ``used`` already; None if it is admitted."""
+    budget, most = budgets.get(bucket, (0.0, 0.0))
+    if notional is None or not notional > 0:
+        return "bad_notional"
+    if notional > most + 1e-6:
+        return "exceeds_max_per_trade"
+    return "exceeds_bucket_budget" if used + notional > budget + 1e-6 else None
+
+
+def admit_orders(orders: DataFrame, budgets: Budgets, order: list[str]) -> DataFrame:
     """orders(bucket, day, id, notional, ...) with a reason (null: admitted): in order, each against what its bucket has
     left that day; what is rejected uses nothing up. budgets: budget and most a trade, by bucket; others have none.
 
     bad_notional and exceeds_max_per_trade do not depend on others, so only the rest goes through the fold.
     """
-    cap = F.lit(0.0)
     per = F.lit(0.0)
-    for b, (total, most) in budgets.items():
-        cap, per = F.when(F.col("bucket") == b, total).otherwise(cap), F.when(F.col("bucket") == b, most).otherwise(per)
-    x = orders.select("bucket", "day", "id", "notional", cap.alias("_cap"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.when(F.coalesce("notional", F.lit(0.0)) <= 0, "bad_notional").when(F.col("notional") > per + 1e-6, "exceeds_max_per_trade").alias("reason"))
+    for b, (_, most) in budgets.items():
+        per = F.when(F.col("bucket") == b, most).otherwise(per)
+    good = F.coalesce("notional", F.lit(float("nan")))
+    x = orders.select("bucket", "day", "id", "notional", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.when(F.isnan(good) | (good <= 0), "bad_notional").when(F.col("notional") > per + 1e-6, "exceeds_max_per_trade").alias("reason"))
     keys = [c for c in x.columns if c.startswith("_o")]
-    dealt = x.where("reason is null").repartition("bucket", "day").sortWithinPartitions("bucket", "day", *keys).select("bucket", "day", "id", "notional", "_cap")
+    dealt = x.where("reason is null").repartition("bucket", "day").sortWithinPartitions("bucket", "day", *keys).select("bucket", "day", "id", "notional")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, used = None, 0.0
         for pdf in batches:
             reasons = []
-            for bucket, day, _, notional, most in pdf.itertuples(index=False):
+            for bucket, day, _, notional in pdf.itertuples(index=False):
                 at, used = ((bucket, day), 0.0) if (bucket, day) != at else (at, used)
-                fits = used + notional <= most + 1e-6
-                used += notional if fits else 0.0
-                reasons.append(None if fits else "exceeds_bucket_budget")
-            yield pdf.drop(columns="_cap").assign(reason=pd.Series(reasons, dtype=object))
+                reason = refusal(budgets, bucket, used, notional)
+                used += 0.0 if reason else notional
+                reasons.append(reason)
+            yield pdf.assign(reason=pd.Series(reasons, dtype=object))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.drop("_cap").schema.fields) + ", reason string"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", reason string"
     return dealt.mapInPandas(fold, schema).unionByName(x.where("reason is not null").select("bucket", "day", "id", "notional", "reason"))
 
 

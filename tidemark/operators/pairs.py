@@ -29,37 +29,52 @@ def _defined(v: float | None) -> bool:
     return v is not None and v == v
 
 
+class Position:
+    """The position of one pair: in when the score comes back within the entry band, out when it has reverted, hits the stop,
+    is held too long, or at the cutoff. A missing score changes nothing."""
+
+    def __init__(self, rule: Thresholds, position: int = 0, since: int = 0, before: float | None = None):
+        self.rule, self.position, self.since, self.before = rule, position, since, before
+
+    def take(self, t: int, z: float | None) -> tuple[str | None, str | None, int]:
+        """action, reason and position after a row."""
+        if not _defined(z):
+            return None, None, self.position
+        was, self.before, rule = self.before, z, self.rule
+        if self.position == 0:
+            if was is None or rule.late(t):
+                return None, None, 0
+            side = -1 if was > rule.entry >= z else 1 if was < -rule.entry <= z else 0
+            if not side:
+                return None, None, 0
+            self.position, self.since = side, t
+            return ("ENTER_SHORT_A_LONG_B" if side < 0 else "ENTER_LONG_A_SHORT_B"), "reenter", side
+        reason = (
+            "revert" if abs(z) <= rule.leave else "stop" if abs(z) >= rule.stop
+            else "timeout" if rule.hold and t - self.since >= rule.hold else "flatten" if rule.late(t) else None
+        )
+        if reason is None:
+            return None, None, self.position
+        self.position = 0
+        return "EXIT", reason, 0
+
+    def due(self) -> tuple[int, str] | None:
+        """When an open position has to go though no row comes, and why."""
+        if self.position == 0:
+            return None
+        ends = [(int(self.since + self.rule.hold), "timeout")] if self.rule.hold else []
+        if self.rule.cutoff is not None:
+            day = (self.since + self.rule.shift) // 86400 * 86400 - self.rule.shift
+            ends.append((day + 60 * self.rule.cutoff, "flatten"))
+        return min(ends, default=None)
+
+
 def pair_signals(rows: DataFrame, rule: Thresholds) -> DataFrame:
-    """rows(symbol, t, z, ...) with action, reason and position: in when the score comes back within the entry band,
-    out when it has reverted, hits the stop, is held too long, or at the cutoff. Rows without a score change nothing."""
+    """rows(symbol, t, z, ...) with action, reason and position by the rule of Position, in order of t."""
 
     def make():
-        position, since, before = 0, 0, None
-
-        def step(row):
-            nonlocal position, since, before
-            if not _defined(row.z):
-                return None, None, position
-            was, before, z = before, row.z, row.z
-            if position == 0:
-                if was is None or rule.late(row.t):
-                    return None, None, 0
-                side = -1 if was > rule.entry >= z else 1 if was < -rule.entry <= z else 0
-                if not side:
-                    return None, None, 0
-                position, since = side, row.t
-                return ("ENTER_SHORT_A_LONG_B" if side < 0 else "ENTER_LONG_A_SHORT_B"), "reenter", side
-            held = row.t - since
-            reason = (
-                "revert" if abs(z) <= rule.leave else "stop" if abs(z) >= rule.stop
-                else "timeout" if rule.hold and held >= rule.hold else "flatten" if rule.late(row.t) else None
-            )
-            if reason is None:
-                return None, None, position
-            position = 0
-            return "EXIT", reason, 0
-
-        return step
+        held = Position(rule)
+        return lambda row: held.take(row.t, row.z)
 
     return extended(rows, ["symbol"], ["t"], make, "action string, reason string, position int")
 

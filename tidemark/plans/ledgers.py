@@ -94,7 +94,29 @@ add("i2_cash_ledger", f"WITH {SQL_FILLS} SELECT symbol, order_id, l_linenumber,
 add("i7_size_position", f"WITH {SQL_FILLS} SELECT symbol, order_id, l_linenumber, l_partkey, t, CAST(floor(least(floor(100000 / price), CASE WHEN l_linenumber % 4 = 0 THEN floor(100000 / price) ELSE floor(1000 / abs(price - floor(price * 98 + 0.5) / 100)) END) / (l_linenumber * 5)) * (l_linenumber * 5) AS BIGINT) AS units FROM fills")(
     lambda s, d: fills(s, d).withColumn("stop", F.when(C("l_linenumber") % 4 != 0, F.floor(C("price") * 98 + 0.5) / 100)).select("symbol", "order_id", "l_linenumber", "l_partkey", "t", L.size_position(C("price"), C("stop"), 1000.0, 100000.0, C("l_linenumber") * 5).alias("units"))
 )
-add("i9_admit_orders")(lambda s, d: L.admit_orders(orders(s, d).select("bucket", F.floor(C("t") / (30 * DAY)).alias("day"), C("order_id").alias("id"), "notional", "t"), {str(k): (400_000.0 * k, 300_000.0) for k in range(1, 6)}, ["t", "id"]))
+BUDGETS = {"LOW": (150_000.0, 60_000.0), "MED": (250_000.0, 90_000.0), "HIGH": (200_000.0, 120_000.0)}
+_RISK = "CASE WHEN order_id % 50 = 0 THEN 'vip' WHEN bucket = '1' THEN 'low' WHEN bucket = '2' THEN 'Med' WHEN bucket = '3' THEN 'HIGH' WHEN bucket = '4' THEN '' END"
+_LEVER = "CASE order_id % 4 WHEN 1 THEN '0' WHEN 2 THEN '2.5' WHEN 3 THEN 'x' END"
+
+
+def requests(s: SparkSession, d: str) -> DataFrame:
+    """Orders as they ask for admission: a bucket's name as written, a price, a quantity and a leverage that may be no number."""
+    x = orders(s, d).withColumn("qty", 1 + C("order_id") % 7)
+    return x.select(C("order_id").alias("id"), "t", F.floor(C("t") / (30 * DAY)).alias("day"), F.expr(_RISK).alias("risk_bucket"), (C("notional") / C("qty")).alias("px_ref"), "qty", F.expr(_LEVER).alias("leverage"))
+
+
+_of = lambda k: "CASE bucket " + " ".join(f"WHEN '{b}' THEN {v[k]}::DOUBLE" for b, v in BUDGETS.items()) + " ELSE 0 END"
+SQL_REQUESTS = (
+    f"{SQL_ORDERS}, rq AS (SELECT order_id AS id, t, t // {30 * DAY} AS day, {_RISK} AS rb, notional / (1 + order_id % 7) AS px, 1 + order_id % 7 AS qty, coalesce(try_cast({_LEVER} AS DOUBLE), 5) AS lev FROM ord), "
+    "cn AS (SELECT id, t, day, upper(coalesce(nullif(rb, ''), 'MED')) AS bucket, px * qty / CASE WHEN lev > 0 THEN lev ELSE 1 END AS notional FROM rq), "
+    f"ct AS (SELECT *, {_of(0)} AS cap, CASE WHEN notional <= 0 THEN 'bad_notional' WHEN notional > {_of(1)} + 1e-6 THEN 'exceeds_max_per_trade' END AS r FROM cn)"
+)
+add(
+    "i9_admit_orders",
+    f"WITH {SQL_REQUESTS}, us AS (SELECT *, list_reduce(list_prepend(0e0, coalesce(list(notional) OVER (PARTITION BY bucket, day ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])), "
+    "lambda u, x: CASE WHEN u + x > cap + 1e-6 THEN u ELSE u + x END) AS used FROM ct WHERE r IS NULL) "
+    "SELECT bucket, day, id, CASE WHEN used + notional > cap + 1e-6 THEN 'exceeds_bucket_budget' END AS reason FROM us UNION ALL SELECT bucket, day, id, r FROM ct WHERE r IS NOT NULL",
+)(lambda s, d: L.admit_orders(L.cash_notional(requests(s, d)), BUDGETS, ["t", "id"]).select("bucket", "day", "id", "reason"))
 add("i14_unrealized", f"WITH {SQL_FILLS}, {PNL}, u AS (SELECT symbol::VARCHAR AS symbol, unrealized FROM pn UNION ALL SELECT 'TOTAL', unrealized FROM pn) SELECT symbol, round(sum(unrealized), 2) AS unrealized FROM u GROUP BY 1")(
     lambda s, d: _pnl(s, d).rollup("symbol").agg(F.round(F.sum("unrealized"), 2).alias("unrealized")).select(F.coalesce(C("symbol").cast("string"), F.lit("TOTAL")).alias("symbol"), "unrealized")
 )

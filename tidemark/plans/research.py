@@ -11,7 +11,8 @@ from ..operators import grids as G
 from ..operators import pairs as P
 from ..operators import risk as R
 from ..operators import tables as T
-from .catalog import DAY, SQL_ALIGN, SQL_BARS, SQL_CROSS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_VENDOR, _aligned, _read, add, fills, hour_bars, orders, results, rounded, ticks, vendor
+from ..streaming import states as ST
+from .catalog import DAY, SQL_ALIGN, SQL_BARS, SQL_CROSS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _aligned, _read, add, fills, hour_bars, orders, results, rounded, ticks, vendor
 from .signals import SQL_THREE, SQL_TRADES, _spread, _three
 
 C = F.col
@@ -210,6 +211,28 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
     return P.pair_signals(_spread(s, d), P.Thresholds(1.0, 0.25, 2.5, 48 * 3600.0, 1380))
 
 
+# Arrivals of bars, some late: the order is not that of time.
+_LATE = "us + (id % 5) * 1800000000"
+
+
+def arrivals(s: SparkSession, d: str) -> DataFrame:
+    """Prices of an hour's bars as they come in, for every two symbols."""
+    names = ticks(s, d).agg(F.array_sort(F.collect_set("symbol")).alias("n"))
+    pairs = names.select(F.explode("n").alias("a"), "n").select("a", F.explode("n").alias("b")).where("a < b").withColumn("pair", F.concat("a", F.lit("|"), "b"))
+    bars = ticks(s, d).withColumn("us", F.unix_micros("ts")).withColumn("seq", F.expr(_LATE))
+    return ST.fan_out(bars.select("symbol", (F.floor(C("us") / 3_600_000_000) * 3600).alias("t"), C("ltp").alias("px"), "seq", "id"), pairs)
+
+
+_far = lambda c, leg: f"last_value(CASE WHEN leg = '{leg}' THEN {c} END IGNORE NULLS) OVER w"
+add(
+    "d16_sync_legs",
+    f"WITH {SQL_TICKS}, nm AS (SELECT DISTINCT symbol AS s FROM ticks), pr AS (SELECT a.s AS a, b.s AS b FROM nm a JOIN nm b ON a.s < b.s), "
+    f"ar AS (SELECT a || '|' || b AS symbol, CASE WHEN symbol = a THEN 'a' ELSE 'b' END AS leg, us // 3600000000 * 3600 AS t, ltp AS px, {_LATE} AS seq, id FROM ticks JOIN pr ON symbol IN (a, b)), "
+    f"lt AS (SELECT *, {_far('t', 'a')} AS ta, {_far('px', 'a')} AS x, {_far('t', 'b')} AS tb, {_far('px', 'b')} AS y FROM ar WINDOW w AS (PARTITION BY symbol ORDER BY seq, id ROWS UNBOUNDED PRECEDING)), "
+    "mt AS (SELECT *, CASE WHEN ta = tb THEN t END AS m FROM lt), "
+    "ls AS (SELECT *, max(m) OVER (PARTITION BY symbol ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM mt) "
+    "SELECT symbol, t, x, y FROM ls WHERE m IS NOT NULL AND (l IS NULL OR m > l)",
+)(lambda s, d: ST.sync_legs(arrivals(s, d), ["seq", "id"]))
 add("g20_pair_signals")(lambda s, d: P.sides(_signals(s, d)))
 add("e19_pair_signal_stats")(lambda s, d: P.pair_signal_stats(_signals(s, d)))
 add("i15_open_pairs")(lambda s, d: P.open_pairs(P.pair_signals(_spread(s, d), P.Thresholds(1.0, 0.0, 99.0, 0.0)), F.lit(1706745600)))

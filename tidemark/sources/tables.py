@@ -20,6 +20,15 @@ def parse_ticks(raw: DataFrame, value: str = "value", now: Column | None = None)
     return x.select(F.col("_j.symbol").alias("symbol"), ts.alias("ts"), F.col("_j.ltp").alias("ltp"), F.coalesce("_j.vol", F.lit(0)).cast("long").alias("vol"), F.when(~ok, F.col(value).cast("string")).alias("_corrupt"))
 
 
+def read_ticks(spark: SparkSession, fmt: str, stream: bool = True, now: Column | None = None, **options: str) -> DataFrame:
+    """parse_ticks() of a source of messages, a stream or a table: a topic (fmt kafka with its options), or files with a JSON
+    text a line (fmt text, with path) or a column ``value`` (other formats, with path)."""
+    reader = (spark.readStream if stream else spark.read).format(fmt).options(**options)
+    if fmt not in ("kafka", "text"):
+        reader = reader.schema("value string")
+    return parse_ticks(reader.load(), now=now)
+
+
 def split_dlq(ticks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good ticks, and the texts that are none."""
     return ticks.where("_corrupt is null").drop("_corrupt"), ticks.where("_corrupt is not null").select("_corrupt")

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bars import merge_bars
-
 
 def stream_bars(ticks: DataFrame, width: str, grace: str) -> DataFrame:
     """Bars of a stream of ticks(symbol, ts, id, ltp, vol). A bar is final once the watermark, ``grace`` behind the newest
@@ -27,7 +25,8 @@ def first_seen(df: DataFrame, keys: list[str], grace: str) -> DataFrame:
 
 
 def sync_legs(a: DataFrame, b: DataFrame, grace: str) -> DataFrame:
-    """(start, x, y) where both streams of bars have one of the same start; late ones meet within ``grace``."""
+    """(start, x, y) where both streams of bars, each of one symbol, have one of the same start; late ones meet within
+    ``grace``. For a table of pairs see states.stream_legs."""
     left = a.withWatermark("start", grace).select("start", F.col("c").alias("x"))
     right = b.withWatermark("start", grace).select(F.col("start").alias("_start"), F.col("c").alias("y"))
     return left.join(right, F.col("start") == F.col("_start")).select("start", "x", "y")
@@ -39,20 +38,18 @@ def rates(events: DataFrame, width: str, slide: str, grace: str) -> DataFrame:
     return g.agg(F.count("*").alias("n")).select("symbol", F.col("w.start").alias("start"), "n")
 
 
-def upsert_batches(path: str, policy: str = "replace"):
-    """For foreachBatch: each batch of bars is merged into the newest version under path and written as the next one.
+def held_bars(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows of stream_bars() for the windows that a stopped query in append mode still holds, read from the state in its
+    checkpoint: with what it has put out they are all bars of the ticks it has seen.
 
-    A batch's version is its number, so one that is repeated after a failure is written over and not added twice.
+    They are not final: a query that goes on from the checkpoint puts these windows out once they are, with later ticks in
+    them, so write them where a bar replaces an earlier one of its symbol and time.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        cols = ["symbol", "t", "o", "h", "l", "c", "vol", "n_trades"]
-        new = batch.select(*cols)
-        if number:
-            new = merge_bars(batch.sparkSession.read.parquet(f"{path}/v={number - 1}"), new, policy)
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return write
+    state = spark.read.format("statestore").load(checkpoint)
+    # the aggregates in their order, by place: names of a first and a last value are the same
+    named = "struct<o:double,first:struct<ts:timestamp,id:bigint>,h:double,l:double,c:double,last:struct<ts:timestamp,id:bigint>,vol:bigint,n_trades:bigint>"
+    held = state.select(F.col("key.symbol").alias("symbol"), F.col("key.window.start").alias("start"), F.col("value").cast(named).alias("v")).select("symbol", "start", "v.*")
+    return held.select("symbol", "start", F.unix_seconds("start").alias("t"), "o", "h", "l", "c", "vol", "n_trades")
 
 
 def health(ticks: DataFrame, width: str, grace: str) -> DataFrame:
