@@ -201,7 +201,7 @@ def _by_block(leaves: DataFrame, paths: DataFrame, each, schema: str) -> DataFra
 
 def roots(log: DataFrame) -> DataFrame:
     """(tree, digest) of each tree's last node."""
-    last = F.max_by(F.lower(F.hex(F.substring("digests", -32, 32))), F.col("first") + F.octet_length("digests"))
+    last = F.max_by(F.lower(F.hex(F.substring("digests", -32, 32))), F.col("first") + F.octet_length("digests") / 32)
     return log.groupBy("tree").agg(last.alias("digest"))
 
 
