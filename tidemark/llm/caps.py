@@ -7,18 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_blocks, save, whole_groups
 from .components import components, local_roots
 
 
-def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, v): rows whose vector is not null, empty or zero and has only finite components, as doubles."""
+def is_usable(column: str = "embedding") -> Column:
+    """Whether a row has a vec_id and a vector that is not null, empty or zero and has only finite components; never null."""
     v = F.col(column).cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
+    bad = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+    return F.when(F.col("vec_id").isNull() | bad, False).otherwise(F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)))
+
+
+def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """(vec_id, v): the rows of is_usable(), vectors as doubles."""
+    return vectors.where(is_usable(column)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -69,8 +74,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
 
     Pairs whose cosine in double precision is ``cosine`` or more link. Vectors that are null, empty or zero or hold null
     or non-finite components link with nothing, as do vectors of another dimension with each other. Rows with a null
-    vec_id get no links, a null component_id and kept false. Rows that repeat a vec_id are one vector to others, and do
-    not link with themselves. An empty table gives an empty result; other columns are ignored.
+    vec_id get no links, a null component_id and kept false. Every row is a vector of its own: rows that repeat a vec_id are
+    compared each, and link with each other if they are near. An empty table gives an empty result; other columns are ignored.
 
     Equal vectors are one class, with their number, and stand for each other's links. A class carries its components in the
     table's own width, float or double, and those of its filters that come before the one at hand: a pair counts only in
@@ -78,8 +83,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
     pairs. Python hands on ``rows`` rows at a time.
     """
     kind = "<f4" if "array<float>" in dict(vectors.dtypes)["embedding"] else "<f8"  # floats lose nothing as floats
-    good = save(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    classes = save(good.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
+    good = save(usable(vectors), "vectors")
+    classes = good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caps: dict[int, Caps] = {}
@@ -138,10 +144,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, codes: int = 16, codew
     found = save(dealt.mapInPandas(verify, "node long, n long, root long"), "links")
     counts = found.groupBy(F.col("node").alias("_node")).agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_root")
-    of = classes.join(counts, F.col("node") == F.col("_node"), "left").join(roots, F.col("node") == F.col("_root"), "left")
     n_links = F.col("copies") - 1 + F.coalesce("n", F.lit(0))
-    of = of.select(F.col("v").alias("_v"), n_links.alias("n_links"), F.coalesce("component", "node").alias("component"))
-    tied = good.join(of, F.col("v") == F.col("_v")).select(F.col("vec_id").alias("_id"), "n_links", "component")
-    rows = vectors.select(F.col("vec_id").cast("long")).join(tied, F.col("vec_id") == F.col("_id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    of = classes.join(counts, F.col("node") == F.col("_node"), "left").join(roots, F.col("node") == F.col("_root"), "left")
+    of = save(of.select(F.col("v").alias("_v"), "least", n_links.alias("n_links"), F.coalesce("component", "node").alias("component")), "linked")
+    names = of.groupBy(F.col("component").alias("_c")).agg(F.min("least").alias("component_id"))
+    of = of.join(names, F.col("component") == F.col("_c")).select("_v", "n_links", "component_id")
+    tied = good.join(of, F.col("v") == F.col("_v")).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = vectors.where(~is_usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return tied.union(alone)
