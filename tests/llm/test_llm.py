@@ -440,7 +440,27 @@ def test_simhash(spark, odd, none, monkeypatch):
         assert all(r[2] is None for r in got if r[0] is None)
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
     kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in {r[0]: (r[1], r[2]) for r in simhash.near_duplicates(odd).collect()}.items() if d is None or d == c}
+    assert kept.columns == odd.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, brute_kept(odd.collect())))
+
+
+def brute_kept(rows):
+    """A row of each group: its smallest doc_id, nulls last; of other ties any, as long as they are equal."""
+    fps = [slow_fingerprint(r["text"] or "") for r in rows]
+    root = brute_components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    best = {}
+    for r, c in zip(rows, root):
+        best[c] = min(best.get(c, r), r, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    return best.values()
+
+
+def test_simhash_keeps_rows_of_one_id_apart(spark):
+    a, b = "one text about ships and harbours " * 5, "quite another thing, on bread and ovens " * 5
+    rows = [(3, b, "en"), (7, b, "en"), (7, a, "en"), (7, a, "en"), (None, a, "de"), (None, a, "de"), (None, "third words of no other kind " * 4, None), (None, "third words of no other kind " * 4, None), (9, None, "x"), (8, "", None), (8, None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __dup string")
+    kept = simhash.keep_one(df).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in kept) == [(0, "thi"), (3, "qui"), (7, "one"), (8, "")]
+    twice = simhash.keep_one(df.union(df)).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in twice) == [(0, "thi"), (3, "qui"), (7, "one"), (8, "")]
 
 
 def test_near_links_with_hot_buckets(spark):
@@ -476,6 +496,8 @@ def test_caps(spark):
     ids = sorted(ok)
     linked = [(a, b) for a in range(len(ids)) for b in range(a) if len(ok[ids[a]]) == len(ok[ids[b]]) and ok[ids[a]] @ ok[ids[b]] / np.linalg.norm(ok[ids[a]]) / np.linalg.norm(ok[ids[b]]) >= 0.9]
     n, root = Counter(x for l in linked for x in l), brute_components(len(ids), linked)
+    for k, i in enumerate(ids):  # row 5 is there twice
+        n[k] += (i == 5) + sum(ids[a + b - k] == 5 for a, b in linked if k in (a, b))
     want = {i: (n[k], ids[root[k]]) for k, i in enumerate(ids)}
     for block in (512, 40):
         got = caps.near_vectors(df, block=block).collect()
@@ -485,6 +507,7 @@ def test_caps(spark):
         assert 0.995 * sum(n.values()) <= found <= sum(n.values())
         assert all(mine[i]["n_links"] <= want[i][0] for i in ids)
         assert sum(mine[i]["component_id"] == want[i][1] for i in ids) >= 0.995 * len(ids)
+        assert [r["n_links"] for r in got if r["vec_id"] == 5] == [mine[5]["n_links"]] * 2
         assert all(mine[i]["n_links"] == 0 and mine[i]["component_id"] == i for i in (900, 901, 902, 903, 904, 1001))
         assert mine[1000]["n_links"] >= 1 and mine[None]["kept"] is False
     assert caps.near_vectors(df.limit(0)).count() == 0
@@ -513,6 +536,14 @@ def test_caps_copies(spark, kind):
         assert got[v]["component_id"] == ids[order[root[at[k]]]]
 
 
+def test_caps_rows_of_one_id(spark):
+    """Rows that repeat a vec_id with other vectors are compared each."""
+    e = np.eye(8)
+    rows = [(1, e[0]), (1, e[1]), (3, e[0] + 0.01 * e[1]), (4, e[1]), (4, e[1]), (2, e[2])]
+    got = sorted(tuple(r) for r in caps.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 2, 1, False), (4, 2, 1, False)]
+
+
 @pytest.mark.parametrize("dim", [2, 3, 4, 8, 16, 32, 64, 256])
 def test_caps_recall(dim):
     rng = np.random.default_rng(11)
@@ -539,11 +570,12 @@ def test_nearest(spark):
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
         assert set(got) == {i for i in ok if i % 50 == 0}
         for q, found in got.items():
-            want = sorted((float(np.sqrt(((v - ok[q]) ** 2).sum())), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:10]
+            every = [*ok.items(), (5, ok[5])]  # row 5 is there twice
+            want = sorted((float(np.sqrt(((v - ok[q]) ** 2).sum())), i) for i, v in every if i != q and len(v) == len(ok[q]))[:10]
             found.sort()
             assert [f[0] for f in found] == list(range(1, len(want) + 1))
             assert all(abs(s - np.sqrt(((ok[i] - ok[q]) ** 2).sum())) < 1e-12 for _, i, s in found)
-            right, total = right + len({i for _, i in want} & {f[1] for f in found}), total + len(want)
+            right, total = right + (Counter(i for _, i in want) & Counter(f[1] for f in found)).total(), total + len(want)
     assert right >= 0.99 * total
     assert onebit.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
@@ -556,6 +588,35 @@ def test_nearest_of_huge_vectors(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(i, pytest.approx(1e160 * (i - 1))) for i in (2, 3, 4)]
 
 
+def test_nearest_of_mixed_magnitudes(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 6))
+    scale = [1.0, 1e300, 1e-300, 1e155, 1e-160, 1e8]
+    rows = [(k, (v * scale[k % 6 if k >= 40 else 0]).tolist()) for k, v in enumerate(x)] + [(60, [1.7e308] * 6), (61, [-1.7e308] * 6), (62, [5e-324] + [0.0] * 5)]
+    got = defaultdict(list)
+    for r in onebit.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, k=3, part=20).orderBy("rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    from fractions import Fraction
+    exact = [[Fraction(c) for c in v] for _, v in rows]
+    hits = 0
+    for q in range(len(rows)):
+        d2 = {i: sum((a - b) ** 2 for a, b in zip(exact[i], exact[q])) for i in range(len(rows)) if i != q}
+        for (i, s), w in zip(got[q], sorted(d2.values())):
+            assert s == pytest.approx(0, abs=1e-320) if d2[i] == 0 else math.isinf(s) or abs(Fraction(s) ** 2 / d2[i] - 1) < 1e-9 or s < 1e-320
+            hits += d2[i] <= w * Fraction(1_000_001, 1_000_000)
+    assert hits >= 0.99 * 3 * len(rows)
+
+
+def test_nearest_of_rows_of_one_id(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0])]
+    got = sorted(tuple(r) for r in onebit.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1, k=1).collect())
+    assert [r[:3] for r in got] == [(1, 1, 2), (1, 1, 3)]
+
+
 def test_pipeline(spark, none):
     import corpus_pipeline
 

@@ -37,15 +37,16 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(every), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """(doc_id, keys (longs), fp): fp is the fingerprint as a signed long; null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{k: pdf[k] for k in keys}, "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), *keys, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "".join(["doc_id long, ", *(f"{k} long, " for k in keys), "fp long"]))
 
 
 def pivot_keys(fp: Column, blocks: int, most: int) -> Column:
@@ -116,6 +117,27 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
-    """docs without the documents whose component_id is another document; every column and null doc_ids stay."""
-    gone = near_duplicates(docs, most).where("doc_id <> component_id").select(F.col("doc_id").alias("__dup_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__dup_gone"), "left_anti")
+    """One document of each group that links of ``most`` or fewer bits make, with all its columns.
+
+    Rows are told apart by what they hold, not by doc_id: the one that stays has the smallest doc_id of its group (null last),
+    of rows of one doc_id that with the smallest hash, and of wholly equal rows one. So unrelated texts that share a doc_id
+    stay, and copies that repeat one, or have none, go. An empty table gives an empty result.
+    """
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    row = [x for c in row for x in (c.isNull(), c)]  # else a null would hash as if it were not there
+    marked = docs.withColumn("__dup_a", F.xxhash64(*row)).withColumn("__dup_b", F.xxhash64(F.lit("b"), *row))
+    prints = save(fingerprints(marked, ["__dup_a", "__dup_b"]), "fingerprints")
+    nodes = save(prints.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
+    linked = components(near_links(nodes, most)).withColumnRenamed("node", "_node")
+    grouped = prints.join(linked, F.col("fp") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = grouped.select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__dup_a").alias("a"), F.col("__dup_b").alias("b")).alias("key"))
+    grouped = save(grouped.groupBy("component", "key").agg(F.count("*").alias("n")), "keys")  # a row for each group of equal rows
+    best = grouped.groupBy(F.col("component").alias("_c")).agg(F.min("key").alias("best"), F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1")
+    marks = grouped.join(best, F.col("component") == F.col("_c")).where("key <> best or n > 1").select(F.col("key.a").alias("_a"), F.col("key.b").alias("_b"), (F.col("key") == F.col("best")).alias("one"))
+    marks = save(marks, "marks")
+    same = (F.col("__dup_a") == F.col("_a")) & (F.col("__dup_b") == F.col("_b"))
+    kept = marked.join(marks, same, "left_anti").drop("__dup_a", "__dup_b")
+    if marks.where("one").isEmpty():
+        return kept
+    first = marked.join(marks.where("one"), same, "left_semi").dropDuplicates(["__dup_a", "__dup_b"])
+    return kept.union(first.drop("__dup_a", "__dup_b"))
