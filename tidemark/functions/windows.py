@@ -256,45 +256,106 @@ def with_votes(bars: DataFrame, rsi: int = 14, low: float = 30.0, high: float =
     return _by_symbol(bars, make, "up int, down int")
 
 
-def heikin_ashi(bars: DataFrame) -> DataFrame:
-    """hc is the bar's mean price; ho the open at first, then the middle of the bar before."""
+class HeikinAshi:
+    """ho and hc of bar after bar: hc is the bar's mean price; ho the open at first, then the middle of the bar before."""
 
-    def make():
-        state: list[tuple[float, float]] = []
+    def __init__(self):
+        self.last: tuple[float, float] | None = None
 
-        def step(row):
-            hc = (row.o + row.h + row.l + row.c) / 4
-            ho = sum(state[0]) / 2 if state else row.o
-            state[:] = [(ho, hc)]
-            return ho, hc
+    def add(self, o: float, h: float, l: float, c: float) -> tuple[float, float]:  # noqa: E741
+        self.last = (sum(self.last) / 2 if self.last else o), (o + h + l + c) / 4
+        return self.last
 
-        return step
+
+def heikin_ashi(bars: DataFrame) -> DataFrame:
+    def make():
+        fold = HeikinAshi()
+        return lambda row: fold.add(row.o, row.h, row.l, row.c)
 
     return _by_symbol(bars.select("symbol", "t", "o", "h", "l", "c"), make, "ho double, hc double").select("symbol", "t", "ho", "hc")
 
 
-def supertrend(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
+class Supertrend:
     """Trend (1, -1, or 0 while neither) of bands around the middle price that only tighten until a close passes them."""
+
+    def __init__(self, k: float):
+        self.k = k
+        self.last: tuple[float, float, float, int] | None = None
+
+    def add(self, h: float, l: float, c: float, before: float | None, atr: float | None) -> float | None:  # noqa: E741
+        if atr is None or atr != atr:
+            return None
+        mid = (h + l) / 2
+        up, low = mid + self.k * atr, mid - self.k * atr
+        if self.last:
+            close, was_up, was_low, trend = self.last
+            up = up if close > was_up else min(up, was_up)
+            low = low if close < was_low else max(low, was_low)
+        else:
+            trend = 1 if before > up else -1 if before < low else 0
+        trend = 1 if c > up else -1 if c < low else trend
+        self.last = (c, up, low, trend)
+        return float(trend)
+
+
+def supertrend(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
+    """(symbol, t, trend) as Supertrend, from the first bar with a mean range on."""
     ready = with_atr(bars.select("symbol", "t", "h", "l", "c"), n).withColumn("pc", F.lag("c").over(ordered()))
 
     def make():
-        last: list[tuple[float, float, float, int]] = []
+        fold = Supertrend(k)
+        return lambda row: (fold.add(row.h, row.l, row.c, row.pc, row.atr),)
 
-        def step(row):
-            if row.atr is None or row.atr != row.atr:
-                return (None,)
-            mid = (row.h + row.l) / 2
-            up, low = mid + k * row.atr, mid - k * row.atr
-            if last:
-                close, was_up, was_low, trend = last[0]
-                up = up if close > was_up else min(up, was_up)
-                low = low if close < was_low else max(low, was_low)
-            else:
-                trend = 1 if row.pc > up else -1 if row.pc < low else 0
-            trend = 1 if row.c > up else -1 if row.c < low else trend
-            last[:] = [(row.c, up, low, trend)]
-            return (float(trend),)
+    return _by_symbol(ready, make, "trend double").select("symbol", "t", "trend")
 
-        return step
 
-    return _by_symbol(ready, make, "trend double").select("symbol", "t", "trend")
+# Windows of many lengths over the same rows.
+
+
+class Ranges:
+    """Least, most and sum of the last n values of a column for any n, from tables of windows of 1, 2, 4, ... values.
+
+    A table's window is two of the one before it, so each costs one lag over the same sorted rows, whatever n, and sums lose
+    no digits to differences of long running sums. A window that is not full yet, or holds a null, has none.
+    """
+
+    def __init__(self, df: DataFrame, *keys: str):
+        self.df, self.w, self.made = df, ordered(*keys), {}
+
+    def _back(self, name: str, n: int) -> Column:
+        return F.lag(name, n).over(self.w) if n else F.col(name)
+
+    def _table(self, column: str, how: str, level: int) -> str:
+        if level == 0:
+            return column
+        if (column, how, level) not in self.made:
+            half = self._table(column, how, level - 1)
+            a, b = F.col(half), self._back(half, 1 << (level - 1))
+            full = F.when(b.isNotNull(), {"least": F.least(a, b), "most": F.greatest(a, b), "sum": a + b}[how])
+            name = self.made[column, how, level] = f"_{how}{level}_{column}"
+            self.df = self.df.withColumn(name, full)
+        return self.made[column, how, level]
+
+    def _extreme(self, column: str, how: str, n: int) -> Column:
+        level = n.bit_length() - 1
+        name = self._table(column, how, level)
+        a, b = F.col(name), self._back(name, n - (1 << level))
+        return F.when(a.isNotNull() & b.isNotNull(), (F.least if how == "least" else F.greatest)(a, b))
+
+    def least(self, column: str, n: int) -> Column:
+        return self._extreme(column, "least", n)
+
+    def most(self, column: str, n: int) -> Column:
+        return self._extreme(column, "most", n)
+
+    def total(self, column: str, n: int) -> Column:
+        out, done = None, 0
+        for level in reversed(range(n.bit_length())):
+            if n >> level & 1:
+                part = self._back(self._table(column, "sum", level), done)
+                out, done = part if out is None else out + part, done + (1 << level)
+        return out
+
+    def add(self, name: str, value: Column) -> str:
+        self.df = self.df.withColumn(name, value)
+        return name
