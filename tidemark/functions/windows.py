@@ -331,7 +331,7 @@ class Ranges:
         if (column, how, level) not in self.made:
             half = self._table(column, how, level - 1)
             a, b = F.col(half), self._back(half, 1 << (level - 1))
-            full = F.when(b.isNotNull(), {"least": F.least(a, b), "most": F.greatest(a, b), "sum": a + b}[how])
+            full = F.when(a.isNotNull() & b.isNotNull(), {"least": F.least(a, b), "most": F.greatest(a, b), "sum": a + b}[how])
             name = self.made[column, how, level] = f"_{how}{level}_{column}"
             self.df = self.df.withColumn(name, full)
         return self.made[column, how, level]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -304,18 +305,18 @@ def last_beta(aligned: DataFrame, last: int) -> DataFrame:
     return aligned.withColumn("_n", n).where(F.col("_n") <= last).groupBy("symbol").agg(F.regr_slope("y", "x").alias("beta"))
 
 
-def discover_pairs(aligned: DataFrame, least_corr: float = 0.68, most_p: float = 0.04, last: int = 800) -> DataFrame:
+def discover_pairs(aligned: DataFrame, least_corr: float = 0.68, most_p: float = 0.04, last: int = 800, test: Callable[[DataFrame], DataFrame] = coint_test) -> DataFrame:
     """(symbol, n, rho, p, beta, score) of the pairs of aligned(symbol, t, x, y) that pass, best p first when ordered by
-    (p, -abs(rho)): correlation first, the test only for what is left."""
+    (p, -abs(rho)): correlation first, the test only for what is left; ``test``: coint_test or cointegration.coint_lags."""
     rho = aligned.groupBy("symbol").agg(F.corr("x", "y").alias("rho")).where(F.abs("rho") >= least_corr)
     left = aligned.join(rho.select(F.col("symbol").alias("_r")), F.col("symbol") == F.col("_r"), "left_semi")
-    tested = coint_test(left).where(F.col("p") <= most_p).select("symbol", "n", "p")
+    tested = test(left).where(F.col("p") <= most_p).select("symbol", "n", "p")
     score = F.abs("rho") * (1 - F.least(F.lit(0.99), F.col("p")))
     return tested.join(rho, "symbol").join(last_beta(left, last), "symbol").select("symbol", "n", "rho", "p", "beta", score.alias("score"))
 
 
-def scan_pairs(aligned: DataFrame, least: int = 100) -> DataFrame:
-    """(symbol, n, p, beta, half_life, z_mean, z_sd): hedge ratio through the origin, its spread's standardised mean and
+def scan_pairs(aligned: DataFrame, least: int = 100, test: Callable[[DataFrame], DataFrame] = coint_test) -> DataFrame:
+    """(symbol, n, p, beta, half_life, z_mean, z_sd): p of ``test``, hedge ratio through the origin, its spread's standardised mean and
     deviation, and the half-life of its return to the mean, null where there is none."""
     beta = aligned.groupBy(F.col("symbol").alias("_s")).agg((F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("beta"))
     s = aligned.join(beta, F.col("symbol") == F.col("_s")).withColumn("s", F.col("y") - F.col("beta") * F.col("x"))
@@ -323,7 +324,7 @@ def scan_pairs(aligned: DataFrame, least: int = 100) -> DataFrame:
     g = s.groupBy("symbol", "beta").agg(F.count("*").alias("n"), F.regr_slope("d", "p").alias("b"), F.stddev_pop("s").alias("sd"))
     ok = (F.col("n") >= 30) & (F.col("b") > -1) & (F.col("b") != 0)
     half = F.when(ok, -F.log(F.lit(2.0)) / F.log1p("b"))
-    tested = coint_test(aligned).select(F.col("symbol").alias("_t"), F.col("p").alias("p"))
+    tested = test(aligned).select(F.col("symbol").alias("_t"), F.col("p").alias("p"))
     kept = g.where(F.col("n") >= least).join(tested, F.col("symbol") == F.col("_t"))
     return kept.select("symbol", "n", "p", "beta", half.alias("half_life"), F.lit(0.0).alias("z_mean"), (F.col("sd") / (F.col("sd") + 1e-9)).alias("z_sd"))
 

@@ -9,8 +9,9 @@ from ..functions import windows as W
 from ..operators import alerts as A
 from ..operators import bars as B
 from ..operators import ledgers as L
+from ..operators import overtime as Q
 from ..operators import tables as T
-from .catalog import DAY, HOUR, ORDER, SQL_BARS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _aligned, _read, add, fills, hour_bars, orders, results, ticks, vendor
+from .catalog import DAY, HOUR, ORDER, SQL_BARS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _aligned, _read, add, fills, hour_bars, orders, results, rounded, ticks, vendor
 from .signals import SQL_SPREAD, _spread
 
 C = F.col
@@ -38,6 +39,10 @@ add("e9_top_runs", f"WITH {SQL_RESULTS} SELECT strategy, timeframe, round(avg(pn
 add("e16_over_time", f"WITH {SQL_BARS} SELECT symbol, t, round(avg(c) OVER w, 6) AS mean, round(max(c) OVER w, 6) AS most FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)")(
     lambda s, d: (lambda w: hour_bars(s, d).select("symbol", "t", F.round(F.avg("c").over(w), 6).alias("mean"), F.round(F.max("c").over(w), 6).alias("most")))(W.ordered().rangeBetween(-6 * HOUR, 0))
 )
+_OVER = f"OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {6 * HOUR * 10**6} PRECEDING AND CURRENT ROW)"
+add("e16_quantiles", f"WITH {SQL_TICKS} SELECT symbol, id, round(quantile_cont(ltp, 0.5) {_OVER}, 6) AS p50, round(quantile_cont(ltp, 0.95) {_OVER}, 6) AS p95 FROM ticks")(
+    lambda s, d: rounded(Q.quantiles_over_time(ticks(s, d).select("symbol", "id", "ltp", F.unix_micros("ts").alias("us")), ["symbol"], "us", "ltp", 6 * HOUR * 10**6, {"p50": 0.5, "p95": 0.95}), "p50", "p95").select("symbol", "id", "p50", "p95")
+)
 add("e17_exposure", f"WITH {SQL_FILLS}, l AS (SELECT symbol, last(price ORDER BY {KEY}) AS px FROM fills GROUP BY 1), n AS (SELECT symbol, bucket, sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) AS q FROM fills GROUP BY 1, 2) SELECT bucket, round(sum(q * px), 2) AS exposure FROM n JOIN l ON n.symbol = l.symbol GROUP BY 1")(
     lambda s, d: (lambda f: f.groupBy("symbol", "bucket").agg(F.sum(T.signed()).alias("q")).join(f.groupBy("symbol").agg(F.max_by("price", F.struct(*ORDER)).alias("px")), "symbol").groupBy("bucket").agg(F.round(F.sum(C("q") * C("px")), 2).alias("exposure")))(fills(s, d))
 )

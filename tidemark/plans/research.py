@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..operators import bars as B
+from ..operators import cointegration as CI
 from ..operators import grids as G
 from ..operators import pairs as P
 from ..operators import risk as R
@@ -239,6 +240,8 @@ add("i15_open_pairs")(lambda s, d: P.open_pairs(P.pair_signals(_spread(s, d), P.
 add("h11_pair_ledger")(lambda s, d: P.pair_ledger(pair_rows(s, d)))
 add("h12_swing_ledger")(lambda s, d: P.pair_ledger(pair_rows(s, d), "swing"))
 add("h13_spread_ledger")(lambda s, d: P.pair_ledger(pair_rows(s, d), "spread"))
+add("h15_coint_lags")(lambda s, d: CI.coint_lags(_aligned(s, d)))
+add("h16_discover_lags")(lambda s, d: P.discover_pairs(_aligned(s, d), 0.0, 1.0, 100, test=CI.coint_lags))
 _poly = lambda cs: " + ".join(f"({c}) * tau ** {k}" for k, c in enumerate(cs))
 _u = f"(1 / (1 + {P.ERF_P} * abs(q) / sqrt(2)))"
 _tail = "(" + " + ".join(f"({a}) * {_u} ** {k + 1}" for k, a in enumerate(P.ERF_A)) + ") * exp(-q * q / 2) / 2"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import models as M
 from ..functions import signals as S
 from ..functions import windows as W
 from ..operators import tables as T
@@ -155,6 +156,28 @@ add(
 SQL_ML = f"{SQL_V}, x AS (SELECT symbol, t, round(c / lag(c) OVER (PARTITION BY symbol ORDER BY t) - 1, 6) AS ret, round(c - {ema_first(20)}, 6) AS mom FROM v)"
 add("f22_ml_features", f"WITH {SQL_ML} SELECT * FROM x")(lambda s, d: W.with_emas(hour_bars(s, d), {"e": 20}, "first").select("symbol", "t", F.round(W.roc(C("c"), 1), 6).alias("ret"), F.round(C("c") - C("e"), 6).alias("mom")))
 add("g16_momentum", f"WITH {SQL_ML} SELECT symbol, t, {ACT.format('mom')} AS action FROM x")(lambda s, d: W.with_emas(hour_bars(s, d), {"e": 20}, "first").select("symbol", "t", S.act(F.round(C("c") - C("e"), 6)).alias("action")))
+# A model a symbol, by least squares on the bar after, in two versions; one symbol has none.
+SQL_MODEL = (
+    f"{SQL_V}, x AS (SELECT symbol, t, c, coalesce(c / lag(c) OVER w - 1, 0) AS ret, c - {ema_first(20)} AS mom, lead(c) OVER w / c - 1 AS nxt FROM v WINDOW w AS (PARTITION BY symbol ORDER BY t)), "
+    "md AS (SELECT symbol, round(regr_slope(nxt, ret), 6) AS a, round(regr_slope(nxt, mom), 6) AS b, round(avg(nxt), 6) AS k FROM x WHERE symbol <> 'click' GROUP BY 1), "
+    "sc AS (SELECT x.symbol, t, mom, a, round(a * ret + b * mom + k, 6) AS score FROM x LEFT JOIN md ON md.symbol = x.symbol)"
+)
+
+
+def bar_models(s: SparkSession, d: str) -> DataFrame:
+    """models(model, version, kind, payload) fitted on the bars."""
+    x = M.momentum_features(hour_bars(s, d)).withColumn("nxt", F.lead("c").over(W.ordered()) / C("c") - 1).where("symbol <> 'click'")
+    g = x.groupBy("symbol").agg(F.round(F.regr_slope("nxt", "ret"), 6).alias("a"), F.round(F.regr_slope("nxt", "mom"), 6).alias("b"), F.round(F.avg("nxt"), 6).alias("k"))
+    payload = lambda a, b, k: F.to_json(F.struct(F.array(a, b).alias("weights"), k.alias("bias"))).cast("binary")
+    each = F.explode(F.array(F.struct(F.lit(2).alias("version"), payload(C("a"), C("b"), C("k")).alias("payload")), F.struct(F.lit(1).alias("version"), payload(F.lit(-1.0), F.lit(0.0), F.lit(0.0)).alias("payload"))))
+    return g.select(C("symbol").alias("model"), each.alias("x")).select("model", "x.version", F.lit("linear").alias("kind"), "x.payload")
+
+
+add(
+    "g16_model_score",
+    f"WITH {SQL_MODEL}, y AS (SELECT *, CASE WHEN a IS NULL THEN mom ELSE score END AS sg, CASE WHEN a IS NULL THEN 'ml_fallback_' ELSE 'ml_' END AS word FROM sc) "
+    f"SELECT symbol, t, score, {ACT.format('sg')} AS action, CASE WHEN sg > 0 THEN word || 'up' WHEN sg < 0 THEN word || 'down' END AS reason FROM y",
+)(lambda s, d: rounded(M.model_signals(hour_bars(s, d), bar_models(s, d), C("symbol")), "score"))
 add("g21_features", f"WITH {SQL_RSI}, p AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS pc FROM r), k AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(h - l, abs(h - pc), abs(l - pc)) END AS tr FROM p), f AS (SELECT symbol, t, round({_if(20, 'avg(c) ' + W_.format(19))}, 6) AS sma, rsi, round({SQL_ATR}, 6) AS atr FROM k) SELECT *, sma IS NOT NULL AND rsi IS NOT NULL AND atr IS NOT NULL AS ready FROM f")(
     lambda s, d: W.with_atr(hour_bars(s, d), 14).select("symbol", "t", F.round(W.sma(C("c"), 20), 6).alias("sma"), F.round(W.rsi(C("c"), 14), 6).alias("rsi"), F.round("atr", 6).alias("atr")).withColumn("ready", C("sma").isNotNull() & C("rsi").isNotNull() & C("atr").isNotNull())
 )
