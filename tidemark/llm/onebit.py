@@ -81,7 +81,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def codes(good: DataFrame, bits: int) -> DataFrame:
-    """(row, dim, words, c, m, e) of good(row, dim, v): a vector's code and scalars, 100 bytes or so at 512 bits."""
+    """(row, dim, words, c, m, e) of good(row, dim, v): a vector's code and scalars, 170 bytes or so at 1,024 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders: dict[int, OneBit] = {}
@@ -96,7 +96,7 @@ def codes(good: DataFrame, bits: int) -> DataFrame:
     return good.select("row", "dim", "v").mapInArrow(run, "row long, dim int, words binary, c double, m double, e long")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, part: int = 20_000, query_block: int = 4096, bits: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, part: int = 20_000, query_block: int = 4096, bits: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest other vectors by Euclidean distance.
 
     vectors(vec_id, embedding, ...); queries are the rows where is_query holds. Vectors that are null, empty or zero or
