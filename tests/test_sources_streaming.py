@@ -33,6 +33,8 @@ def test_files(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "a"))
     assert back.drop("day").exceptAll(bars.select(*back.drop("day").columns)).count() == 0 and back.count() == bars.count()
     assert {r[0] for r in S.expired(back, datetime.date(2024, 1, 10), 7).collect()} == {datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)}
+    assert S.drop_expired(spark, str(tmp_path / "a"), datetime.date(2024, 1, 10), 7) == 2
+    assert spark.read.parquet(str(tmp_path / "a")).agg(F.min("day")).first()[0] == datetime.date(2024, 1, 3)
     r = spark.createDataFrame([("A", 1.0, 3, None), ("B", 2.0, 4, 5)], "symbol string, pnl double, fast int, slow int")
     S.save_results(r, str(tmp_path / "r"), "r1", ["slow", "fast"])
     S.save_results(r.where("symbol = 'B'"), str(tmp_path / "r"), "r2", ["slow", "fast"])

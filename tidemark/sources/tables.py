@@ -68,6 +68,15 @@ def expired(archived: DataFrame, today: datetime.date, keep_days: int) -> DataFr
     return archived.select("day").distinct().where(F.col("day") < F.lit(today - datetime.timedelta(days=keep_days)))
 
 
+def drop_expired(spark: SparkSession, path: str, today: datetime.date, keep_days: int) -> int:
+    """Remove the archive's days that are older than keep_days; returns how many went. Only names of days come to the driver."""
+    gone = 0
+    for r in expired(spark.read.parquet(path), today, keep_days).toLocalIterator():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={r['day']}")
+        gone += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return gone
+
+
 def save_results(results: DataFrame, path: str, run_id: str, params: list[str]) -> None:
     """One run into its own partition; named columns become one canonical JSON text (keys sorted, nulls left out)."""
     packed = results.withColumn("params", F.to_json(F.struct(*sorted(params)))).drop(*params).withColumn("run_id", F.lit(run_id))
@@ -91,9 +100,10 @@ def instruments(raw: DataFrame) -> DataFrame:
 
 def write_bars(bars: DataFrame, path: str) -> None:
     """bars(tf, symbol, t, ...) as Parquet in folders by timeframe and UTC day, in order of symbol and time within files, so
-    that scans of read_bars skip folders and row groups."""
+    that scans of read_bars skip folders and row groups. The days of a timeframe that occur are replaced, so a run that is
+    repeated changes nothing; give whole days."""
     dated = bars.withColumn("date", F.to_date(F.timestamp_seconds("t")))
-    dated.repartition("tf", "date").sortWithinPartitions("tf", "date", "symbol", "t").write.mode("append").partitionBy("tf", "date").parquet(path)
+    dated.repartition("tf", "date").sortWithinPartitions("tf", "date", "symbol", "t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tf", "date").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str, tf: int, symbols: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
