@@ -10,7 +10,6 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +36,8 @@ _UNTIL = {"<!--": "-->", "<![CDATA[": "]]>"}
 #: Elements this deep and below share the names above them; what they are is in the last name.
 DEEP = 200
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Different pages of a host that must carry a text before it can count as template.
-LEAST_PAGES = 5
+#: Elements that hold lines of text: without a class or name they are parts of what is around them, not boxes of their own.
+LINES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption figcaption pre blockquote address".split())
 _BREAKS_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -169,26 +168,47 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     yield from flush()
 
 
-Wrapper = list[list]  # of [path, optional, repeated, pages, characters]
+Wrapper = list[list]  # of [path, optional, repeated, text, pages]
+
+
+def key_of(path: str, text: str) -> int:
+    """A hash (signed long) of a text in its slot."""
+    from xxhash import xxh64_intdigest
+
+    n = xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
 def wrapper_of(found: list[tuple[tuple[str, ...], str]]) -> Wrapper:
-    """The token stream of one page as a wrapper: a text slot for each path, repeated where the path comes again."""
+    """The token stream of one page as a wrapper: a slot for each path, repeated where the path comes again.
+
+    A slot's text is the hash of its strings on the page, or None where those of other pages differ: then it is a text slot.
+    Its pages are hashes of two different pages that have it, or of the only one.
+    """
     out: dict[str, list] = {}
+    whole = 0
     for names, text in found:
         path = "/".join(names)
+        key = key_of(path, text)
+        whole = (whole * 31 + key) & ((1 << 63) - 1)
         if path in out:
-            out[path][2], out[path][4] = 1, out[path][4] + len(text)
+            out[path][2], out[path][3] = 1, key_of(str(out[path][3]), text)
         else:
-            out[path] = [path, 0, 0, 1, len(text)]
-    return list(out.values())
+            out[path] = [path, 0, 0, key, None]
+    return [[*x[:4], [whole]] for x in out.values()]
+
+
+def _met(x: list, y: list, repeated: int) -> list:
+    """Two slots of one path as one: strings that differ make a text slot."""
+    return [x[0], x[1] | y[1], repeated, x[3] if x[3] == y[3] else None, sorted({*x[4], *y[4]})[:2]]
 
 
 def merge(a: Wrapper, b: Wrapper) -> Wrapper:
     """Align two wrappers along a longest run of slots that both have in the same order.
 
     Slots of one side only become optional; slots of both that stand in another order become repeated groups, at their
-    first place. A slot comes once in a wrapper, so the alignment takes n log n steps.
+    first place. Strings that differ where slots meet make text slots. A slot comes once in a wrapper, so the alignment takes
+    n log n steps.
     """
     at = {x[0]: k for k, x in enumerate(b)}
     shared = [(i, at[x[0]]) for i, x in enumerate(a) if x[0] in at]
@@ -211,13 +231,11 @@ def merge(a: Wrapper, b: Wrapper) -> Wrapper:
     for p, q in reversed(chain):
         for x in [*a[i:p], *b[j:q]]:
             if x[0] in out:
-                y = out[x[0]]
-                out[x[0]] = [x[0], x[1] | y[1], 1, x[3] + y[3], x[4] + y[4]]
+                out[x[0]] = _met(out[x[0]], x, 1)
             else:
                 out[x[0]] = [x[0], x[1] if x[0] in in_a and x[0] in in_b else 1, *x[2:]]
         if p < len(a):
-            x, y = a[p], b[q]
-            out[x[0]] = [x[0], x[1] | y[1], x[2] | y[2], x[3] + y[3], x[4] + y[4]]
+            out[a[p][0]] = _met(a[p], b[q], a[p][2] | b[q][2])
         i, j = p + 1, q + 1
     return list(out.values())
 
@@ -229,39 +247,44 @@ def inside(path: str) -> tuple[bool, bool]:
     return star is not None, any("!" in n for n in names[(star or 0) if star is not None else 0 :])
 
 
-def key_of(path: str, text: str) -> int:
-    """A hash (signed long) of a text in its slot."""
-    from xxhash import xxh64_intdigest
-
-    n = xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass"))
-    return n - (1 << 64) if n >> 63 else n
+def box_of(path: str) -> str | None:
+    """The nearest element around a text that is a box of its own: it has a class or name, or is none that holds lines. None
+    where that is the page's body."""
+    names = path.split("/")
+    for n in range(len(names), 0, -1):
+        tag, _, head = names[n - 1].partition(".")
+        if tag in ("body", "html"):
+            return None
+        if head or tag.strip("!*") not in LINES:
+            return "/".join(names[:n])
+    return None
 
 
 def main_paths(wrapper: Wrapper) -> set[str]:
-    """Paths of the slots that hold main text: inside article or main where the host has such, else all; never inside
-    clutter, but clutter around the main part does not count. Without article or main nothing tells one container from
-    another but what varies across the pages, which fixed_texts finds text by text: so no container is preferred."""
-    kinds = {x[0]: inside(x[0]) for x in wrapper}
-    return {p for p, (m, bad) in kinds.items() if m and not bad} or {p for p, (_, bad) in kinds.items() if not bad}
+    """Paths of the slots that hold main text.
 
-
-def fixed_texts(pages: DataFrame) -> DataFrame:
-    """(host, fixed): keys of the texts that a host's pages agree on, from rows (host, page, slots, texts) of its pages.
-
-    ``page`` is a hash of the page's unmarked texts, so copies of a page count once. A string that differs from page to
-    page is a text slot; one that at least LEAST_PAGES pages and half of the pages with its path carry is template. Paths
-    of optional groups count only the pages that have them. All counts are aggregated before they are dealt by host.
+    Where the host has an article or main: all in it but clutter; clutter around it does not count. Elsewhere all but clutter
+    and template boxes: a box is template if at least two different pages have each of its texts and in all of it no string
+    differs from page to page, so that it holds no data. A host on which nothing differs, as it has one page or its copies,
+    tells nothing, and all stays.
     """
-    once = pages.groupBy("host", "page").agg(F.first("slots").alias("slots"), F.first("texts").alias("texts"))
-    both = once.select("host", F.explode(F.arrays_zip("slots", "texts")).alias("x")).select("host", F.col("x.slots").alias("slot"), F.col("x.texts").alias("text"))
-    same = both.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    every = once.select(F.col("host").alias("_host"), F.explode(F.array_distinct("slots")).alias("_slot")).groupBy("_host", "_slot").agg(F.count("*").alias("pages"))
-    agreed = same.join(every, (F.col("host") == F.col("_host")) & (F.col("slot") == F.col("_slot"))).where(2 * F.col("n") >= F.col("pages"))
-    return agreed.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("fixed"))
+    kinds = {x[0]: inside(x[0]) for x in wrapper}
+    main = {p for p, (m, bad) in kinds.items() if m and not bad}
+    if main:
+        return main
+    plain = [x for x in wrapper if not kinds[x[0]][1]]
+    if not any(x[3] is None for x in plain):
+        return {x[0] for x in plain}
+    data: set[str] = set()
+    for x in plain:
+        if x[3] is None or len(x[4]) < 2:
+            names = x[0].split("/")
+            data.update("/".join(names[:n]) for n in range(1, len(names) + 1))  # every box around it holds data
+    return {x[0] for x in plain if (box := box_of(x[0])) is None or box in data}
 
 
 def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, paths, fixed): a wrapper's main slots and its fixed texts for each host, from all its pages.
+    """(host, paths): a wrapper's main slots for each host, from all its pages.
 
     Tasks first merge the pages they hold into a wrapper a host, so a hot host is never gathered; these are merged in two
     rounds, by (host, salt) and by host.
@@ -270,34 +293,17 @@ def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
         from pyspark import TaskContext
 
         done: dict[str, Wrapper] = {}
-        clutter: dict[str, bool] = {}
 
         def wrappers() -> pd.DataFrame:
-            return pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values())), "page": pd.array([None] * len(done), "Int64"), "slots": None, "texts": None})
+            return pd.DataFrame({"host": list(done), "salt": TaskContext.get().partitionId() % salts, "wrapper": list(map(json.dumps, done.values()))})
 
         for pdf in batches:
-            seen = []
             for host, page in zip(pdf["host"], pdf["html"]):
-                found = list(blocks(page))
-                w = wrapper_of(found)
+                w = wrapper_of(list(blocks(page)))
                 done[host] = merge(done[host], w) if host in done else w
-                texts: dict[int, int] = {}
-                for names, text in found:
-                    path = "/".join(names)
-                    if path not in clutter:
-                        if len(clutter) > 100_000:
-                            clutter.clear()
-                        clutter[path] = inside(path)[1]
-                    if not clutter[path]:
-                        texts[key_of(path, text)] = key_of(path, "")
-                if texts:
-                    every = np.fromiter(texts, np.int64, len(texts))
-                    seen.append((host, 0, None, key_of("", str(every.tobytes())), np.fromiter(texts.values(), np.int64, len(texts)), every))
                 if len(done) > 20_000:
                     yield wrappers()
                     done = {}
-            if seen:
-                yield pd.DataFrame(seen, columns=["host", "salt", "wrapper", "page", "slots", "texts"])
         if done:
             yield wrappers()
 
@@ -313,11 +319,9 @@ def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [str(pdf["host"].iloc[0])], "paths": [sorted(main_paths(joined(pdf)))]})
 
-    first = save(pages.mapInPandas(local, "host string, salt int, wrapper string, page long, slots array<long>, texts array<long>"), "streams")
-    salted = first.where("wrapper is not null").select("host", "salt", "wrapper").groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
-    paths = salted.groupBy("host").applyInPandas(last, "host string, paths array<string>")
-    fixed = fixed_texts(first.where("page is not null")).withColumnRenamed("host", "_fixed_host")
-    return paths.join(fixed, F.col("host") == F.col("_fixed_host"), "left").select("host", "paths", F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
+    first = save(pages.mapInPandas(local, "host string, salt int, wrapper string"), "streams")
+    salted = first.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
+    return salted.groupBy("host").applyInPandas(last, "host string, paths array<string>")
 
 
 def extract(pages: DataFrame, most_broadcast: int = 16_000_000) -> DataFrame:
@@ -325,36 +329,31 @@ def extract(pages: DataFrame, most_broadcast: int = 16_000_000) -> DataFrame:
 
     The text joins the blocks of the host's main slots in page order by one space; references are decoded, white space
     within a block is one space. A page whose own stream holds none of the host's main slots, or lacks the article the
-    host's wrapper has, is read by a wrapper of its own. Texts that the host's pages agree on (see fixed_texts) are template
-    and left out, unless they are over half of the page's main characters: such a page is a copy of others. Null html counts as empty, giving an empty text; pages without a
+    host's wrapper has, is read by a wrapper of its own. Null html counts as empty, giving an empty text; pages without a
     host (null or odd url) share one. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
     The wrappers are broadcast only up to most_broadcast bytes, beyond that joined by host, where skew joins split hot ones.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     wrappers = save(infer(rows.select("host", "html")), "wrappers").withColumnRenamed("host", "_host")
-    size = wrappers.agg(F.sum(F.length(F.to_json("paths")) + 8 * F.size("fixed") + F.length("_host") + 50)).first()[0] or 0
+    size = wrappers.agg(F.sum(F.length(F.to_json("paths")) + F.length("_host") + 50)).first()[0] or 0
     joined = rows.join(F.broadcast(wrappers) if size <= most_broadcast else wrappers, F.col("host") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, set] = {}
         for batch in batches:
             texts = []
-            for page, *lists in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "fixed"))):
+            for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist()):
                 if len(known) > 20_000:
                     known.clear()
                 found = [("/".join(p), t) for p, t in blocks(page)]
-                slots, fixed = (known.setdefault(k, set(k)) for k in (tuple(x or ()) for x in lists))
+                slots = known.setdefault(k := tuple(paths or ()), set(k))
                 own = {p for p, _ in found}
                 if not own & slots or any("*" in p for p in own) and not any("*" in p for p in own & slots):
                     slots = main_paths(wrapper_of([(tuple(p.split("/")), t) for p, t in found]))
-                kept = [(p, t) for p, t in found if p in slots]
-                rest = [(p, t) for p, t in kept if key_of(p, t) not in fixed] if fixed else kept
-                if 2 * sum(len(t) for _, t in rest) >= sum(len(t) for _, t in kept):
-                    kept = rest
-                texts.append(" ".join(t for _, t in kept))
+                texts.append(" ".join(t for p, t in found if p in slots))
             n = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return joined.select("page_id", "url", "html", "paths", "fixed").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "paths").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
