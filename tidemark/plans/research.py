@@ -176,9 +176,6 @@ add(
     lambda s, d: T.trade_stats(rounded(T.trades_from_signals(grid_signals(s, d), 1000.0), "pnl"))
     .select("symbol", "n_trades", "wins", F.round("pnl_total", 4).alias("pnl_total"))
 )
-add("h8_fixed_exits")(
-    lambda s, d: G.trades_fixed(hour_bars(s, d).join(grid_signals(s, d).where("symbol like '%|3/10'").select(F.split("symbol", "\\|")[0].alias("symbol"), "t", "action"), ["symbol", "t"]), ["symbol"], 1000.0, 0.05, 0.03, 930)
-)
 
 # Pairs.
 OFFSETS = {"entry": [-0.25, 0.0, 0.25], "leave": [-0.25, 0.0, 0.25], "stop": [-0.5, 0.0, 0.5]}
@@ -234,12 +231,6 @@ add(
     "ls AS (SELECT *, max(m) OVER (PARTITION BY symbol ORDER BY seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM mt) "
     "SELECT symbol, t, x, y FROM ls WHERE m IS NOT NULL AND (l IS NULL OR m > l)",
 )(lambda s, d: ST.sync_legs(arrivals(s, d), ["seq", "id"]))
-add("g20_pair_signals")(lambda s, d: P.sides(_signals(s, d)))
-add("e19_pair_signal_stats")(lambda s, d: P.pair_signal_stats(_signals(s, d)))
-add("i15_open_pairs")(lambda s, d: P.open_pairs(P.pair_signals(_spread(s, d), P.Thresholds(1.0, 0.0, 99.0, 0.0)), F.lit(1706745600)))
-add("h11_pair_ledger")(lambda s, d: P.pair_ledger(pair_rows(s, d)))
-add("h12_swing_ledger")(lambda s, d: P.pair_ledger(pair_rows(s, d), "swing"))
-add("h13_spread_ledger")(lambda s, d: P.pair_ledger(pair_rows(s, d), "spread"))
 add("h15_coint_lags")(lambda s, d: CI.coint_lags(_aligned(s, d)))
 add("h16_discover_lags")(lambda s, d: P.discover_pairs(_aligned(s, d), 0.0, 1.0, 100, test=CI.coint_lags))
 _poly = lambda cs: " + ".join(f"({c}) * tau ** {k}" for k, c in enumerate(cs))
