@@ -79,7 +79,7 @@ class FixedExits(Ledger):
             yield self.out(row.t, row.c, "squareoff")
         if not self.open:
             way = {"BUY": 1, "SELL": -1}.get(row.action, 0)
-            qty = int(self.capital // row.c) if way else 0
+            qty = math.floor(self.capital / row.c) if way else 0
             if qty > 0:
                 self.open = (way, row.t, row.c, qty)
         else:

@@ -1,3 +1,3 @@
 """Registered queries: importing the package fills catalog.QUERIES and catalog.SQL."""
 
-from . import catalog, folds, ledgers, operations, research, sets, signals  # noqa: F401
+from . import catalog, folds, ledgers, operations, research, sets, signals, streams  # noqa: F401

@@ -159,10 +159,12 @@ add(
     lambda s, d: fills(s, d).withColumn("x", O.cost_equity(C("side"), C("price"), C("qty"), C("bucket"), RATES, {"A": 5.0}))
     .select(*FILL_KEY, F.floor(C("x.fill_price") * 10).alias("fill_tenths"), F.floor("x.total").alias("total"), "x.slippage_bps")
 )
+_share_of = (FILL["slippage"] + FILL["sebi"] + FILL["exchange"]) / 1e4
+_flat = FILL["brokerage"] * (1 + FILL["gst"] / 1e4)
 add(
     "h9_cost_fill",
-    f"WITH {SQL_FILLS} SELECT {_key}, round(price * qty * 2.355 / 1e4 + 23.6 + CASE WHEN side = 'BUY' THEN price * qty * 0.3 / 1e4 ELSE 0 END, 4) AS cost FROM fills",
-)(lambda s, d: fills(s, d).select(*FILL_KEY, F.round(O.cost_fill(C("side"), C("qty"), C("price"), FILL), 4).alias("cost")))
+    f"WITH {SQL_FILLS} SELECT {_key}, floor((price * qty * {_share_of!r}::DOUBLE + {_flat!r}::DOUBLE + CASE WHEN side = 'BUY' THEN price * qty * 0.3::DOUBLE / 1e4 ELSE 0 END) * 1000 + 0.5) / 1000 AS cost FROM fills",
+)(lambda s, d: fills(s, d).select(*FILL_KEY, (F.floor(O.cost_fill(C("side"), C("qty"), C("price"), FILL) * 1000 + 0.5) / 1000).alias("cost")))
 add(
     "h9_cost_roundtrip",
     f"WITH {SQL_TRADES} SELECT symbol, t_entry, round((px_exit * (1 - 2 / 1e4) - px_entry * (1 + 2 / 1e4)) * qty - 10, 4) AS net FROM tr WHERE side = 'LONG'",

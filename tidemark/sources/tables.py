@@ -16,7 +16,7 @@ def parse_ticks(raw: DataFrame, value: str = "value", now: Column | None = None)
     text itself in _corrupt where it is no tick."""
     x = raw.withColumn("_j", F.from_json(F.col(value).cast("string"), TICK))
     ok = F.col("_j.symbol").isNotNull() & F.col("_j.ltp").isNotNull()
-    ts = F.coalesce(F.timestamp_micros(F.floor(F.col("_j.event_ts") / 1000)), F.current_timestamp() if now is None else now)
+    ts = F.coalesce(F.timestamp_micros(F.expr("(_j.event_ts - pmod(_j.event_ts, 1000)) div 1000")), F.current_timestamp() if now is None else now)
     return x.select(F.col("_j.symbol").alias("symbol"), ts.alias("ts"), F.col("_j.ltp").alias("ltp"), F.coalesce("_j.vol", F.lit(0)).cast("long").alias("vol"), F.when(~ok, F.col(value).cast("string")).alias("_corrupt"))
 
 
