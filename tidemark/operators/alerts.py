@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ RULES = [
 def _seen(rule: Rule) -> Column:
     if rule.view == "gauge":
         return F.col("value")
-    over = Window.partitionBy("label").orderBy("t").rangeBetween(-rule.width, 0)
+    over = Window.partitionBy("_r", "label").orderBy("t").rangeBetween(-rule.width, 0)
     rise = F.greatest(F.lit(0.0), F.last("value").over(over) - F.first("value").over(over))
     return rise / rule.width if rule.view == "rate" else rise
 
@@ -54,16 +53,15 @@ def alerts(samples: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     and time the largest counts.
     """
     once = samples.where("value is not null").groupBy("metric", "label", "t").agg(F.max("value").cast("double").alias("value"))
-
-    def one(rule: Rule) -> DataFrame:
-        by = Window.partitionBy("label").orderBy("t")
-        limit = F.lit(float(rule.limit))
-        bad = {">": F.col("value") > limit, "<": F.col("value") < limit, "=": F.col("value") == limit}[rule.bad]
-        seen = once.where(F.col("metric") == rule.metric).select("label", "t", _seen(rule).alias("value"))
-        seen = seen.withColumn("_begins", F.when(bad & ~F.coalesce(F.lag(bad).over(by), F.lit(False)), F.col("t")))
-        since = F.when(bad, F.last("_begins", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        seen = seen.withColumn("since", since)
-        firing = F.coalesce(F.col("t") - F.col("since") >= rule.hold, F.lit(False))
-        return seen.select(F.lit(rule.name).alias("alert"), "label", "t", "value", "since", firing.alias("firing"))
-
-    return reduce(DataFrame.unionByName, map(one, rules))
+    looks = F.array_compact(F.array(*[F.when(F.col("metric") == r.metric, F.lit(i)) for i, r in enumerate(rules)]))
+    each = once.select("label", "t", "value", F.explode(looks).alias("_r"))  # a sample once for each rule that looks at it
+    pick = lambda of: F.coalesce(*[F.when(F.col("_r") == i, of(r)) for i, r in enumerate(rules)])
+    seen = each.withColumn("value", pick(_seen))
+    is_bad = {">": lambda r: F.col("value") > float(r.limit), "<": lambda r: F.col("value") < float(r.limit), "=": lambda r: F.col("value") == float(r.limit)}
+    seen = seen.withColumn("_bad", pick(lambda r: is_bad[r.bad](r)))
+    by = Window.partitionBy("_r", "label").orderBy("t")
+    seen = seen.withColumn("_begins", F.when(F.col("_bad") & ~F.coalesce(F.lag("_bad").over(by), F.lit(False)), F.col("t")))
+    since = F.when(F.col("_bad"), F.last("_begins", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("since", since)
+    firing = F.coalesce(F.col("t") - F.col("since") >= pick(lambda r: F.lit(r.hold)), F.lit(False))
+    return seen.select(pick(lambda r: F.lit(r.name)).alias("alert"), "label", "t", "value", "since", firing.alias("firing"))

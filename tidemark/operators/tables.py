@@ -38,12 +38,12 @@ def asof_price(events: DataFrame, bars: DataFrame, default: float = 0.0, width:
     at = F.floor(F.col("t") / width).alias("_at")
     a = events.select("symbol", "t", "id", F.lit(None).cast("double").alias("c"), F.lit(1).alias("o"), at)
     b = bars.select("symbol", "t", F.lit(None).cast("long").alias("id"), "c", F.lit(0).alias("o"), at)
-    rows = a.union(b)
+    rows = a.union(b).repartition("symbol", "_at")  # shuffled once for the ends and the sweep
     ends = rows.groupBy(F.col("symbol").alias("_s"), F.col("_at").alias("_b")).agg(F.max_by("c", F.when(F.col("c").isNotNull(), F.col("t"))).alias("_end"))
     earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("_s", "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     w = Window.partitionBy("symbol", "_at").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.join(ends, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_at").eqNullSafe(F.col("_b")))
+    both = rows.join(ends, (F.col("symbol") == F.col("_s")) & (F.col("_at") == F.col("_b")), "left")
     both = both.withColumn("price", F.coalesce(F.last("c", ignorenulls=True).over(w), F.col("_carry"), F.lit(default)))
     return both.where("o = 1").select("symbol", "t", "id", "price")
 
@@ -119,13 +119,13 @@ def active_at(events: DataFrame, reservations: DataFrame, width: int = 7 * 86400
     add = reservations.select("bucket", F.col("created").alias("t"), nothing, F.col("notional").alias("d"), F.lit(0).alias("o"))
     end = reservations.select("bucket", F.col("expires").alias("t"), nothing, (-F.col("notional")).alias("d"), F.lit(0).alias("o"))
     ask = events.select("bucket", "t", "id", F.lit(0.0).alias("d"), F.lit(1).alias("o"))
-    rows = add.union(end).union(ask).withColumn("_at", F.floor(F.col("t") / width))
+    rows = add.union(end).union(ask).withColumn("_at", F.floor(F.col("t") / width)).repartition("bucket", "_at")
     sums = rows.groupBy(F.col("bucket").alias("_k"), F.col("_at").alias("_b")).agg(F.sum("d").alias("_d"))
     earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_k", "_b", F.coalesce(F.sum("_d").over(earlier), F.lit(0.0)).alias("_before"))
     w = Window.partitionBy("bucket", "_at").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    swept = rows.join(sums, F.col("bucket").eqNullSafe(F.col("_k")) & F.col("_at").eqNullSafe(F.col("_b")))
-    swept = swept.withColumn("active", F.sum("d").over(w) + F.col("_before"))
+    swept = rows.join(sums, (F.col("bucket") == F.col("_k")) & (F.col("_at") == F.col("_b")), "left")
+    swept = swept.withColumn("active", F.sum("d").over(w) + F.coalesce("_before", F.lit(0.0)))
     return swept.where("o = 1").select("bucket", "t", "id", "active")
 
 
@@ -366,13 +366,20 @@ def align(bars: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(bars.where(F.col("symbol") == b).select("t", F.col("c").alias("y")), "t").withColumn("symbol", F.lit(f"{a}|{b}"))
 
 
-def align_pairs(bars: DataFrame, least: int) -> DataFrame:
-    """(symbol, t, x, y): closes of every two symbols a < b where both have a bar, named a|b, for pairs that share
-    ``least`` bars or more. The overlaps are counted first, so that rows of no use are never made a series of."""
-    a, b = bars.select("t", F.col("symbol").alias("a"), F.col("c").alias("x")), bars.select("t", F.col("symbol").alias("b"), F.col("c").alias("y"))
-    both = a.join(b, "t").where("a < b").withColumn("symbol", F.concat("a", F.lit("|"), "b"))
-    enough = both.groupBy(F.col("symbol").alias("_s")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return both.join(enough, F.col("symbol") == F.col("_s"), "left_semi").select("symbol", "t", "x", "y")
+def align_pairs(bars: DataFrame, least: int, least_rho: float = 0.0) -> DataFrame:
+    """(symbol, t, x, y): closes of every two symbols a < b where both have a bar, named a|b, for pairs that share ``least``
+    bars or more and are correlated by ``least_rho`` at least, either way.
+
+    Which pairs these are comes from pair_stats(), block by block; only their series are laid out, by symbol and by (symbol,
+    time), so a time that many symbols share is no task of its own.
+    """
+    pairs = pair_stats(bars, least)
+    pairs = pairs.where(F.abs("rho") >= least_rho).select("a", "b") if least_rho > 0 else pairs.select("a", "b")
+    x = bars.select(F.col("symbol").alias("_a"), "t", F.col("c").alias("x"))
+    y = bars.select(F.col("symbol").alias("_b"), F.col("t").alias("_t"), F.col("c").alias("y"))
+    left = pairs.join(x, F.col("a") == F.col("_a")).select("a", "b", "t", "x")
+    both = left.join(y, (F.col("b") == F.col("_b")) & (F.col("t") == F.col("_t")))
+    return both.select(F.concat("a", F.lit("|"), "b").alias("symbol"), "t", "x", "y")
 
 
 def trades_from_signals(rows: DataFrame, capital: float) -> DataFrame:
