@@ -366,18 +366,26 @@ def align(bars: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(bars.where(F.col("symbol") == b).select("t", F.col("c").alias("y")), "t").withColumn("symbol", F.lit(f"{a}|{b}"))
 
 
-def align_pairs(bars: DataFrame, least: int, least_rho: float = 0.0) -> DataFrame:
-    """(symbol, t, x, y): closes of every two symbols a < b where both have a bar, named a|b, for pairs that share ``least``
-    bars or more and are correlated by ``least_rho`` at least, either way.
+def align_pairs(bars: DataFrame, least: int) -> DataFrame:
+    """(symbol, t, x, y): closes of every two symbols a < b where both have a bar, named a|b, for pairs that share
+    ``least`` bars or more. The overlaps are counted on the same shuffle that the rows are kept from.
 
-    Which pairs these are comes from pair_stats(), block by block; only their series are laid out, by symbol and by (symbol,
-    time), so a time that many symbols share is no task of its own.
+    It joins on time, so for thousands of symbols at a time take align_selected() of the pairs that pair_stats() finds.
+    """
+    a, b = bars.select("t", F.col("symbol").alias("a"), F.col("c").alias("x")), bars.select("t", F.col("symbol").alias("b"), F.col("c").alias("y"))
+    both = a.join(b, "t").where("a < b").select(F.concat("a", F.lit("|"), "b").alias("symbol"), "t", "x", "y").repartition("symbol")
+    enough = both.groupBy(F.col("symbol").alias("_s")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return both.join(enough, F.col("symbol") == F.col("_s"), "left_semi")
+
+
+def align_selected(bars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(symbol, t, x, y) of align_pairs() for pairs(a, b), such as those of pair_stats() that overlap and correlate enough.
+
+    Only their series are laid out, by symbol and by (symbol, time), so a time that many symbols share is no task of its own.
     """
-    pairs = pair_stats(bars, least)
-    pairs = pairs.where(F.abs("rho") >= least_rho).select("a", "b") if least_rho > 0 else pairs.select("a", "b")
     x = bars.select(F.col("symbol").alias("_a"), "t", F.col("c").alias("x"))
     y = bars.select(F.col("symbol").alias("_b"), F.col("t").alias("_t"), F.col("c").alias("y"))
-    left = pairs.join(x, F.col("a") == F.col("_a")).select("a", "b", "t", "x")
+    left = pairs.select("a", "b").join(x, F.col("a") == F.col("_a")).select("a", "b", "t", "x")
     both = left.join(y, (F.col("b") == F.col("_b")) & (F.col("t") == F.col("_t")))
     return both.select(F.concat("a", F.lit("|"), "b").alias("symbol"), "t", "x", "y")
 

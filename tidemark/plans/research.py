@@ -232,6 +232,9 @@ add(
     "SELECT symbol, t, x, y FROM ls WHERE m IS NOT NULL AND (l IS NULL OR m > l)",
 )(lambda s, d: ST.sync_legs(arrivals(s, d), ["seq", "id"]))
 add("h15_coint_lags")(lambda s, d: CI.coint_lags(_aligned(s, d)))
+add("d1_align_selected", f"WITH {SQL_ALIGN} SELECT symbol, t, x, y FROM al WHERE symbol IN (SELECT symbol FROM al GROUP BY 1 HAVING abs(round(corr(x, y), 6)) >= 0.02)")(
+    lambda s, d: (lambda b: T.align_selected(b, T.pair_stats(b, 50).where(F.abs(F.round("rho", 6)) >= 0.02)))(hour_bars(s, d))
+)
 add("h16_discover_lags")(lambda s, d: P.discover_pairs(_aligned(s, d), 0.0, 1.0, 100, test=CI.coint_lags))
 _poly = lambda cs: " + ".join(f"({c}) * tau ** {k}" for k, c in enumerate(cs))
 _u = f"(1 / (1 + {P.ERF_P} * abs(q) / sqrt(2)))"
