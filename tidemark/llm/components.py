@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import drop, scratch
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -24,28 +26,34 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a long, b long): component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each round hangs neighbours on the smallest neighbour known, so that
-    the rounds grow with the logarithm of the longest chain. A round's links are written to the shared folder. Null ends
-    and loops are ignored; an empty table gives an empty result. Raises if most_rounds do not suffice.
+    the rounds grow with the logarithm of the longest chain; they go on until a round changes nothing, as one must, since
+    links only come to hang on smaller nodes. A round's links are written to the shared folder, and those of the round
+    before deleted. Null ends and loops are ignored; an empty table gives an empty result.
     """
+    spark, folder = links.sparkSession, scratch(links.sparkSession)
+
+    def keep(rows: DataFrame, number: int) -> DataFrame:
+        rows.write.parquet(f"{folder}/links-{number}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/links-{number}")
+
     links = links.where("a is not null and b is not null and a <> b")
-    e = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    e = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 0)
     before = None
-    for _ in range(most_rounds):
+    for number in count(1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = save(small, "links")
+        e = keep(small, number)
+        drop(spark, f"{folder}/links-{number - 1}")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
