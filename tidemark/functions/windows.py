@@ -101,10 +101,12 @@ def crossing(zone: Column, *keys: str) -> Column:
     return F.when(zone.isNotNull() & before.isNotNull() & (zone != before), zone).otherwise(0)
 
 
-def rolling_beta(y: Column, x: Column, n: int, *keys: str) -> Column:
+def rolling_beta(y: Column, x: Column, n: int, *keys: str, fallback: float | None = None) -> Column:
+    """Slope of the line over the last n rows; ``fallback`` (null if not given) where there are fewer or x does not vary."""
     w = _frame(n, *keys)
     den = F.var_pop(x).over(w)
-    return _ready(F.when(F.abs(den) >= 1e-12, F.regr_slope(y, x).over(w)), n, *keys)
+    slope = _ready(F.when(F.abs(den) >= 1e-12, F.regr_slope(y, x).over(w)), n, *keys)
+    return slope if fallback is None else F.coalesce(slope, F.lit(fallback))
 
 
 def rolling_beta_origin(y: Column, x: Column, n: int, *keys: str) -> Column:

@@ -215,6 +215,48 @@ def order_intents(signals: DataFrame, risk: float, cap: float, lot: Column | int
     return sized.where("qty > 0").select(name.alias("client_id"), "symbol", "t", F.col("action").alias("side"), "qty", extra.alias("extra"))
 
 
+# --- rows of results
+
+
+def aggregate_by_config(rows: DataFrame, values: Sequence[str], per_symbol: bool = False) -> DataFrame:
+    """One row for each strategy, timeframe and parameters (and symbol) of rows(symbol, strategy, timeframe, params map, n_trades,
+    max_dd, variant, ...): means of ``values`` weighted by trades, missing ones as 0, all weights 1 where no row has trades; the
+    largest drawdown, all trades, the symbols in order and the variant of the first symbol that has one."""
+    keys = [*(["symbol"] if per_symbol else []), "strategy", "timeframe"]
+    w = F.coalesce(F.col("n_trades").cast("double"), F.lit(0.0))
+    value = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    mean = lambda c: F.when(F.sum(w) == 0, F.avg(value(c))).otherwise(F.sum(value(c) * w) / F.nullif(F.sum(w), F.lit(0.0)))
+    return rows.withColumn("params_key", params_key(F.col("params"))).groupBy(*keys, "params_key").agg(
+        *[mean(c).alias(c) for c in values], F.max(F.abs(value("max_dd"))).alias("max_dd"), F.sum(w).cast("long").alias("n_trades"),
+        F.array_join(F.array_sort(F.collect_set(F.col("symbol").cast("string"))), ",").alias("symbols"), F.min_by("variant", F.when(F.col("variant").isNotNull(), F.col("symbol"))).alias("variant"),
+    )
+
+
+def win_rate_percent(rate: Column, percent: Column) -> Column:
+    """A win rate in per cent from either of two columns, the first that is there: up to 1 it is a share; neither: 0."""
+    v = F.coalesce(rate, percent)
+    return F.coalesce(F.when(v <= 1, v * 100).otherwise(v), F.lit(0.0))
+
+
+def profit_per_trade(given: Column, average: Column, total: Column, trades: Column) -> Column:
+    """The first that is there of the given value, the average, and the total over its trades; 0 without trades."""
+    return F.coalesce(given, average, F.when(trades > 0, F.coalesce(total, F.lit(0.0)) / trades), F.lit(0.0))
+
+
+def tf_minutes(text: Column) -> Column:
+    """Minutes of a timeframe written as 5, 5m or 5M; null for what is none, and below 1."""
+    n = F.regexp_extract(F.lower(F.trim(text.cast("string"))), "^([0-9]{1,9})m?$", 1)
+    n = F.when(n != "", n).cast("int")
+    return F.when(n > 0, n)
+
+
+def blotter(orders: DataFrame, fills: DataFrame, fee: str = "$.fees.total") -> DataFrame:
+    """orders(order_id, status) with their fills(order_id, symbol, side, qty, price, t, extra) and the fee in the fills' JSON, newest
+    fill first, orders without fills last."""
+    f = fills.select(F.col("order_id").alias("_o"), "symbol", "side", "qty", "price", F.get_json_object("extra", fee).cast("double").alias("fee"), "t")
+    return orders.select("order_id", "status").join(f, F.col("order_id") == F.col("_o"), "left").drop("_o").orderBy(F.desc_nulls_last("t"), "order_id")
+
+
 # --- grids
 
 

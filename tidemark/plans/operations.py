@@ -6,16 +6,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import signals as S
+from ..functions import windows as W
 from ..functions.sets import signal_sets
 from ..operators import bars as B
 from ..operators import ledgers as L
 from ..operators import operations as O
 from ..operators import tables as T
 from . import sets
-from .catalog import DAY, HOUR, ORDER, SQL_BARS, SQL_CROSS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, add, fills, hour_bars, orders, results, rounded, ticks, user_ticks, vendor
+from .catalog import DAY, HOUR, ORDER, SQL_ALIGN, SQL_BARS, SQL_CROSS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _aligned, add, fills, hour_bars, orders, results, rounded, ticks, user_ticks, vendor
 from .ledgers import PNL, SQL_WAC
 from .research import SQL_GRID_CROSS
-from .signals import SQL_TRADES
+from .signals import SQL_SPREAD, SQL_TRADES
 
 C = F.col
 
@@ -211,3 +213,43 @@ add(
     f"WITH {SQL_GRID_CROSS}{SQL_TRADES[len(SQL_CROSS):]} SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS params_id, count(*) AS n_trades, count(*) FILTER (pnl > 0) AS wins, round(sum(pnl), 4) AS pnl_total, NULL AS error FROM tr GROUP BY ALL "
     "UNION ALL SELECT DISTINCT event_type, 'odd', NULL, NULL, NULL, 'KeyError: ''slow''' FROM events",
 )(lambda s, d: O.evaluate_grid(hour_bars(s, d).select("symbol", "t", "c"), GRID, crossing, 1000.0).select("symbol", "params_id", "n_trades", "wins", F.round("pnl_total", 4).alias("pnl_total"), "error"))
+
+# Rows of results.
+_BASE = "SELECT *, CASE WHEN symbol % 4 <> 1 THEN symbol % 3 END AS g, CASE WHEN symbol % 5 = 0 THEN 0 ELSE n_trades END AS w FROM res"
+
+
+def configured(s: SparkSession, d: str) -> DataFrame:
+    """results with parameters (none for some), a variant, and some without trades."""
+    g = F.expr("CASE WHEN symbol % 4 <> 1 THEN symbol % 3 END")
+    params = F.when(g.isNotNull(), F.create_map(F.lit("slow"), (g * 4 + 4).cast("string"), F.lit("fast"), (g + 3).cast("string")))
+    return results(s, d).select("symbol", "strategy", "timeframe", params.alias("params"), F.expr("CASE WHEN symbol % 5 = 0 THEN 0 ELSE n_trades END").alias("n_trades"), "pnl_total", "win_rate", "max_dd", F.expr("CASE WHEN symbol % 2 = 0 THEN concat('v', symbol) END").alias("variant"))
+
+
+_PARAMS = "CASE WHEN g IS NULL THEN '{}' ELSE '{\"fast\":\"' || (g + 3) || '\",\"slow\":\"' || (g * 4 + 4) || '\"}' END AS params_key"
+_mean = lambda c: f"round(CASE WHEN sum(w) = 0 THEN avg(coalesce({c}, 0)) ELSE sum(coalesce({c}, 0) * w) / sum(w) END, 6) AS {c}"
+for _name, _sym in (("e11_by_config", ""), ("e11_by_symbol", "symbol, ")):
+    add(
+        _name,
+        f"WITH {SQL_RESULTS}, b AS ({_BASE}) SELECT {_sym}strategy, timeframe, {_PARAMS}, {_mean('pnl_total')}, {_mean('win_rate')}, max(abs(coalesce(max_dd, 0))) AS max_dd, sum(w)::BIGINT AS n_trades, "
+        f"array_to_string(list_sort(list(DISTINCT symbol::VARCHAR)), ',') AS symbols, first('v' || symbol ORDER BY symbol) FILTER (symbol % 2 = 0) AS variant FROM b GROUP BY {_sym}strategy, timeframe, g",
+    )(lambda s, d, per=bool(_sym): rounded(O.aggregate_by_config(configured(s, d), ["pnl_total", "win_rate"], per), "pnl_total", "win_rate"))
+_TEXT = "CASE timeframe % 5 WHEN 0 THEN '5m' WHEN 1 THEN concat(' ', timeframe, 'M') WHEN 2 THEN '0' WHEN 3 THEN 'day' ELSE concat('', timeframe * 10) END"
+add(
+    "b8_normalised",
+    f"WITH {SQL_RESULTS} SELECT symbol, strategy, timeframe, coalesce(CASE WHEN coalesce(CASE WHEN symbol % 2 = 0 THEN win_rate END, win_rate * 100) <= 1 THEN coalesce(CASE WHEN symbol % 2 = 0 THEN win_rate END, win_rate * 100) * 100 "
+    "ELSE coalesce(CASE WHEN symbol % 2 = 0 THEN win_rate END, win_rate * 100) END, 0) AS win_pct, round(coalesce(CASE WHEN symbol % 3 = 0 THEN 1.5e0 END, CASE WHEN symbol % 3 = 1 THEN 2.5e0 END, CASE WHEN n_trades - 20 > 0 THEN coalesce(pnl_total, 0) / (n_trades - 20) END, 0), 6) AS per_trade, "
+    "CASE timeframe % 5 WHEN 0 THEN 5 WHEN 1 THEN timeframe WHEN 4 THEN timeframe * 10 END AS minutes FROM res",
+)(
+    lambda s, d: results(s, d).select(
+        "symbol", "strategy", "timeframe", O.win_rate_percent(F.when(C("symbol") % 2 == 0, C("win_rate")), C("win_rate") * 100).alias("win_pct"),
+        F.round(O.profit_per_trade(F.when(C("symbol") % 3 == 0, 1.5), F.when(C("symbol") % 3 == 1, 2.5), C("pnl_total"), C("n_trades") - 20), 6).alias("per_trade"), O.tf_minutes(F.expr(_TEXT)).alias("minutes"),
+    )
+)
+add("d8_blotter_sorted", f"WITH {SQL_FILLS}, {SQL_ORDERS} SELECT o.order_id, o.status, f.symbol, f.side, f.qty, f.price, f.fees AS fee, f.t FROM ord o LEFT JOIN fills f ON f.order_id = o.order_id ORDER BY t DESC NULLS LAST, order_id")(
+    lambda s, d: O.blotter(orders(s, d), fills(s, d).withColumn("extra", F.to_json(F.struct(F.struct(C("fees").alias("total")).alias("fees")))))
+)
+SQL_LOG = SQL_SPREAD.replace("var_pop(x)", "var_pop(ln(x))").replace("regr_slope(y, x)", "regr_slope(ln(y), ln(x))").replace("y - beta * x AS spread", "ln(y) - beta * ln(x) AS spread").replace(">= 10", ">= 30")
+add("f19_log_spread_z", f"WITH {SQL_LOG} SELECT * FROM sz")(lambda s, d: rounded(S.spread_z(_aligned(s, d), 60, 30, "log"), "beta", "spread", "z").select("symbol", "t", "beta", "spread", "z"))
+add("f18_beta_or_fixed", f"WITH {SQL_ALIGN}, b AS (SELECT symbol, t, CASE WHEN count(*) {sets.w(60)} >= 60 AND abs(var_pop(x) {sets.w(60)}) >= 1e-12 THEN regr_slope(y, x) {sets.w(60)} END AS beta FROM al) SELECT symbol, t, round(coalesce(beta, 1), 6) AS beta FROM b")(
+    lambda s, d: _aligned(s, d).select("symbol", "t", F.round(W.rolling_beta(C("y"), C("x"), 60, fallback=1.0), 6).alias("beta"))
+)
