@@ -113,7 +113,7 @@ def test_packing_prefers_neighbours():
     rng = np.random.default_rng(2)
     topics = [np.concatenate([rng.integers(1000 * (k % 4), 1000 * (k % 4) + 60, 90), [0]]).astype("<u4") for k in range(40)]
     seqs = defaultdict(set)
-    for d, _, n, s, _ in packing.pack_shard(topics, 910, 12):
+    for d, _, n, s, _ in packing.pack_shard(topics, 910):
         seqs[s].add(d % 4)
     assert sum(len(t) == 1 for t in seqs.values()) >= 3
 

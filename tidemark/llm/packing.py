@@ -17,7 +17,12 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Index:
-    """BM25 inverted index of one shard's documents, terms being token ids."""
+    """BM25 inverted index of one shard's documents, terms being token ids.
+
+    Terms that over a quarter of the documents have are kept as rows over all documents, so that the scores they give to many
+    seeds are one matrix product; the others as postings. There are at most four such rows for each distinct term that a
+    document has on average.
+    """
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         n = [len(d) for d in docs]
@@ -30,21 +35,34 @@ class Index:
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         size = np.array(n) / max(np.mean(n), 1)
         self.weight = self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[self.doc]))
-
-    def neighbours(self, ids: np.ndarray, unused: np.ndarray, terms: int) -> np.ndarray:
-        """Unused documents by falling BM25 score for the document's ``terms`` heaviest terms."""
-        term, tf = np.unique(ids, return_counts=True)
-        heavy = self.idf[term] * tf / (tf + 1.2)
-        if len(term) > terms:
-            term = term[np.argpartition(heavy, -terms)[-terms:]]
-        spans = [slice(self.at[t], self.at[t + 1]) for t in term]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        common = np.nonzero(4 * df > self.n)[0]
+        self.row = np.full(self.terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        held = self.row[term] >= 0
+        self.dense[self.row[term[held]], self.doc[held]] = self.weight[held]
+
+    def common_scores(self, seeds: list[np.ndarray]) -> np.ndarray:
+        """What the common terms of each seed give to every document."""
+        has = np.zeros((len(seeds), len(self.dense)))
+        for i, ids in enumerate(seeds):
+            row = self.row[ids]
+            has[i, row[row >= 0]] = 1
+        return has @ self.dense
+
+    def neighbours(self, ids: np.ndarray, unused: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Unused documents by falling BM25 score for all of the document's terms; ``common``: its common_scores()."""
+        term = np.unique(ids)
+        spans = [slice(self.at[t], self.at[t + 1]) for t in term[self.row[term] < 0].tolist()]
+        score = np.array(self.common_scores([ids])[0] if common is None else common)
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[~unused] = 0
         found = np.nonzero(score)[0]
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int, terms: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset): every id of every document once, all sequences but the last full.
 
     A document's whole windows stand alone. The longest rest left is the next seed; its neighbours fill the window in
@@ -59,6 +77,7 @@ def pack_shard(docs: list[np.ndarray], window: int, terms: int) -> Iterator[tupl
             seq += 1
     index, unused = Index(docs), left > 0
     seeds, turn, line = np.argsort(-left, kind="stable"), 0, 0
+    ahead: dict[int, np.ndarray] = {}  # common scores of the seeds whose turn is next
     while unused.any():
         while turn < len(seeds) and not unused[seeds[turn]]:
             turn += 1
@@ -76,7 +95,10 @@ def pack_shard(docs: list[np.ndarray], window: int, terms: int) -> Iterator[tupl
             if not room:
                 break
             if queue is None:
-                queue = index.neighbours(docs[seed], unused, terms)
+                if seed not in ahead:
+                    near = [seed, *(int(x) for x in seeds[turn + 1 : turn + 64] if unused[x])]
+                    ahead = dict(zip(near, index.common_scores([docs[x] for x in near])))
+                queue = index.neighbours(docs[seed], unused, ahead[seed])
             while at < len(queue) and not unused[queue[at]]:
                 at += 1
             if at < len(queue):
@@ -90,7 +112,7 @@ def pack_shard(docs: list[np.ndarray], window: int, terms: int) -> Iterator[tupl
         seq += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_ids: int = 2_000_000, terms: int = 12, order: list[str] | None = None, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_ids: int = 2_000_000, order: list[str] | None = None, ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents, each id in one piece.
 
     docs(doc_id, text, ...): null text counts as empty, so its document is the end id alone. Documents are dealt into
@@ -123,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     shards = encoded.repartitionByRange(max(1, -(-total // shard_ids)), *by).sortWithinPartitions(*by, "ids")
 
     def emit(part: int, first: int, names: list[int | None], held: list[np.ndarray]) -> tuple[pd.DataFrame, int]:
-        cols = list(zip(*pack_shard(held, window, terms)))
+        cols = list(zip(*pack_shard(held, window)))
         raw = [held[d][s : s + n].tobytes() for d, s, n in zip(*cols[:3])]
         out = pd.DataFrame({"doc_id": pd.array([names[d] for d in cols[0]], "Int64"), "start": cols[1], "length": cols[2], "ids_crc32": [zlib.crc32(r) for r in raw], "doc_tokens": [len(held[d]) for d in cols[0]], "sequence_id": (part << 40) + first + np.array(cols[3]), "offset": cols[4]})
         return (out.assign(ids=raw) if ids else out), first + max(cols[3]) + 1
