@@ -175,6 +175,7 @@ def _bump(x: Column, low: float, high: float, good: float, ok: float) -> Column:
 
 def heuristic(tp: Column, sl: Column, trailing: Column) -> Column:
     """Score of exit settings in percent: near usual bands is good, far from them bad."""
+    #: Fixed bands in per cent, and what being within or far from them is worth.
     odd = lambda x: F.when((x < 0.1) | (x > 3.0), 1.0).otherwise(0.0)
     rr = F.when(sl != 0, tp / sl)
     total = _bump(tp, 0.5, 1.5, 1.5, 0.6) - odd(tp) + _bump(sl, 0.3, 1.0, 1.2, 0.5) - odd(sl) + _bump(rr, 1.2, 2.0, 1.2, 0.5)
@@ -182,9 +183,19 @@ def heuristic(tp: Column, sl: Column, trailing: Column) -> Column:
 
 
 def rank_configs(configs: DataFrame) -> DataFrame:
-    """configs(name, tp, sl, trail) with score and rank, by name where scores tie."""
+    """configs(name, tp, sl, trail) with score and rank, by name where scores tie.
+
+    Scores lie in a range of a few units, so they are ranked within hundredths of a unit; what is ranked before each of these
+    comes from one count a hundredth.
+    """
     x = configs.withColumn("score", F.round(heuristic(F.col("tp"), F.col("sl"), F.col("trail")), 6))
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "name")))
+    x = x.withColumn("_b", F.coalesce(F.floor(F.col("score") * 100), F.lit(-(1 << 40))))
+    per = x.groupBy(F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("_c", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("score"), "name"))
+    ranked = x.withColumn("_r", within).join(per, F.col("_b") == F.col("_c"))
+    return ranked.withColumn("rank", (F.col("_before") + F.col("_r")).cast("int")).drop("_b", "_c", "_before", "_r")
 
 
 def export_selections(picks: DataFrame, budgets: dict[str, float], values: list[str]) -> DataFrame:

@@ -59,6 +59,7 @@ def size_orders_v2(orders: DataFrame, equity: float, tradable: float, splits: di
 def reweight(splits: DataFrame) -> DataFrame:
     """splits(account, bucket, split, dd): halved from a drawdown of 4 % on, three quarters from 2 %, made to sum to 1 by
     account, to 4 places. Accounts whose sum is not positive keep theirs."""
+    #: Fixed drawdowns in per cent and what is left of a split from there on.
     w = F.col("split") * F.when(F.col("dd") <= -4, 0.5).when(F.col("dd") <= -2, 0.75).otherwise(1.0)
     total = F.sum("_w").over(Window.partitionBy("account"))
     x = splits.withColumn("_w", w).withColumn("_t", total)
