@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from ..functions.features import feature_rows, rsi_reading
 from ..functions.sets import EDGE, STATE, STATE_ONLY, signal_sets
-from .catalog import SQL_BARS, _day, add, hour_bars
+from ..operators.bars import rollup_bars
+from .catalog import SQL_BARS, _day, _roll, add, hour_bars, rounded
 from .signals import SO_FAR, SQL_HA, band, ema, two_emas
 
 RISK = {"stop_pct": 0.005, "tgt_pct": 0.012}
@@ -189,3 +191,25 @@ def _query(strategy: str, sets: dict[str, dict]):
 
 for _name, (_zones, _sets) in GIVEN.items():
     add(f"sets_{_name}", sql(_name, _zones, _sets))(_query(_name, _sets))
+
+
+def _rsi_of(n: int) -> str:
+    return f"CASE WHEN count(dd) {w(n)} >= {n} THEN CASE WHEN sum(greatest(-dd, 0)) {w(n)} = 0 THEN 100 ELSE 100 - 100 / (1 + sum(greatest(dd, 0)) {w(n)} / sum(greatest(-dd, 0)) {w(n)}) END END"
+
+
+_DIFFS = "SELECT *, c - lag(c) OVER (PARTITION BY symbol ORDER BY t) AS dd, lag(c) OVER (PARTITION BY symbol ORDER BY t) AS p FROM"
+_TF1 = f"SELECT 1 AS tf, symbol, t, {full(5, f'avg(c) {w(5)}')} AS sma_5, {full(20, f'avg(c) {w(20)}')} AS sma_20, {_rsi_of(14)} AS rsi_14, {full(14, f'avg(tr) {w(14)}', 'tr')} AS atr_14, NULL::DOUBLE AS sma_10"
+_TF5 = f"SELECT 5, symbol, t, NULL, NULL, {_rsi_of(14)}, NULL, {full(10, f'avg(c) {w(10)}')}"
+_SIX = ["sma_5", "sma_20", "rsi_14", "atr_14", "sma_10"]
+add(
+    "g21_features_by_tf",
+    f"WITH {SQL_BARS}, r5 AS ({_roll(5 * 3600)}), a AS (SELECT *, CASE WHEN p IS NOT NULL THEN greatest(h - l, abs(h - p), abs(l - p)) END AS tr FROM ({_DIFFS} bars)), b AS ({_DIFFS} r5), "
+    f"u AS ({_TF1} FROM a UNION ALL {_TF5} FROM b) SELECT tf, symbol, t, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)}, CASE WHEN tf = 1 THEN sma_5 IS NOT NULL AND sma_20 IS NOT NULL AND rsi_14 IS NOT NULL AND atr_14 IS NOT NULL ELSE sma_10 IS NOT NULL AND rsi_14 IS NOT NULL END AS ready FROM u",
+)(
+    lambda s, d: rounded(feature_rows(hour_bars(s, d).withColumn("tf", F.lit(1)).unionByName(rollup_bars(hour_bars(s, d), 5 * 3600).withColumn("tf", F.lit(5)))), *_SIX)
+)
+add(
+    "g4_rsi_reading",
+    f"WITH {SQL_BARS}, a AS ({_DIFFS} bars), r AS (SELECT *, {_rsi_of(14)} AS rsi, min(c) {w(15)} AS lo, max(c) {w(15)} AS hi FROM a), z AS (SELECT *, CASE WHEN rsi <= 30 THEN 'BUY' WHEN rsi >= 70 THEN 'SELL' END AS side FROM r) "
+    "SELECT symbol, t, side, round(CASE side WHEN 'BUY' THEN least(1, (30 - rsi) / 30) WHEN 'SELL' THEN least(1, (rsi - 70) / 30) END, 6) AS strength, round(CASE side WHEN 'BUY' THEN lo * 0.99 WHEN 'SELL' THEN hi * 1.01 END, 6) AS stop FROM z",
+)(lambda s, d: rounded(rsi_reading(hour_bars(s, d)), "strength", "stop"))
