@@ -35,9 +35,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences. Rows read from files are packed in runs of their order there, which is the mix order, so every
     stretch of sequences has the target weights; rows from elsewhere in like documents' shards."""
-    order = ["_file", "_row"]
+    order = ["_part", "_file", "_row"]  # files by number: names sort part-100000 before part-99999
     try:
-        docs = docs.selectExpr("doc_id", "text", "_metadata.file_name as _file", "_metadata.row_index as _row")
+        part = "try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as long) as _part"
+        docs = docs.selectExpr("doc_id", "text", part, "_metadata.file_name as _file", "_metadata.row_index as _row")
     except AnalysisException:
         order = None
     return packing.pack(docs, tokenizer(), order=order)
