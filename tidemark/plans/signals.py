@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..functions import signals as S
 from ..functions import windows as W
+from ..operators import affine as A
 from ..operators import tables as T
 from .catalog import SQL_ALIGN, SQL_BARS, SQL_CROSS, W_, _aligned, _day, _if, _sma_cross, add, hour_bars, rounded
 
@@ -124,6 +125,13 @@ SQL_FOLD = "list_reduce(list_prepend(list_avg({0}[1:14]), {0}[15:]), lambda a, x
 add("f3_rsi_wilder", f"WITH {SQL_BARS}, x AS (SELECT *, c - lag(c) OVER (PARTITION BY symbol ORDER BY t) AS dd FROM bars), y AS (SELECT *, list(greatest(dd, 0)) FILTER (dd IS NOT NULL) {SO_FAR} AS g, list(greatest(-dd, 0)) FILTER (dd IS NOT NULL) {SO_FAR} AS k FROM x), f AS (SELECT *, CASE WHEN len(g) >= 14 THEN {SQL_FOLD.format('g')} END AS up, CASE WHEN len(k) >= 14 THEN {SQL_FOLD.format('k')} END AS down FROM y) SELECT symbol, t, round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 6) AS rsi FROM f")(lambda s, d: rounded(W.rsi_wilder(hour_bars(s, d)), "rsi"))
 SQL_HA = f"{SQL_BARS}, x AS (SELECT *, (o + h + l + c) / 4 AS hc, first(o) {SO_FAR} AS o0 FROM bars), y AS (SELECT *, list_prepend(o0, coalesce(list(hc) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS v FROM x), q AS (SELECT symbol, t, round(list_reduce(v, lambda a, x: (a + x) / 2), 6) AS ho, round(hc, 6) AS hc FROM y)"
 add("f11_heikin_ashi", f"WITH {SQL_HA} SELECT * FROM q")(lambda s, d: rounded(W.heikin_ashi(hour_bars(s, d)), "ho", "hc"))
+# The same in stretches of a day, which are computed side by side.
+add("f5_ema_stretches", f"WITH {SQL_V} SELECT symbol, t, round({ema_first(12)}, 6) AS ema FROM v")(lambda s, d: rounded(A.ema_in_stretches(hour_bars(s, d), 12, 86400), "ema"))
+_four = lambda x: f"floor({x} * 10000 + 0.5000001) / 10000"  # noqa: E731  sums in another order must not fall to either side of a tie
+SQL_HA4 = SQL_HA.replace("round(list_reduce(v, lambda a, x: (a + x) / 2), 6)", _four("list_reduce(v, lambda a, x: (a + x) / 2)")).replace("round(hc, 6)", _four("hc"))
+add("f11_heikin_stretches", f"WITH {SQL_HA4} SELECT * FROM q")(
+    lambda s, d: A.heikin_in_stretches(hour_bars(s, d), 86400).select("symbol", "t", *[(F.floor(C(c) * 10000 + 0.5000001) / 10000).alias(c) for c in ("ho", "hc")])
+)
 add("g10_heikin_trend", edges(f"{SQL_HA}, z AS (SELECT symbol, t, sign(hc - ho) AS zone FROM q)"))(lambda s, d: S.with_signal(rounded(W.heikin_ashi(hour_bars(s, d)), "ho", "hc"), F.signum(C("hc") - C("ho"))))
 _f, _s = two_emas(12, 50)
 add(
