@@ -13,7 +13,7 @@ from ..operators import pairs as P
 from ..operators import risk as R
 from ..operators import tables as T
 from ..streaming import states as ST
-from .catalog import DAY, SQL_ALIGN, SQL_BARS, SQL_CROSS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _aligned, _read, add, fills, hour_bars, orders, results, rounded, ticks, vendor
+from .catalog import DAY, LEAST_OVERLAP, SQL_ALIGN, SQL_BARS, SQL_CROSS, SQL_FILLS, SQL_ORDERS, SQL_RESULTS, SQL_TICKS, SQL_VENDOR, _aligned, _read, add, fills, hour_bars, orders, results, rounded, ticks, vendor
 from .signals import SQL_THREE, SQL_TRADES, _spread, _three
 
 C = F.col
@@ -233,7 +233,7 @@ add(
 )(lambda s, d: ST.sync_legs(arrivals(s, d), ["seq", "id"]))
 add("h15_coint_lags")(lambda s, d: CI.coint_lags(_aligned(s, d)))
 add("d1_align_selected", f"WITH {SQL_ALIGN} SELECT symbol, t, x, y FROM al WHERE symbol IN (SELECT symbol FROM al GROUP BY 1 HAVING abs(round(corr(x, y), 6)) >= 0.02)")(
-    lambda s, d: (lambda b: T.align_selected(b, T.pair_stats(b, 50).where(F.abs(F.round("rho", 6)) >= 0.02)))(hour_bars(s, d))
+    lambda s, d: (lambda b: T.align_selected(b, T.pair_stats(b, LEAST_OVERLAP).where(F.abs(F.round("rho", 6)) >= 0.02)))(hour_bars(s, d))
 )
 add("h16_discover_lags")(lambda s, d: P.discover_pairs(_aligned(s, d), 0.0, 1.0, 100, test=CI.coint_lags))
 _poly = lambda cs: " + ".join(f"({c}) * tau ** {k}" for k, c in enumerate(cs))
