@@ -41,25 +41,33 @@ class Index:
         self.dense = np.zeros((len(common), self.n))
         held = self.row[term] >= 0
         self.dense[self.row[term[held]], self.doc[held]] = self.weight[held]
+        self.own = term[np.argsort(self.doc, kind="stable")]  # terms by document
+        self.own_at = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
 
-    def common_scores(self, seeds: list[np.ndarray]) -> np.ndarray:
+    def terms_of(self, d: int) -> np.ndarray:
+        return self.own[self.own_at[d] : self.own_at[d + 1]]
+
+    def common_scores(self, seeds: list[int]) -> np.ndarray:
         """What the common terms of each seed give to every document."""
         has = np.zeros((len(seeds), len(self.dense)))
-        for i, ids in enumerate(seeds):
-            row = self.row[ids]
+        for i, d in enumerate(seeds):
+            row = self.row[self.terms_of(d)]
             has[i, row[row >= 0]] = 1
         return has @ self.dense
 
-    def neighbours(self, ids: np.ndarray, unused: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-        """Unused documents by falling BM25 score for all of the document's terms; ``common``: its common_scores()."""
-        term = np.unique(ids)
-        spans = [slice(self.at[t], self.at[t + 1]) for t in term[self.row[term] < 0].tolist()]
-        score = np.array(self.common_scores([ids])[0] if common is None else common)
-        if spans:
-            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+    def neighbours(self, seed: int, unused: np.ndarray, common: np.ndarray | None = None, first: int = 32) -> Iterator[int]:
+        """Unused documents by falling BM25 score for all of the seed's terms; ``common``: its common_scores(). Most windows are
+        full after a few, so all but about the ``first`` best are only sorted when it comes to them."""
+        term = self.terms_of(seed)
+        term = term[self.row[term] < 0]
+        begin, n = self.at[term], self.at[term + 1] - self.at[term]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        score = np.bincount(self.doc[at], self.weight[at], self.n) + (self.common_scores([seed])[0] if common is None else common)
         score[~unused] = 0
         found = np.nonzero(score)[0]
-        return found[np.argsort(-score[found], kind="stable")]
+        least = np.partition(score[found], -first)[-first] if len(found) > first else -1.0
+        for part in (found[score[found] > least], found[score[found] <= least]):
+            yield from part[np.argsort(-score[part], kind="stable")].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -84,7 +92,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int,
         if turn == len(seeds):  # rests of cut neighbours whose turn had passed
             seeds, turn = np.nonzero(unused)[0], 0
         seed = d = int(seeds[turn])
-        room, queue, at = window, None, 0
+        room, queue = window, None
         while True:
             n = int(min(left[d], room))
             yield d, int(start[d]), n, seq, window - room
@@ -97,12 +105,11 @@ def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int,
             if queue is None:
                 if seed not in ahead:
                     near = [seed, *(int(x) for x in seeds[turn + 1 : turn + 64] if unused[x])]
-                    ahead = dict(zip(near, index.common_scores([docs[x] for x in near])))
-                queue = index.neighbours(docs[seed], unused, ahead[seed])
-            while at < len(queue) and not unused[queue[at]]:
-                at += 1
-            if at < len(queue):
-                d = int(queue[at])
+                    ahead = dict(zip(near, index.common_scores(near)))
+                queue = index.neighbours(seed, unused, ahead[seed])
+            best = next((x for x in queue if unused[x]), None)
+            if best is not None:
+                d = best
                 continue
             while line < len(docs) and not unused[line]:
                 line += 1
