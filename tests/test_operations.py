@@ -1,10 +1,13 @@
 """Alerts, votes, scans of stored bars, first-in first-out, pair moments and stream settings, by hand or against plain code."""
 
 import contextlib
+import datetime
 import io
 import itertools
 import random
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +111,19 @@ def test_sums_and_closes_carry_over_stretches(spark):
     assert one == many
 
 
+def test_equity_costs_round_as_their_sql(spark, tmp_path):
+    # 1250.25 less 2 basis points is 1249.99995, just below a half at 4 places once scaled; so are other prices of .25 and .75
+    kinds = itertools.product(range(25, 400000, 50), (1, 2), "AN")
+    rows = [(n, 1, 1, line, 1.0, c / 100, 0.0, flag, datetime.datetime(1995, 1, 2)) for n, (c, line, flag) in enumerate(kinds)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["h9_cost_equity"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL['h9_cost_equity']})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_stream_settings_and_health(spark, tmp_path):
     ticks = catalog.ticks(spark, SF).withColumn("seen", F.col("ts") + F.expr("interval 2 seconds"))
     ticks.repartition(3).write.parquet(str(tmp_path / "t"))

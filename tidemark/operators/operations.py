@@ -181,6 +181,12 @@ def cost_roundtrip(qty: Column, px_in: Column, px_out: Column, slippage: float =
     return (px_out * (1 - slippage / 1e4) - px_in * (1 + slippage / 1e4)) * qty - 2 * fee
 
 
+def _places(x: Column, n: int) -> Column:
+    """A double to n places as SQL rounds it: the multiple nearest to the scaled double, which can lie just below a half where
+    the decimal that F.round() goes by is one."""
+    return F.round(x * 10.0**n) / 10.0**n
+
+
 def cost_equity(side: Column, price: Column, qty: Column, bucket: Column, rates: dict[str, float], overrides: dict[str, float] | None = None) -> Column:
     """A struct of an order's estimated costs: fill_price, total and its parts. rates: brokerage a leg; exchange, sebi, stt (sales),
     stamp (purchases) as shares of the value; gst on brokerage and exchange; slippage in basis points, by bucket in ``overrides``."""
@@ -194,7 +200,7 @@ def cost_equity(side: Column, price: Column, qty: Column, bucket: Column, rates:
     gst = (brokerage + exchange) * r["gst"]
     parts = {"brokerage": brokerage, "exchange": exchange, "sebi": sebi, "stt": stt, "stamp": stamp, "gst": gst}
     total = brokerage + exchange + sebi + stt + stamp + gst
-    return F.struct(F.round(fill_price(side, price, bps), 4).alias("fill_price"), F.round(total, 2).alias("total"), *[F.round(v, 2).alias(k) for k, v in parts.items()], bps.alias("slippage_bps"))
+    return F.struct(_places(fill_price(side, price, bps), 4).alias("fill_price"), _places(total, 2).alias("total"), *[_places(v, 2).alias(k) for k, v in parts.items()], bps.alias("slippage_bps"))
 
 
 def cost_fill(side: Column, qty: Column, price: Column, rates: dict[str, float]) -> Column:
