@@ -6,6 +6,7 @@ import io
 import itertools
 import random
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -97,6 +98,22 @@ def test_pair_moments(spark, block, slice_bars):
     assert T.pair_stats(df.limit(0), 8).count() == 0
 
 
+def test_pair_stats_shuffles_few_copies_of_the_bars(spark):
+    # 60 tiles: dealing each bar to the tasks of every tile took 12.7 MB of shuffle files; half the symbols end 10 bars after the rest begin
+    there = np.zeros((480, 50))
+    there[:240, :30], there[240:, 20:] = 1, 1
+    there *= np.random.default_rng(2).random(there.shape) < 0.9
+    df = spark.createDataFrame([(f"s{i}", int(t), float((i * 7 + t * t) % 23)) for i, t in zip(*np.nonzero(there))], "symbol string, t long, c double").localCheckpoint()
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x: x.stat().st_size for f in folders for x in Path(f).rglob("shuffle_*.data")}
+    before = files()
+    got = {(r["a"], r["b"]): r["n"] for r in T.pair_stats(df, 9, block=8).collect()}
+    size = sum(n for x, n in files().items() if x not in before)
+    n = (there @ there.T).astype(int)
+    assert got == {(f"s{i}", f"s{j}"): n[i, j] for i in range(480) for j in range(480) if f"s{i}" < f"s{j}" and n[i, j] >= 9}
+    assert size < 5e6, size
+
+
 def test_sums_and_closes_carry_over_stretches(spark):
     events = catalog.orders(spark, SF).select("bucket", "t", F.col("order_id").alias("id"))
     held = catalog.orders(spark, SF).select("bucket", F.col("t").alias("created"), (F.col("t") + (F.col("cust") % 7 + 1) * 86400).alias("expires"), "notional")

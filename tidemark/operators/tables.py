@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -303,23 +304,32 @@ def error_code(text: Column) -> Column:
 def pair_stats(bars: DataFrame, least: int, block: int = 256, slice_bars: int = 4096) -> DataFrame:
     """Correlation and hedge ratio of every two symbols a < b over the bars they share, where those are ``least`` or more.
 
-    Symbols are dealt into blocks and bar times into slices, so a task holds the bars of two blocks in one slice, whatever
-    the number of symbols at a time. It gives the moments of all its pairs as matrix products; they are added up over the
-    slices. Closes are taken from the symbol's mean, so that differences of large sums do not lose their digits. Both null
-    where a variance is zero; repeated bars of a symbol and time count once, with the smaller close.
+    Symbols are dealt into a few sides and bar times into slices, and a symbol's bars in a slice are packed in one row. A
+    task holds two sides in one slice, sorted by first time and cut into tiles of ``block`` symbols. It gives the moments of
+    two tiles' pairs as matrix products over the times that both have, one tile pair after another; they are added up over
+    the slices. Each packed row goes to as many tasks as there are sides, which are no more than tasks need to be many and
+    to fit into memory. Closes are taken from the symbol's mean, so that differences of large sums do not lose their
+    digits. Both null where a variance is zero; repeated bars of a symbol and time count once, with the smaller close.
     """
     bars = bars.where("symbol is not null and t is not null and c is not null").groupBy("symbol", "t").agg(F.min("c").alias("c"))
-    sizes = bars.agg(F.count_distinct("symbol").alias("s"), F.count_distinct("t").alias("t")).first()
-    k, slices = max(1, -(-sizes["s"] // block)), max(1, -(-sizes["t"] // slice_bars))
-    means = bars.groupBy(F.col("symbol").alias("_s")).agg(F.avg("c").alias("_m"))
-    rows = bars.join(means, F.col("symbol") == F.col("_s")).select(
-        "symbol", "t", (F.col("c") - F.col("_m")).alias("c"),
-        F.pmod(F.xxhash64("symbol"), F.lit(k)).cast("int").alias("side"), F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("part"),
+    sizes = bars.agg(F.count("*").alias("n"), F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("t").alias("t")).first()
+    slices = max(1, -(-sizes["t"] // slice_bars))
+    k = max(1, min(-(-sizes["s"] // block), max(_SIDES, -(-sizes["n"] // (slices * _SIDE_BARS)))))
+    part = F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int")
+    packed = bars.withColumn("part", part).repartition("symbol").groupBy("symbol", "part").agg(F.collect_list(F.struct("t", F.col("c").cast("double").alias("c"))).alias("x"), F.sum("c").alias("_c"), F.count("*").alias("_n"))
+    whole = Window.partitionBy("symbol")
+    rows = packed.select(
+        F.col("symbol").cast("string").alias("symbol"), "part", F.col("x.t").alias("ts"), F.col("x.c").alias("cs"), (F.sum("_c").over(whole) / F.sum("_n").over(whole)).alias("mean"),
+        F.pmod(F.xxhash64("symbol"), F.lit(k)).cast("int").alias("side"),
     )
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     rows = rows.withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other")).drop("_other")
     first = least if slices == 1 else 1  # over several slices a pair's bars are known only when all are in
-    moments = rows.groupBy("lo", "hi", "part").applyInArrow(lambda group: _moments(group, first), _MOMENTS)
+
+    def moments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _moments(pa.Table.from_batches(batches), first, block)
+
+    moments = rows.groupBy("lo", "hi", "part").applyInArrow(moments_of, _MOMENTS)
     if slices > 1:
         moments = moments.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
@@ -330,34 +340,67 @@ def pair_stats(bars: DataFrame, least: int, block: int = 256, slice_bars: int =
 
 
 _MOMENTS = "a string, b string, n long, sx double, sy double, sxx double, syy double, sxy double"
+_SIDES = 8  # 36 tasks a slice, where there are symbols enough
+_SIDE_BARS = 1 << 21  # bars of a side in a slice
 
 
-def _moments(group: pa.Table, least: int) -> pa.Table:
-    """Number of shared bars, sums, squares and products of each two symbols a < b of a group of pair_stats."""
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("sx", "sy", "sxx", "syy", "sxy")]])
+def _moments(group: pa.Table, least: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Number of shared bars, sums, squares and products of each two symbols a < b of a group of pair_stats, by pairs of tiles."""
+    names = group.column("symbol").combine_chunks()
     lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-    coded = pc.dictionary_encode(group.column("symbol").cast(pa.string()).combine_chunks())
-    names, of = coded.dictionary, coded.indices.to_numpy()
-    _, at = np.unique(group.column("t").to_numpy(), return_inverse=True)
-    value, there = np.zeros((2, len(names), at.max() + 1))
-    value[of, at], there[of, at] = group.column("c").to_numpy(), 1
-    side = np.zeros(len(names), np.int64)
-    side[of] = group.column("side").to_numpy()
-    left, right = np.nonzero(side == lo)[0], np.nonzero(side == hi)[0]
-    v, w, x, y = value[left], there[left], value[right], there[right]
-    n = w @ y.T
-    keep = n >= least
+    side, sizes = group.column("side").to_numpy(), pc.list_value_length(group.column("ts")).to_numpy()
+    times, at = np.unique(pc.list_flatten(group.column("ts")).to_numpy(), return_inverse=True)
+    value = pc.list_flatten(group.column("cs")).to_numpy() - np.repeat(group.column("mean").to_numpy(), sizes)
+    start = np.cumsum(sizes) - sizes
+    earliest = np.minimum.reduceat(at, start)
     rank = np.empty(len(names), np.int64)
     rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
-    swap = rank[left][:, None] > rank[right]
-    keep &= ~swap & (rank[left][:, None] != rank[right]) if lo == hi else True
-    i, j = np.nonzero(keep)
-    swap = swap[i, j]
-    sums = [(v @ y.T)[i, j], (w @ x.T)[i, j], ((v * v) @ y.T)[i, j], (w @ (x * x).T)[i, j]]
-    a, b = np.where(swap, right[j], left[i]), np.where(swap, left[i], right[j])
-    pick = lambda p, q: np.where(swap, sums[q], sums[p])
-    columns = [names.take(pa.array(a)), names.take(pa.array(b)), n[i, j].astype(np.int64), pick(0, 1), pick(1, 0), pick(2, 3), pick(3, 2), (v @ x.T)[i, j]]
-    return pa.table(columns, schema=schema)
+
+    def tiles(of: int) -> list[tuple]:
+        """Symbols by first time, in tiles: each with its symbols, its bars' rows in the tile and places, and its times."""
+        own = np.nonzero(side == of)[0]
+        own = own[np.lexsort((rank[own], earliest[own]))]
+        out = []
+        for tile in np.split(own, range(block, len(own), block)):
+            row = np.repeat(np.arange(len(tile)), sizes[tile])
+            bars = np.arange(len(row)) - np.repeat(np.cumsum(sizes[tile]) - sizes[tile] - start[tile], sizes[tile])
+            out.append((tile, row, bars, np.unique(at[bars])))
+        return out
+
+    column = np.full(len(times), -1)
+
+    def dense(tile: tuple, width: int) -> tuple[np.ndarray, np.ndarray]:
+        symbols, row, bars, _ = tile
+        to = column[at[bars]]
+        row, to, bars = row[to >= 0], to[to >= 0], bars[to >= 0]
+        v, there = np.zeros((2, len(symbols), width))
+        v[row, to], there[row, to] = value[bars], 1
+        return v, there
+
+    left = tiles(lo)
+    right = left if lo == hi else tiles(hi)
+    for p, one in enumerate(left):
+        for other in right[p:] if lo == hi else right:
+            both = np.intersect1d(one[3], other[3], assume_unique=True)
+            if len(both) < least:
+                continue
+            column[both] = np.arange(len(both))
+            (v, w), (x, y) = dense(one, len(both)), dense(other, len(both))
+            column[both] = -1
+            n = w @ y.T
+            swap = rank[one[0]][:, None] > rank[other[0]]
+            keep = n >= least
+            if one is other:
+                keep &= rank[one[0]][:, None] < rank[other[0]]
+            i, j = np.nonzero(keep)
+            if not len(i):
+                continue
+            swap = swap[i, j]
+            sums = [m[i, j] for m in (v @ y.T, w @ x.T, (v * v) @ y.T, w @ (x * x).T)]
+            a, b = np.where(swap, other[0][j], one[0][i]), np.where(swap, one[0][i], other[0][j])
+            pick = lambda p, q: np.where(swap, sums[q], sums[p])  # noqa: B023, E731
+            columns = [n[i, j].astype(np.int64), pick(0, 1), pick(1, 0), pick(2, 3), pick(3, 2), (v @ x.T)[i, j]]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), *map(pa.array, columns)], names=["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
 
 def align(bars: DataFrame, a: str, b: str) -> DataFrame:
