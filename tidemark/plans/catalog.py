@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
@@ -144,8 +144,16 @@ def _sma_cross(s: SparkSession, d: str) -> DataFrame:
 
 SQL_CROSS = f"{SQL_BARS}, s AS (SELECT symbol, t, c, round({_if(5, 'avg(c) ' + W_.format(4))}, 6) AS f, round({_if(20, 'avg(c) ' + W_.format(19))}, 6) AS g FROM bars), z AS (SELECT *, CASE WHEN f > g THEN 1 WHEN f < g THEN -1 END AS zone FROM s), p AS (SELECT *, last_value(zone IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM z), sig AS (SELECT symbol, t, c, CASE WHEN zone <> b AND zone > 0 THEN 'BUY' WHEN zone <> b AND zone < 0 THEN 'SELL' ELSE 'FLAT' END AS action FROM p)"
 add("g1_sma_cross", f"WITH {SQL_CROSS} SELECT * FROM sig")(_sma_cross)
+
+
+def _sixth(name: str) -> Column:
+    """A column to 6 places, as SQL rounds the scaled double; round() goes by decimal text, which took half of all pairs' time."""
+    x = F.col(name)
+    return F.when(F.abs(x) < 1e9, F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6).otherwise(F.round(x, 6)).alias(name)
+
+
 SQL_USER = f"ub AS (SELECT 'U' || user_id AS symbol, epoch_us(ts) // {DAY * 10**6} * {DAY} AS t, last(value ORDER BY ts, event_id) AS c FROM events GROUP BY 1, 2)"
-add("d2_pair_stats", f"WITH {SQL_USER} SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(corr(a.c, b.c), 6) AS rho, round(regr_slope(b.c, a.c), 6) AS beta FROM ub a JOIN ub b ON a.t = b.t AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: rounded(T.pair_stats(B.tick_bars(user_ticks(s, d), DAY), 10), "rho", "beta"))
+add("d2_pair_stats", f"WITH {SQL_USER} SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(corr(a.c, b.c), 6) AS rho, round(regr_slope(b.c, a.c), 6) AS beta FROM ub a JOIN ub b ON a.t = b.t AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 10")(lambda s, d: T.pair_stats(B.tick_bars(user_ticks(s, d), DAY), 10).select("a", "b", "n", _sixth("rho"), _sixth("beta")))
 
 
 LEAST_OVERLAP = 10  # the given events are sparse; 180 for bars of minutes
