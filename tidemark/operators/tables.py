@@ -329,6 +329,7 @@ def pair_stats(bars: DataFrame, least: int, block: int = 256, slice_bars: int =
     def moments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _moments(pa.Table.from_batches(batches), first, block)
 
+    rows = rows.repartition(min(k * (k + 1) // 2 * slices, 2000), "lo", "hi", "part")  # few bytes in, many pairs out: not to be joined into one task
     moments = rows.groupBy("lo", "hi", "part").applyInArrow(moments_of, _MOMENTS)
     if slices > 1:
         moments = moments.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
