@@ -114,6 +114,37 @@ def test_pair_stats_shuffles_few_copies_of_the_bars(spark):
     assert size < 5e6, size
 
 
+def test_pair_stats_writes_no_moments_of_many_pairs(spark):
+    # 44,850 pairs over 8 slices of time: their moments of each slice took 17 MB of shuffle files
+    there = np.random.default_rng(3).random((300, 60)) < 0.8
+    df = spark.createDataFrame([(f"s{i}", int(t), float((i * 7 + t * t) % 23)) for i, t in zip(*np.nonzero(there))], "symbol string, t long, c double").localCheckpoint()
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x: x.stat().st_size for f in folders for x in Path(f).rglob("shuffle_*.data")}
+    before = files()
+    got = {(r["a"], r["b"]): r["n"] for r in T.pair_stats(df, 30, block=40, slice_bars=8).collect()}
+    size = sum(n for x, n in files().items() if x not in before)
+    n = there.astype(int) @ there.T
+    assert got == {(f"s{i}", f"s{j}"): n[i, j] for i in range(300) for j in range(300) if f"s{i}" < f"s{j}" and n[i, j] >= 30}
+    assert size < 3e6, size
+
+
+def test_pair_stats_of_few_long_series_adds_up_slices(spark):
+    rng = np.random.default_rng(4)
+    x = {s: dict(zip(map(int, np.nonzero(rng.random(3000) < 0.7)[0]), rng.random(3000))) for s in "abc"}
+    assert T._dealing(sum(map(len, x.values())), 3, 3000, 2, 100)[0] > 1
+    df = spark.createDataFrame([(s, t, float(v)) for s, d in x.items() for t, v in d.items()], "symbol string, t long, c double")
+    got = {(r["a"], r["b"]): r for r in T.pair_stats(df, 1000, block=2, slice_bars=100).collect()}
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (a, b), r in got.items():
+        both = sorted(x[a].keys() & x[b].keys())
+        u, v = np.array([x[a][t] for t in both]), np.array([x[b][t] for t in both])
+        assert r["n"] == len(both) and abs(r["rho"] - np.corrcoef(u, v)[0, 1]) < 1e-9 and abs(r["beta"] - np.polyfit(u - u.mean(), v, 1)[0]) < 1e-9
+    # hour bars of a year for 90,000 symbols: the moments of three slices would go through files, three for each pair
+    assert T._dealing(3_000_000, 90_000, 8760, 256, 4096) == (1, 8)
+    assert T._dealing(10_000_000, 100, 100_000, 256, 4096) == (25, 1)
+    assert T._dealing(0, 0, 0, 256, 4096) == (1, 1)
+
+
 def test_sums_and_closes_carry_over_stretches(spark):
     events = catalog.orders(spark, SF).select("bucket", "t", F.col("order_id").alias("id"))
     held = catalog.orders(spark, SF).select("bucket", F.col("t").alias("created"), (F.col("t") + (F.col("cust") % 7 + 1) * 86400).alias("expires"), "notional")

@@ -304,17 +304,17 @@ def error_code(text: Column) -> Column:
 def pair_stats(bars: DataFrame, least: int, block: int = 256, slice_bars: int = 4096) -> DataFrame:
     """Correlation and hedge ratio of every two symbols a < b over the bars they share, where those are ``least`` or more.
 
-    Symbols are dealt into a few sides and bar times into slices, and a symbol's bars in a slice are packed in one row. A
-    task holds two sides in one slice, sorted by first time and cut into tiles of ``block`` symbols. It gives the moments of
-    two tiles' pairs as matrix products over the times that both have, one tile pair after another; they are added up over
-    the slices. Each packed row goes to as many tasks as there are sides, which are no more than tasks need to be many and
-    to fit into memory. Closes are taken from the symbol's mean, so that differences of large sums do not lose their
-    digits. Both null where a variance is zero; repeated bars of a symbol and time count once, with the smaller close.
+    Symbols are dealt into a few sides and, where that takes no more files, bar times into slices of ``slice_bars`` or more;
+    a symbol's bars in a slice are packed in one row. A task holds two sides in one slice, sorted by first time and cut into
+    tiles of ``block`` symbols. It gives the moments of two tiles' pairs as matrix products over the times that both have,
+    ``slice_bars`` at a time, one tile pair after another. Each packed row goes to as many tasks as there are sides. Slices
+    need fewer sides, but then each pair's moments go through files once a slice, to be added up; with one slice a task
+    gives the pairs' results itself. Closes are taken from the symbol's mean, so that differences of large sums do not lose
+    their digits. Both null where a variance is zero; repeated bars of a symbol and time count once, with the smaller close.
     """
     bars = bars.where("symbol is not null and t is not null and c is not null").groupBy("symbol", "t").agg(F.min("c").alias("c"))
     sizes = bars.agg(F.count("*").alias("n"), F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("t").alias("t")).first()
-    slices = max(1, -(-sizes["t"] // slice_bars))
-    k = max(1, min(-(-sizes["s"] // block), max(_SIDES, -(-sizes["n"] // (slices * _SIDE_BARS)))))
+    slices, k = _dealing(sizes["n"], sizes["s"], sizes["t"], block, slice_bars)
     part = F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int")
     packed = bars.withColumn("part", part).repartition("symbol").groupBy("symbol", "part").agg(F.collect_list(F.struct("t", F.col("c").cast("double").alias("c"))).alias("x"), F.sum("c").alias("_c"), F.count("*").alias("_n"))
     whole = Window.partitionBy("symbol")
@@ -324,28 +324,57 @@ def pair_stats(bars: DataFrame, least: int, block: int = 256, slice_bars: int =
     )
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     rows = rows.withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other")).drop("_other")
-    first = least if slices == 1 else 1  # over several slices a pair's bars are known only when all are in
+    rows = rows.repartition(min(k * (k + 1) // 2 * slices, 2000), "lo", "hi", "part")  # few bytes in, many pairs out: not to be joined into one task
 
     def moments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _moments(pa.Table.from_batches(batches), first, block)
+        return _moments(pa.Table.from_batches(batches), 1, block, slice_bars)  # a pair's bars are known only when all slices are in
 
-    rows = rows.repartition(min(k * (k + 1) // 2 * slices, 2000), "lo", "hi", "part")  # few bytes in, many pairs out: not to be joined into one task
-    moments = rows.groupBy("lo", "hi", "part").applyInArrow(moments_of, _MOMENTS)
-    if slices > 1:
-        moments = moments.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    n = F.col("n")
-    xx, yy, xy = (F.col(p) - F.col(q) * F.col(r) / n for p, q, r in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
-    some = (xx > F.col("sxx") * 1e-12) & (yy > F.col("syy") * 1e-12)
-    rho = F.when(some, F.greatest(F.least(xy / F.sqrt(xx * yy), F.lit(1.0)), F.lit(-1.0)))
-    return moments.where(n >= least).select("a", "b", "n", rho.alias("rho"), F.when(xx > F.col("sxx") * 1e-12, xy / xx).alias("beta"))
+    def stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(_coefficients, _moments(pa.Table.from_batches(batches), least, block, slice_bars))
+
+    groups = rows.groupBy("lo", "hi", "part")
+    if slices == 1:
+        return groups.applyInArrow(stats_of, _STATS)
+    moments = groups.applyInArrow(moments_of, _MOMENTS).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    return moments.where(F.col("n") >= least).mapInArrow(lambda batches: map(_coefficients, batches), _STATS)
 
 
 _MOMENTS = "a string, b string, n long, sx double, sy double, sxx double, syy double, sxy double"
+_STATS = "a string, b string, n long, rho double, beta double"
 _SIDES = 8  # 36 tasks a slice, where there are symbols enough
 _SIDE_BARS = 1 << 21  # bars of a side in a slice
+_ROW_BARS = 1 << 18  # bars of a packed row
+_BAR_BYTES, _MOMENT_BYTES = 16, 60  # in shuffle files
+
+
+def _dealing(n: int, s: int, t: int, block: int, slice_bars: int) -> tuple[int, int]:
+    """Slices and sides for n bars of s symbols at t times: of those whose files are nearly the least, the most slices."""
+
+    def files(slices: int) -> tuple[float, int]:
+        k = max(1, min(s, max(min(-(-s // block), _SIDES), -(-n // (slices * _SIDE_BARS)))))
+        return n * k * _BAR_BYTES + (slices > 1) * slices * s * (s - 1) / 2 * _MOMENT_BYTES, k
+
+    widths = [slice_bars]
+    while widths[-1] < t and widths[-1] * 2 <= _ROW_BARS:
+        widths.append(widths[-1] * 2)
+    ways = [(slices, *files(slices)) for slices in (max(1, -(-t // w)) for w in widths)]
+    most = 1.25 * min(size for _, size, _ in ways)
+    return next((slices, k) for slices, size, k in ways if size <= most)
+
+
+def _coefficients(moments: pa.RecordBatch) -> pa.RecordBatch:
+    """Correlation and hedge ratio of rows of _MOMENTS, null where a variance is zero."""
+    n, sx, sy, sxx, syy, sxy = (moments.column(c).to_numpy() for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    xx, yy, xy = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
+    some = xx > sxx * 1e-12
+    both = some & (yy > syy * 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rho, beta = np.clip(xy / np.sqrt(xx * yy), -1.0, 1.0), xy / xx
+    columns = [moments.column("a"), moments.column("b"), moments.column("n"), pa.array(rho, mask=~both), pa.array(beta, mask=~some)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "rho", "beta"])
 
 
-def _moments(group: pa.Table, least: int, block: int) -> Iterator[pa.RecordBatch]:
+def _moments(group: pa.Table, least: int, block: int, width: int) -> Iterator[pa.RecordBatch]:
     """Number of shared bars, sums, squares and products of each two symbols a < b of a group of pair_stats, by pairs of tiles."""
     names = group.column("symbol").combine_chunks()
     lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
@@ -358,37 +387,44 @@ def _moments(group: pa.Table, least: int, block: int) -> Iterator[pa.RecordBatch
     rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
 
     def tiles(of: int) -> list[tuple]:
-        """Symbols by first time, in tiles: each with its symbols, its bars' rows in the tile and places, and its times."""
+        """Symbols by first time, in tiles: each with its symbols, its bars' rows in the tile, times and values, by time, and its times."""
         own = np.nonzero(side == of)[0]
         own = own[np.lexsort((rank[own], earliest[own]))]
         out = []
         for tile in np.split(own, range(block, len(own), block)):
             row = np.repeat(np.arange(len(tile)), sizes[tile])
             bars = np.arange(len(row)) - np.repeat(np.cumsum(sizes[tile]) - sizes[tile] - start[tile], sizes[tile])
-            out.append((tile, row, bars, np.unique(at[bars])))
+            by_time = np.argsort(at[bars], kind="stable")
+            row, bars = row[by_time], bars[by_time]
+            out.append((tile, row, at[bars], value[bars], np.unique(at[bars])))
         return out
 
     column = np.full(len(times), -1)
 
-    def dense(tile: tuple, width: int) -> tuple[np.ndarray, np.ndarray]:
-        symbols, row, bars, _ = tile
-        to = column[at[bars]]
-        row, to, bars = row[to >= 0], to[to >= 0], bars[to >= 0]
-        v, there = np.zeros((2, len(symbols), width))
-        v[row, to], there[row, to] = value[bars], 1
+    def dense(tile: tuple, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        symbols, row, when, values, _ = tile
+        within = slice(*np.searchsorted(when, (shared[0], shared[-1] + 1)))
+        to = column[when[within]]
+        row, to, values = row[within][to >= 0], to[to >= 0], values[within][to >= 0]
+        v, there = np.zeros((2, len(symbols), len(shared)))
+        v[row, to], there[row, to] = values, 1
         return v, there
 
     left = tiles(lo)
     right = left if lo == hi else tiles(hi)
     for p, one in enumerate(left):
         for other in right[p:] if lo == hi else right:
-            both = np.intersect1d(one[3], other[3], assume_unique=True)
+            both = np.intersect1d(one[-1], other[-1], assume_unique=True)
             if len(both) < least:
                 continue
-            column[both] = np.arange(len(both))
-            (v, w), (x, y) = dense(one, len(both)), dense(other, len(both))
-            column[both] = -1
-            n = w @ y.T
+            sums = np.zeros((6, len(one[0]), len(other[0])))
+            for shared in np.split(both, range(width, len(both), width)):
+                column[shared] = np.arange(len(shared))
+                (v, w), (x, y) = dense(one, shared), dense(other, shared)
+                column[shared] = -1
+                for total, f, g in zip(sums, (w, v, w, v * v, w, v), (y, y, x, y, x * x, x), strict=True):
+                    total += f @ g.T
+            n = sums[0]
             swap = rank[one[0]][:, None] > rank[other[0]]
             keep = n >= least
             if one is other:
@@ -397,10 +433,10 @@ def _moments(group: pa.Table, least: int, block: int) -> Iterator[pa.RecordBatch
             if not len(i):
                 continue
             swap = swap[i, j]
-            sums = [m[i, j] for m in (v @ y.T, w @ x.T, (v * v) @ y.T, w @ (x * x).T)]
+            n, *each, xy = (m[i, j] for m in sums)
             a, b = np.where(swap, other[0][j], one[0][i]), np.where(swap, one[0][i], other[0][j])
-            pick = lambda p, q: np.where(swap, sums[q], sums[p])  # noqa: B023, E731
-            columns = [n[i, j].astype(np.int64), pick(0, 1), pick(1, 0), pick(2, 3), pick(3, 2), (v @ x.T)[i, j]]
+            pick = lambda p, q: np.where(swap, each[q], each[p])  # noqa: B023, E731
+            columns = [n.astype(np.int64), pick(0, 1), pick(1, 0), pick(2, 3), pick(3, 2), xy]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), *map(pa.array, columns)], names=["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
 
