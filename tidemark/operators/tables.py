@@ -330,7 +330,7 @@ def pair_stats(bars: DataFrame, least: int, block: int = 256, slice_bars: int =
         return _moments(pa.Table.from_batches(batches), 1, block, slice_bars)  # a pair's bars are known only when all slices are in
 
     def stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return map(_coefficients, _moments(pa.Table.from_batches(batches), least, block, slice_bars))
+        return map(_coefficients, _moments(pa.Table.from_batches(batches), max(least, 1), block, slice_bars))
 
     groups = rows.groupBy("lo", "hi", "part")
     if slices == 1:
@@ -387,23 +387,24 @@ def _moments(group: pa.Table, least: int, block: int, width: int) -> Iterator[pa
     rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
 
     def tiles(of: int) -> list[tuple]:
-        """Symbols by first time, in tiles: each with its symbols, its bars' rows in the tile, times and values, by time, and its times."""
+        """Symbols by first time, in tiles: symbols; bars' rows in the tile, times and values by stretches of times, and where these begin; all times."""
         own = np.nonzero(side == of)[0]
         own = own[np.lexsort((rank[own], earliest[own]))]
         out = []
         for tile in np.split(own, range(block, len(own), block)):
             row = np.repeat(np.arange(len(tile)), sizes[tile])
             bars = np.arange(len(row)) - np.repeat(np.cumsum(sizes[tile]) - sizes[tile] - start[tile], sizes[tile])
-            by_time = np.argsort(at[bars], kind="stable")
-            row, bars = row[by_time], bars[by_time]
-            out.append((tile, row, at[bars], value[bars], np.unique(at[bars])))
+            stretch = at[bars] // width
+            order = np.argsort(stretch, kind="stable")
+            row, bars = row[order], bars[order]
+            out.append((tile, row, at[bars], value[bars], np.searchsorted(stretch[order], range(-(-len(times) // width) + 1)), np.unique(at[bars])))
         return out
 
     column = np.full(len(times), -1)
 
     def dense(tile: tuple, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        symbols, row, when, values, _ = tile
-        within = slice(*np.searchsorted(when, (shared[0], shared[-1] + 1)))
+        symbols, row, when, values, begin, _ = tile
+        within = slice(begin[shared[0] // width], begin[shared[-1] // width + 1])
         to = column[when[within]]
         row, to, values = row[within][to >= 0], to[to >= 0], values[within][to >= 0]
         v, there = np.zeros((2, len(symbols), len(shared)))
@@ -417,13 +418,15 @@ def _moments(group: pa.Table, least: int, block: int, width: int) -> Iterator[pa
             both = np.intersect1d(one[-1], other[-1], assume_unique=True)
             if len(both) < least:
                 continue
-            sums = np.zeros((6, len(one[0]), len(other[0])))
-            for shared in np.split(both, range(width, len(both), width)):
+            sums: list[np.ndarray] = []
+            for shared in np.split(both, np.searchsorted(both, range(width, len(times), width))) if len(both) > width else [both]:
+                if not len(shared):
+                    continue
                 column[shared] = np.arange(len(shared))
                 (v, w), (x, y) = dense(one, shared), dense(other, shared)
                 column[shared] = -1
-                for total, f, g in zip(sums, (w, v, w, v * v, w, v), (y, y, x, y, x * x, x), strict=True):
-                    total += f @ g.T
+                these = [f @ g.T for f, g in ((w, y), (v, y), (w, x), (v * v, y), (w, x * x), (v, x))]
+                sums = [m + more for m, more in zip(sums, these, strict=True)] if sums else these
             n = sums[0]
             swap = rank[one[0]][:, None] > rank[other[0]]
             keep = n >= least
